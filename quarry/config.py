@@ -59,7 +59,7 @@ class RagConfig:
     with_hyde: bool = False
     # routing
     with_query_classification: bool = False
-    route_threshold: float = 12.0
+    route_threshold: float = 30.0
     # index layout
     index_partitions: int = 64
     hash_dim: int = HASH_DIM
