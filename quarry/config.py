@@ -34,7 +34,8 @@ DEFAULT_NUM_OUTPUT = 256
 class RagConfig:
     """Plan flags. One frozen value picks the whole plan before it is built."""
 
-    # chunking (B5): "sentence_window", "token" (B3) or "sentence_pack" (B4)
+    # chunking (B5): "sentence_window", "token" (B3), "sentence_pack" (B4) or
+    # "document" (one node per document, for document-level evaluation)
     chunker: str = "sentence_window"
     window_size: int = 3
     chunk_size: int = 512
@@ -65,7 +66,7 @@ class RagConfig:
     hash_dim: int = HASH_DIM
 
     def __post_init__(self) -> None:
-        if self.chunker not in ("sentence_window", "token", "sentence_pack"):
+        if self.chunker not in ("sentence_window", "token", "sentence_pack", "document"):
             raise ValueError(f"unknown chunker {self.chunker!r}")
         if not 0 <= self.chunk_overlap < self.chunk_size:
             raise ValueError("need 0 <= chunk_overlap < chunk_size")

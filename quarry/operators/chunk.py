@@ -137,8 +137,16 @@ def sentence_pack_nodes(docs: DataFrame, chunk_size: int = 512, chunk_overlap: i
         F.lit(None).cast("string").alias("window"))
 
 
+def document_nodes(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One node per document (node_id = doc_id as text), for document-level retrieval."""
+    return docs.select(F.col("doc_id").cast("string").alias("node_id"), "doc_id", F.lit(0).alias("pos"),
+                       F.col(text).alias("text"), F.lit(None).cast("string").alias("window"))
+
+
 def chunk(docs: DataFrame, cfg: RagConfig) -> DataFrame:
     """The config picks the chunker before the plan is built; same schema out."""
+    if cfg.chunker == "document":
+        return document_nodes(docs)
     if cfg.chunker == "sentence_window":
         return sentence_window_nodes(docs, cfg.window_size)
     if cfg.chunker == "token":

@@ -80,6 +80,8 @@ def fill_template(template: str, context: Optional[Column] = None, query: Option
 # --- default completer -------------------------------------------------------
 _SENT = regex.compile(SENTENCE_PATTERN)
 _WORD = regex.compile(WORD_PATTERN)
+# whitespace as the JVM's \s sees it (ASCII only), so token counts agree with Spark
+_SPACE_TOKEN = regex.compile(r"[^ \t\n\x0b\f\r]+")
 
 
 def _sentences(text: str) -> list[str]:
@@ -111,13 +113,13 @@ def make_extractive_completer():
 def make_first_tokens_questioner(n_tokens: int = 8):
     """Stub question writer for H2: the first ``n_tokens`` whitespace tokens."""
     def complete(prompt: str, context: Optional[str], query: Optional[str]) -> str:
-        return " ".join((context or "").split()[:n_tokens])
+        return " ".join(_SPACE_TOKEN.findall(context or "")[:n_tokens])
 
     return complete
 
 
 def _count_tokens(s: Optional[str]) -> int:
-    return len(s.split()) if s else 0
+    return len(_SPACE_TOKEN.findall(s)) if s else 0
 
 
 def complete(df: DataFrame, make_completer: Callable = make_extractive_completer, prompt: str = "prompt",

@@ -52,7 +52,10 @@ def source_node(hits: DataFrame, nodes: DataFrame, key: str = "query_id", rank:
 
 
 def template_token_count(template: str) -> int:
-    return len(template.replace("{context_str}", " ").replace("{query_str}", " ").split())
+    import regex
+
+    body = template.replace("{context_str}", " ").replace("{query_str}", " ")
+    return len(regex.findall(r"[^ \t\n\x0b\f\r]+", body))
 
 
 def budget_context(packed: DataFrame, queries: DataFrame, context_window: int, num_output: int,
