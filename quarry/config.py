@@ -61,8 +61,9 @@ class RagConfig:
     # routing
     with_query_classification: bool = False
     route_threshold: float = 30.0
-    # index layout
-    index_partitions: int = 64
+    # index layout: partitions of the index tables by document hash; 0 = pick
+    # from the input size at first build (kept in the index's meta table)
+    index_partitions: int = 0
     hash_dim: int = HASH_DIM
 
     def __post_init__(self) -> None:

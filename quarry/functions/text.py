@@ -59,7 +59,7 @@ def with_term_frequencies(df: DataFrame, tokens: Column, out: str = "_ts") -> Da
     when the optimizer inlines the projections (e.g. pushing a filter down)
     the work stays linear in the number of tokens.
     """
-    srt = df.withColumn("_tf_srt", F.array_sort(tokens))
+    srt = df.withColumn("_tf_srt", F.sort_array(tokens))  # natural order, no comparator lambda
     n = F.size("_tf_srt")
     prev = F.slice(F.concat(F.array(F.lit(None).cast("string")), F.col("_tf_srt")), 1, F.greatest(n, F.lit(1)))
     zipped = F.arrays_zip(F.col("_tf_srt").alias("cur"), prev.alias("prev"),

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import RagConfig
 from quarry.operators.chunk import chunk
+from quarry.functions.text import words
 from quarry.operators.embed import Embedder, hashed_vector, with_terms
 
 
@@ -45,8 +46,8 @@ class TextIndex:
 
 
 def node_lengths(nodes: DataFrame, cfg: RagConfig) -> DataFrame:
-    ts = with_terms(nodes.select("node_id", "text"), "text", cfg.with_stemming)
-    return ts.select("node_id", F.aggregate("_ts.tfs", F.lit(0), lambda a, b: a + b).alias("dl"))
+    """dl = number of retrieval tokens (stemming does not change the count)."""
+    return nodes.select("node_id", F.size(words("text")).alias("dl"))
 
 
 def build_postings(nodes: DataFrame, cfg: RagConfig) -> DataFrame:

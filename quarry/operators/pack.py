@@ -19,10 +19,10 @@ from quarry.operators.sparse import query_term_idf
 
 
 def replace_with_metadata(hits: DataFrame, nodes: DataFrame, key: str = "window",
-                          out: str = "text") -> DataFrame:
+                          out: str = "text", max_rows=None) -> DataFrame:
     """Node text := metadata[key], falling back to the text when the key is
     missing (B3/B4 nodes). Fetched late, by joining the bounded hit list."""
-    with_cols = attach_text(hits, nodes, ("text", "window"))
+    with_cols = attach_text(hits, nodes, ("text", "window"), max_rows=max_rows)
     meta = node_metadata(with_cols)
     return with_cols.withColumn(out, F.coalesce(meta[key], F.col("text"))).drop("window") if out == "text" else \
         with_cols.withColumn(out, F.coalesce(meta[key], F.col("text")))
@@ -44,10 +44,11 @@ def repack(hits: DataFrame, order: str = "forward", key: str = "query_id", rank:
     raise ValueError(f"unknown repack order {order!r}")
 
 
-def source_node(hits: DataFrame, nodes: DataFrame, key: str = "query_id", rank: str = "rank") -> DataFrame:
+def source_node(hits: DataFrame, nodes: DataFrame, key: str = "query_id", rank: str = "rank",
+                max_rows=None) -> DataFrame:
     """The best node's window and sentence per query."""
     best = hits.filter(F.col(rank) == 1).select(key, "node_id")
-    with_cols = attach_text(best, nodes, ("text", "window"))
+    with_cols = attach_text(best, nodes, ("text", "window"), max_rows=max_rows)
     return with_cols.select(key, "node_id", F.col("window").alias("window"), F.col("text").alias("sentence"))
 
 
@@ -89,7 +90,7 @@ def build_context(packed: DataFrame, key: str = "query_id", ord_col: str = "ord"
 
 
 def compress_context(packed: DataFrame, queries: DataFrame, index: TextIndex, m: int, window_size: int = 3,
-                     key: str = "query_id", ord_col: str = "ord") -> DataFrame:
+                     key: str = "query_id", ord_col: str = "ord", max_rows=None) -> DataFrame:
     """E5: extractive compression. The sentences of each packed window node
     (doc sentences pos-w .. pos+w, de-duplicated on (doc_id, pos)) are scored
     with E1's default against the query; the best ``m`` are kept and output
@@ -97,14 +98,14 @@ def compress_context(packed: DataFrame, queries: DataFrame, index: TextIndex, m:
 
     Output: key, doc_id, pos, sentence, score, ord_in_context.
     """
-    cand = attach_text(packed.select(key, "node_id", ord_col), index.nodes, ("doc_id", "pos"))
+    cand = attach_text(packed.select(key, "node_id", ord_col), index.nodes, ("doc_id", "pos"), max_rows=max_rows)
     spans = cand.select(key, ord_col, "doc_id",
                         F.explode(F.sequence(F.greatest(F.col("pos") - window_size, F.lit(0)),
                                              F.col("pos") + window_size)).alias("spos"))
     spans = spans.groupBy(key, "doc_id", "spos").agg(F.min(ord_col).alias("_ord"))
     sent = index.nodes.select("doc_id", F.col("pos").alias("spos"), F.col("text").alias("sentence"))
     sents = spans.join(sent, ["doc_id", "spos"])
-    qidf = query_term_idf(queries, index, "text", key)
+    qidf, _ = query_term_idf(queries, index, "text", key)
     qlist = qidf.groupBy(key).agg(F.collect_list(F.struct("term", "idf")).alias("_qt"), F.sum("idf").alias("_tot"))
     j = sents.withColumn("_nt", F.array_distinct(words("sentence"))).join(qlist, key, "left")
     hit = F.aggregate(F.filter(F.coalesce("_qt", F.array().cast("array<struct<term:string,idf:double>>")),

@@ -20,7 +20,7 @@ from quarry.config import BM25_B, BM25_K1
 from quarry.functions.rank import round_score, top_k
 from quarry.functions.text import stem, words
 from quarry.operators.index import TextIndex
-from quarry.session import broadcast_if_small
+from quarry.session import bounded_rows
 
 MAX_BROADCAST_QUERY_TERMS = 5_000_000
 
@@ -38,17 +38,25 @@ def idf_expr(df_col="df", n=None):
     return F.log(F.lit(1.0) + (n - F.col(df_col) + F.lit(0.5)) / (F.col(df_col) + F.lit(0.5)))
 
 
-def query_term_idf(queries: DataFrame, index: TextIndex, text: str = "text", key: str = "query_id") -> DataFrame:
-    """(query_id, term, idf) for query terms that occur in the corpus."""
-    qt = broadcast_if_small(query_terms(queries, text, index.cfg.with_stemming, key), MAX_BROADCAST_QUERY_TERMS)
+def query_term_idf(queries: DataFrame, index: TextIndex, text: str = "text", key: str = "query_id"):
+    """(query_id, term, idf) for query terms that occur in the corpus, and
+    whether it is small enough to broadcast (it has at most as many rows as
+    the distinct (query, term) pairs, which are counted once)."""
+    qt = query_terms(queries, text, index.cfg.with_stemming, key)
+    small = bounded_rows(qt, MAX_BROADCAST_QUERY_TERMS) is not None
+    if small:
+        qt = F.broadcast(qt)
     n = index.n_nodes()
-    return qt.join(index.df, "term").select(key, "term", idf_expr("df", n).alias("idf"))
+    qidf = qt.join(index.df, "term").select(key, "term", idf_expr("df", n).alias("idf"))
+    return qidf, small
 
 
 def bm25_scores(queries: DataFrame, index: TextIndex, text: str = "text", key: str = "query_id",
                 k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """All (query_id, node_id, score) with at least one shared term."""
-    qidf = broadcast_if_small(query_term_idf(queries, index, text, key), MAX_BROADCAST_QUERY_TERMS)
+    qidf, small = query_term_idf(queries, index, text, key)
+    if small:
+        qidf = F.broadcast(qidf)
     avgdl = index.avgdl()
     tf = F.col("tf").cast("double")
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl").cast("double") / avgdl)

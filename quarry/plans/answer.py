@@ -28,6 +28,7 @@ from quarry.operators.pack import budget_context, build_context, replace_with_me
 from quarry.operators.rerank import rerank
 from quarry.operators.route import classify_by_keyword_score
 from quarry.operators.sparse import bm25_top_k
+from quarry.session import bounded_rows
 
 
 def query_vectors(queries: DataFrame, index: TextIndex, cfg: RagConfig) -> DataFrame:
@@ -50,26 +51,34 @@ def retrieve(queries: DataFrame, index: TextIndex, cfg: RagConfig) -> DataFrame:
 
 
 def postprocess(hits: DataFrame, queries: DataFrame, index: TextIndex, cfg: RagConfig,
-                make_scorer: Optional[Callable] = None):
+                make_scorer: Optional[Callable] = None, max_rows: Optional[int] = None):
     """E3 order: rerank on the node's own text (the sentence), then swap in
     the window (E2). Returns (ranked ids, nodes with replaced text)."""
     if cfg.with_rerank:
-        hits = rerank(hits, queries, index, cfg.top_k_rerank, make_scorer)
+        hits = rerank(hits, queries, index, cfg.top_k_rerank, make_scorer, max_rows=max_rows)
     ranked = hits.select("query_id", "node_id", "rank")
-    replaced = replace_with_metadata(ranked, index.nodes, cfg.replace_key).select("query_id", "node_id", "rank", "text")
+    replaced = replace_with_metadata(ranked, index.nodes, cfg.replace_key, max_rows=max_rows) \
+        .select("query_id", "node_id", "rank", "text")
     return ranked, replaced
 
 
+def candidate_bound(queries: DataFrame, k: int, limit: int = 5_000_000) -> Optional[int]:
+    """Upper bound on a per-query top-k list: (#queries) x k, from one bounded count."""
+    nq = bounded_rows(queries, max(limit // max(k, 1), 1))
+    return None if nq is None else nq * k
+
+
 def answer(queries: DataFrame, index: TextIndex, cfg: RagConfig,
            make_completer: Callable = make_extractive_completer,
            make_scorer: Optional[Callable] = None) -> DataFrame:
     """P1-P4 (by config): query_id, response, source node_id, window, sentence,
     prompt_tokens, completion_tokens, total_tokens, error."""
     hits = retrieve(queries, index, cfg)
-    ranked, nodes_out = postprocess(hits, queries, index, cfg, make_scorer)
+    bound = candidate_bound(queries, cfg.top_k)
+    ranked, nodes_out = postprocess(hits, queries, index, cfg, make_scorer, max_rows=bound)
     packed = repack(nodes_out, cfg.repack_order)
     packed = budget_context(packed, queries, cfg.context_window, cfg.num_output, QA_TEMPLATE)
-    src = source_node(ranked, index.nodes)
+    src = source_node(ranked, index.nodes, max_rows=bound)
     if cfg.response_mode == "tree_summarize":
         k = cfg.top_k_rerank if cfg.with_rerank else cfg.top_k
         tree = tree_summarize(packed, queries, k, cfg.tree_fan_in, make_completer)

@@ -58,6 +58,36 @@ def part_of(doc_id: str, parts: int):
     return F.pmod(F.xxhash64(F.col(doc_id)), F.lit(parts)).cast("int")
 
 
+TARGET_PART_BYTES = 256 * 1024 * 1024
+MAX_PARTS = 4096
+META_SCHEMA = T.StructType([T.StructField("parts", T.IntegerType())])
+
+
+def choose_parts(docs: DataFrame) -> int:
+    """Partitions for a new index: about 256 MB of source text each, a power
+    of two, at most 4096. Read from the planner's size estimate (no job)."""
+    try:
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # pragma: no cover - estimate unavailable
+        return 64
+    want = max(1, -(-size // TARGET_PART_BYTES))
+    p = 1
+    while p < want and p < MAX_PARTS:
+        p *= 2
+    return p
+
+
+def index_parts_for(spark: SparkSession, path: str, docs: DataFrame, cfg: RagConfig) -> int:
+    """The index's partition count: fixed at first build and kept in ``meta``
+    so every later update hashes documents to the same partitions."""
+    meta = f"{path}/meta"
+    if path_exists(spark, meta):
+        return int(spark.read.schema(META_SCHEMA).parquet(meta).first()["parts"])
+    p = cfg.index_partitions if cfg.index_partitions > 0 else choose_parts(docs)
+    spark.createDataFrame([(int(p),)], META_SCHEMA).coalesce(1).write.mode("overwrite").parquet(meta)
+    return p
+
+
 def _read(spark: SparkSession, path: str, name: str, schema: T.StructType) -> DataFrame:
     full = f"{path}/{name}"
     if not path_exists(spark, full):
@@ -89,9 +119,13 @@ def _write_parts(df: DataFrame, full: str, dynamic: bool, sort_cols=()) -> None:
     w.parquet(full)
 
 
-def _index_rows(docs: DataFrame, cfg: RagConfig, embedder: Embedder) -> dict[str, DataFrame]:
-    p = cfg.index_partitions
-    nodes = chunk(docs, cfg).withColumn("part", part_of("doc_id", p))
+def _index_rows(spark: SparkSession, docs: DataFrame, cfg: RagConfig, embedder: Embedder,
+                nodes_path: str, p: int) -> dict[str, DataFrame]:
+    """Chunk once and write the nodes; postings and vectors are then derived
+    from the written node table (the sentence split is not repeated, and the
+    written table cuts the lineage back to the raw text)."""
+    _write_parts(chunk(docs, cfg).withColumn("part", part_of("doc_id", p)), nodes_path, dynamic=False)
+    nodes = spark.read.schema(NODES_SCHEMA).parquet(nodes_path)
     return {
         "nodes": nodes,
         "postings": build_postings(nodes, cfg).withColumn("part", part_of("doc_id", p)),
@@ -107,15 +141,15 @@ def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig
     dropped, "touched_parts": partitions rewritten}.
     """
     embedder = embedder or Embedder(dim=cfg.hash_dim, with_stemming=cfg.with_stemming)
-    p = cfg.index_partitions
+    p = index_parts_for(spark, path, docs, cfg)
     current = docs.select("doc_id", "text").withColumn("fingerprint", fingerprint("text")) \
         .withColumn("part", part_of("doc_id", p))
     have = _read(spark, path, "docs", DOCS_SCHEMA)
     fresh = not path_exists(spark, f"{path}/docs")
     if fresh:
-        rows = _index_rows(current, cfg, embedder)
-        for name, df in rows.items():
-            _write_parts(df, f"{path}/{name}", dynamic=False, sort_cols=("term",) if name == "postings" else ())
+        rows = _index_rows(spark, current, cfg, embedder, f"{path}/nodes", p)
+        for name in ("postings", "vectors"):
+            _write_parts(rows[name], f"{path}/{name}", dynamic=False, sort_cols=("term",) if name == "postings" else ())
         _write_parts(current.select("doc_id", "fingerprint", "part"), f"{path}/docs", dynamic=False)
         changed_n, removed_n, touched_n = spark.read.parquet(f"{path}/docs").count(), 0, p
     else:
@@ -124,11 +158,14 @@ def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig
         gone = changed.select("doc_id", "part").unionByName(removed.select("doc_id", "part"))
         # bounded: at most P distinct partition numbers
         touched = [r["part"] for r in gone.select("part").distinct().collect()]
-        changed_n, removed_n, touched_n = None, None, len(touched)
+        touched_n = len(touched)
+        # count before any table is rewritten: these plans read the old docs table
+        changed_n = changed.count() if touched else 0
+        removed_n = removed.count() if touched else 0
         if touched:
             stage = f"{path}/_staging-{uuid.uuid4().hex[:8]}"
             gone_ids = gone.select("doc_id").distinct()
-            new_rows = _index_rows(changed.select("doc_id", "text"), cfg, embedder)
+            new_rows = _index_rows(spark, changed.select("doc_id", "text"), cfg, embedder, f"{stage}/_new_nodes", p)
             new_rows["docs"] = changed.select("doc_id", "fingerprint", "part")
             for name, schema in TABLES.items():
                 old = _read(spark, path, name, schema).filter(F.col("part").isin(touched))
@@ -141,8 +178,6 @@ def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig
                 _write_parts(staged, f"{path}/{name}", dynamic=True,
                              sort_cols=("term",) if name == "postings" else ())
             delete_path(spark, stage)
-        changed_n = changed.count() if touched else 0
-        removed_n = removed.count() if touched else 0
     if fresh or touched_n:
         postings = spark.read.schema(POSTINGS_SCHEMA).parquet(f"{path}/postings")
         doc_freq(postings).write.mode("overwrite").parquet(f"{path}/df")
