@@ -37,6 +37,7 @@ class TextIndex:
     stats: DataFrame     # n, avgdl
     cfg: RagConfig
     embedder: Embedder
+    forward: DataFrame | None = None  # node_id, terms, tfs, dl (per-node term lists)
 
     def n_nodes(self):
         return self.stats.select("n").scalar()
@@ -60,6 +61,15 @@ def build_postings(nodes: DataFrame, cfg: RagConfig) -> DataFrame:
              F.col("dl").cast("int").alias("dl"))
 
 
+def build_forward(nodes: DataFrame, cfg: RagConfig) -> DataFrame:
+    """Per-node sorted distinct terms with counts, and the length: lets BM25
+    score a bounded candidate set without touching the postings again."""
+    ts = with_terms(nodes.select("node_id", "doc_id", "text"), "text", cfg.with_stemming)
+    return ts.select("node_id", "doc_id", F.col("_ts.terms").alias("terms"),
+                     F.col("_ts.tfs").cast("array<int>").alias("tfs"),
+                     F.aggregate("_ts.tfs", F.lit(0), lambda a, b: a + b).cast("int").alias("dl"))
+
+
 def build_vectors(nodes: DataFrame, cfg: RagConfig, embedder: Embedder | None = None) -> DataFrame:
     embedder = embedder or Embedder(dim=cfg.hash_dim, with_stemming=cfg.with_stemming)
     if embedder.make_fn is None:
@@ -102,4 +112,5 @@ def index_from_nodes(nodes: DataFrame, cfg: RagConfig, embedder: Embedder | None
     postings = build_postings(nodes, cfg)
     vectors = build_vectors(nodes, cfg, embedder)
     return TextIndex(nodes=nodes, postings=postings, vectors=vectors, df=doc_freq(postings),
-                     stats=corpus_stats_from_nodes(nodes, cfg), cfg=cfg, embedder=embedder)
+                     stats=corpus_stats_from_nodes(nodes, cfg), cfg=cfg, embedder=embedder,
+                     forward=build_forward(nodes, cfg))

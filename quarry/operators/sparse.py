@@ -13,16 +13,18 @@ and cut to k per query by a partial + final WindowGroupLimit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.config import BM25_B, BM25_K1
 from quarry.functions.rank import round_score, top_k
 from quarry.functions.text import stem, words
 from quarry.operators.index import TextIndex
-from quarry.session import bounded_rows
+from quarry.session import bounded_rows, broadcast_if_small
 
 MAX_BROADCAST_QUERY_TERMS = 5_000_000
+COMMON_DF_FRACTION = 0.01
+MAX_BROADCAST_CANDIDATES = 5_000_000
 
 
 def query_terms(queries: DataFrame, text: str = "text", with_stemming: bool = False,
@@ -47,25 +49,77 @@ def query_term_idf(queries: DataFrame, index: TextIndex, text: str = "text", key
     if small:
         qt = F.broadcast(qt)
     n = index.n_nodes()
-    qidf = qt.join(index.df, "term").select(key, "term", idf_expr("df", n).alias("idf"))
+    qidf = qt.join(index.df, "term").select(key, "term", "df", idf_expr("df", n).alias("idf"))
     return qidf, small
 
 
+def _contrib(idf, tf, dl, avgdl, k1, b):
+    tf = tf.cast("double")
+    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * dl.cast("double") / avgdl)
+    return idf * tf * F.lit(k1 + 1.0) / (tf + norm)
+
+
+def _exhaustive(qidf: DataFrame, index: TextIndex, key: str, k1: float, b: float) -> DataFrame:
+    """Score every node sharing a query term: postings x broadcast query terms."""
+    avgdl = index.avgdl()
+    contrib = _contrib(F.col("idf"), F.col("tf"), F.col("dl"), avgdl, k1, b)
+    matched = index.postings.select("term", "node_id", "tf", "dl").join(qidf, "term")
+    return matched.groupBy(key, "node_id").agg(round_score(F.sum(contrib)).alias("score"))
+
+
 def bm25_scores(queries: DataFrame, index: TextIndex, text: str = "text", key: str = "query_id",
                 k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """All (query_id, node_id, score) with at least one shared term."""
     qidf, small = query_term_idf(queries, index, text, key)
-    if small:
-        qidf = F.broadcast(qidf)
-    avgdl = index.avgdl()
-    tf = F.col("tf").cast("double")
-    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl").cast("double") / avgdl)
-    contrib = F.col("idf") * tf * F.lit(k1 + 1.0) / (tf + norm)
-    matched = index.postings.select("term", "node_id", "tf", "dl").join(qidf, "term")
-    return matched.groupBy(key, "node_id").agg(round_score(F.sum(contrib)).alias("score"))
+    return _exhaustive(F.broadcast(qidf) if small else qidf, index, key, k1, b)
 
 
 def bm25_top_k(queries: DataFrame, index: TextIndex, k: int, text: str = "text",
-               key: str = "query_id") -> DataFrame:
-    """K best nodes per query: (query_id, node_id, score, rank)."""
-    return top_k(bm25_scores(queries, index, text, key), [key], k)
+               key: str = "query_id", k1: float = BM25_K1, b: float = BM25_B,
+               common_fraction: float = COMMON_DF_FRACTION, prune: bool = True) -> DataFrame:
+    """K best nodes per query: (query_id, node_id, score, rank).
+
+    Exact top-k with MaxScore-style pruning. A term is *common* when its df
+    exceeds ``common_fraction`` of the nodes; its contribution to any score is
+    below its upper bound idf * (k1 + 1). Phase 1 scores, in full (from the
+    per-node forward lists), only nodes holding at least one rare query term.
+    For a query whose k-th phase-1 score exceeds the sum of its common terms'
+    upper bounds, no other node can reach the top k, so phase 1 is the exact
+    answer. Other queries fall back to exhaustive scoring. A stopword that
+    occurs in a third of all nodes therefore never fans a query out to a third
+    of the corpus unless the answer needs it.
+    """
+    qidf, small = query_term_idf(queries, index, text, key)
+    qb = F.broadcast(qidf) if small else qidf
+    if not prune or index.forward is None:
+        return top_k(_exhaustive(qb, index, key, k1, b), [key], k)
+    n = index.n_nodes()
+    avgdl = index.avgdl()
+    common = F.col("df") > F.greatest(F.lit(1.0), n * F.lit(float(common_fraction)))
+    flagged = qidf.withColumn("_common", common)
+    summary = flagged.groupBy(key).agg(
+        F.coalesce(F.sum(F.when(F.col("_common"), F.col("idf") * F.lit(k1 + 1.0))), F.lit(0.0)).alias("_ubc"),
+        F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("_qm"))
+    rare = flagged.filter(~F.col("_common")).select(key, "term")
+    rare = F.broadcast(rare) if small else rare
+    cand = index.postings.select("term", "node_id").join(rare, "term").select(key, "node_id").distinct()
+    # the candidate list is broadcast against the forward table behind a size
+    # check, so the forward table is scanned in place and never shuffled
+    cand = broadcast_if_small(cand, MAX_BROADCAST_CANDIDATES)
+    fw = index.forward.select("node_id", "terms", "tfs", "dl")
+    scored = fw.join(cand, "node_id").join(F.broadcast(summary) if small else summary, key)
+    # length normalisation outside the lambda (a scalar subquery may not sit in one)
+    scored = scored.withColumn("_nrm", F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl").cast("double") / avgdl))
+    per_term = F.zip_with("terms", "tfs", lambda t, f: F.coalesce(F.try_element_at(F.col("_qm"), t), F.lit(0.0))
+                          * f.cast("double") * F.lit(k1 + 1.0) / (f.cast("double") + F.col("_nrm")))
+    total = F.aggregate(per_term, F.lit(0.0), lambda a, x: a + x)
+    phase1 = top_k(scored.select(key, "node_id", "_ubc", round_score(total).alias("score")), [key], k)
+    w = Window.partitionBy(key)
+    judged = phase1.withColumn("_kth", F.min("score").over(w)).withColumn("_cnt", F.count(F.lit(1)).over(w))
+    exact_flag = (F.col("_cnt") == k) & (F.col("_kth") > F.col("_ubc") + F.lit(1e-6))
+    exact_rows = judged.filter(exact_flag).select(key, "node_id", "score", "rank")
+    exact_keys = exact_rows.select(key).distinct()
+    rest = qidf.drop("df").join(exact_keys, key, "left_anti")
+    rest = F.broadcast(rest) if small else rest
+    fallback = top_k(_exhaustive(rest, index, key, k1, b), [key], k)
+    return exact_rows.unionByName(fallback)

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from quarry.config import RagConfig
 from quarry.operators.chunk import chunk, fingerprint
 from quarry.operators.embed import Embedder
-from quarry.operators.index import TextIndex, build_postings, build_vectors, doc_freq
+from quarry.operators.index import TextIndex, build_forward, build_postings, build_vectors, doc_freq
 from quarry.session import delete_path, path_exists, shared_path
 
 DOCS_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fingerprint", T.StringType()),
@@ -43,10 +43,15 @@ POSTINGS_SCHEMA = T.StructType([T.StructField("term", T.StringType()), T.StructF
 VECTORS_SCHEMA = T.StructType([T.StructField("node_id", T.StringType()), T.StructField("doc_id", T.LongType()),
                                T.StructField("vector", T.ArrayType(T.DoubleType())),
                                T.StructField("part", T.IntegerType())])
+FORWARD_SCHEMA = T.StructType([T.StructField("node_id", T.StringType()), T.StructField("doc_id", T.LongType()),
+                               T.StructField("terms", T.ArrayType(T.StringType())),
+                               T.StructField("tfs", T.ArrayType(T.IntegerType())),
+                               T.StructField("dl", T.IntegerType()), T.StructField("part", T.IntegerType())])
 DF_SCHEMA = T.StructType([T.StructField("term", T.StringType()), T.StructField("df", T.LongType())])
 STATS_SCHEMA = T.StructType([T.StructField("n", T.LongType()), T.StructField("avgdl", T.DoubleType())])
 
-TABLES = {"docs": DOCS_SCHEMA, "nodes": NODES_SCHEMA, "postings": POSTINGS_SCHEMA, "vectors": VECTORS_SCHEMA}
+TABLES = {"docs": DOCS_SCHEMA, "nodes": NODES_SCHEMA, "postings": POSTINGS_SCHEMA, "vectors": VECTORS_SCHEMA,
+          "forward": FORWARD_SCHEMA}
 
 
 def default_index_path(spark: SparkSession, name: str, cfg: RagConfig, embedder: Embedder | None = None) -> str:
@@ -103,8 +108,9 @@ def load_index(spark: SparkSession, path: str, cfg: RagConfig, embedder: Embedde
     vectors = _read(spark, path, "vectors", VECTORS_SCHEMA)
     dfs = _read(spark, path, "df", DF_SCHEMA)
     stats = _read(spark, path, "stats", STATS_SCHEMA)
+    forward = _read(spark, path, "forward", FORWARD_SCHEMA) if path_exists(spark, f"{path}/forward") else None
     return TextIndex(nodes=nodes, postings=postings, vectors=vectors, df=dfs, stats=stats, cfg=cfg,
-                     embedder=embedder)
+                     embedder=embedder, forward=forward)
 
 
 def _write_parts(df: DataFrame, full: str, dynamic: bool, sort_cols=()) -> None:
@@ -130,6 +136,7 @@ def _index_rows(spark: SparkSession, docs: DataFrame, cfg: RagConfig, embedder:
         "nodes": nodes,
         "postings": build_postings(nodes, cfg).withColumn("part", part_of("doc_id", p)),
         "vectors": build_vectors(nodes, cfg, embedder).withColumn("part", part_of("doc_id", p)),
+        "forward": build_forward(nodes, cfg).withColumn("part", part_of("doc_id", p)),
     }
 
 
@@ -148,7 +155,7 @@ def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig
     fresh = not path_exists(spark, f"{path}/docs")
     if fresh:
         rows = _index_rows(spark, current, cfg, embedder, f"{path}/nodes", p)
-        for name in ("postings", "vectors"):
+        for name in ("postings", "vectors", "forward"):
             _write_parts(rows[name], f"{path}/{name}", dynamic=False, sort_cols=("term",) if name == "postings" else ())
         _write_parts(current.select("doc_id", "fingerprint", "part"), f"{path}/docs", dynamic=False)
         changed_n, removed_n, touched_n = spark.read.parquet(f"{path}/docs").count(), 0, p

@@ -75,3 +75,18 @@ def test_dense_query_blocks_beyond_broadcast_bound(spark):
     small = dense_top_k(q, c, 3, id_col="vec_id", max_broadcast_queries=4).orderBy("query_id", "rank").collect()
     big = dense_top_k(q, c, 3, id_col="vec_id").orderBy("query_id", "rank").collect()
     assert [tuple(r) for r in small] == [tuple(r) for r in big]
+
+
+def test_pruned_bm25_equals_exhaustive(spark, scratch):
+    from quarry.config import RagConfig
+    from quarry.operators.sparse import bm25_top_k
+    from quarry.sources.index_store import ensure_index
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    q = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").withColumnRenamed("item_id", "query_id")
+    idx = ensure_index(spark, docs, "t", RagConfig(index_partitions=2), path=f"{scratch}/bm")
+    assert idx.forward is not None
+    for k, frac in ((12, 0.01), (5, 0.0001), (3, 0.5)):
+        a = sorted(tuple(r) for r in bm25_top_k(q, idx, k, common_fraction=frac).collect())
+        b = sorted(tuple(r) for r in bm25_top_k(q, idx, k, prune=False).collect())
+        assert a == b
