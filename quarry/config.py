@@ -47,6 +47,9 @@ class RagConfig:
     hybrid_alpha: float = 0.3
     fusion_mode: str = "OR"
     with_stemming: bool = False
+    # exact MaxScore-style BM25 pruning (needs the per-node forward table);
+    # pays off when query terms are rare, off by default (see README)
+    bm25_prune: bool = False
     # postprocessing
     with_rerank: bool = True
     top_k_rerank: int = 2
@@ -86,6 +89,6 @@ class RagConfig:
     def index_fingerprint(self) -> str:
         """Digest of everything that shapes the index tables (A6: stale-proof paths)."""
         keys = ("chunker", "window_size", "chunk_size", "chunk_overlap", "hash_dim",
-                "with_stemming", "index_partitions")
+                "with_stemming", "index_partitions", "bm25_prune")
         blob = json.dumps({k: getattr(self, k) for k in keys}, sort_keys=True)
         return hashlib.md5(blob.encode()).hexdigest()[:12]

@@ -113,4 +113,4 @@ def index_from_nodes(nodes: DataFrame, cfg: RagConfig, embedder: Embedder | None
     vectors = build_vectors(nodes, cfg, embedder)
     return TextIndex(nodes=nodes, postings=postings, vectors=vectors, df=doc_freq(postings),
                      stats=corpus_stats_from_nodes(nodes, cfg), cfg=cfg, embedder=embedder,
-                     forward=build_forward(nodes, cfg))
+                     forward=build_forward(nodes, cfg) if cfg.bm25_prune else None)

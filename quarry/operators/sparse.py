@@ -76,7 +76,7 @@ def bm25_scores(queries: DataFrame, index: TextIndex, text: str = "text", key: s
 
 def bm25_top_k(queries: DataFrame, index: TextIndex, k: int, text: str = "text",
                key: str = "query_id", k1: float = BM25_K1, b: float = BM25_B,
-               common_fraction: float = COMMON_DF_FRACTION, prune: bool = True) -> DataFrame:
+               common_fraction: float = COMMON_DF_FRACTION, prune: bool | None = None) -> DataFrame:
     """K best nodes per query: (query_id, node_id, score, rank).
 
     Exact top-k with MaxScore-style pruning. A term is *common* when its df
@@ -91,6 +91,8 @@ def bm25_top_k(queries: DataFrame, index: TextIndex, k: int, text: str = "text",
     """
     qidf, small = query_term_idf(queries, index, text, key)
     qb = F.broadcast(qidf) if small else qidf
+    if prune is None:
+        prune = index.cfg.bm25_prune
     if not prune or index.forward is None:
         return top_k(_exhaustive(qb, index, key, k1, b), [key], k)
     n = index.n_nodes()

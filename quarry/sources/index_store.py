@@ -113,10 +113,18 @@ def load_index(spark: SparkSession, path: str, cfg: RagConfig, embedder: Embedde
                      embedder=embedder, forward=forward)
 
 
+WRITE_SALT = 64
+
+
 def _write_parts(df: DataFrame, full: str, dynamic: bool, sort_cols=()) -> None:
-    # REBALANCE lets AQE split a hot partition value over several tasks and
-    # merge small ones, so files stay task-sized at any scale.
-    out = df.hint("rebalance", "part")
+    # REBALANCE on (part, salt): AQE merges small shuffle partitions and splits
+    # big ones, so files stay task-sized at any scale. The salt (a hash of the
+    # node, else the document) spreads one partition value -- or one huge
+    # document -- over many files, so even a small table is read by several
+    # tasks and a hot partition is never one writer.
+    key = "node_id" if "node_id" in df.columns else "doc_id"
+    out = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(WRITE_SALT))) \
+        .hint("rebalance", "part", "_salt").drop("_salt")
     if sort_cols:
         out = out.sortWithinPartitions("part", *sort_cols)
     w = out.write.mode("overwrite").partitionBy("part")
@@ -132,12 +140,14 @@ def _index_rows(spark: SparkSession, docs: DataFrame, cfg: RagConfig, embedder:
     written table cuts the lineage back to the raw text)."""
     _write_parts(chunk(docs, cfg).withColumn("part", part_of("doc_id", p)), nodes_path, dynamic=False)
     nodes = spark.read.schema(NODES_SCHEMA).parquet(nodes_path)
-    return {
+    rows = {
         "nodes": nodes,
         "postings": build_postings(nodes, cfg).withColumn("part", part_of("doc_id", p)),
         "vectors": build_vectors(nodes, cfg, embedder).withColumn("part", part_of("doc_id", p)),
-        "forward": build_forward(nodes, cfg).withColumn("part", part_of("doc_id", p)),
     }
+    if cfg.bm25_prune:
+        rows["forward"] = build_forward(nodes, cfg).withColumn("part", part_of("doc_id", p))
+    return rows
 
 
 def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig,
@@ -155,7 +165,7 @@ def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig
     fresh = not path_exists(spark, f"{path}/docs")
     if fresh:
         rows = _index_rows(spark, current, cfg, embedder, f"{path}/nodes", p)
-        for name in ("postings", "vectors", "forward"):
+        for name in [n for n in ("postings", "vectors", "forward") if n in rows]:
             _write_parts(rows[name], f"{path}/{name}", dynamic=False, sort_cols=("term",) if name == "postings" else ())
         _write_parts(current.select("doc_id", "fingerprint", "part"), f"{path}/docs", dynamic=False)
         changed_n, removed_n, touched_n = spark.read.parquet(f"{path}/docs").count(), 0, p
@@ -174,13 +184,14 @@ def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig
             gone_ids = gone.select("doc_id").distinct()
             new_rows = _index_rows(spark, changed.select("doc_id", "text"), cfg, embedder, f"{stage}/_new_nodes", p)
             new_rows["docs"] = changed.select("doc_id", "fingerprint", "part")
-            for name, schema in TABLES.items():
+            tables = {n: sc for n, sc in TABLES.items() if n in new_rows}
+            for name, schema in tables.items():
                 old = _read(spark, path, name, schema).filter(F.col("part").isin(touched))
                 keep = old.join(gone_ids, "doc_id", "left_anti").select(*schema.fieldNames())
                 merged = keep.unionByName(new_rows[name].select(*schema.fieldNames()))
                 _write_parts(merged, f"{stage}/{name}", dynamic=False,
                              sort_cols=("term",) if name == "postings" else ())
-            for name, schema in TABLES.items():
+            for name, schema in tables.items():
                 staged = spark.read.schema(schema).parquet(f"{stage}/{name}")
                 _write_parts(staged, f"{path}/{name}", dynamic=True,
                              sort_cols=("term",) if name == "postings" else ())

@@ -84,9 +84,9 @@ def test_pruned_bm25_equals_exhaustive(spark, scratch):
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     q = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").withColumnRenamed("item_id", "query_id")
-    idx = ensure_index(spark, docs, "t", RagConfig(index_partitions=2), path=f"{scratch}/bm")
+    idx = ensure_index(spark, docs, "t", RagConfig(index_partitions=2, bm25_prune=True), path=f"{scratch}/bm")
     assert idx.forward is not None
     for k, frac in ((12, 0.01), (5, 0.0001), (3, 0.5)):
-        a = sorted(tuple(r) for r in bm25_top_k(q, idx, k, common_fraction=frac).collect())
+        a = sorted(tuple(r) for r in bm25_top_k(q, idx, k, common_fraction=frac, prune=True).collect())
         b = sorted(tuple(r) for r in bm25_top_k(q, idx, k, prune=False).collect())
         assert a == b
