@@ -90,3 +90,22 @@ def test_pruned_bm25_equals_exhaustive(spark, scratch):
         a = sorted(tuple(r) for r in bm25_top_k(q, idx, k, common_fraction=frac, prune=True).collect())
         b = sorted(tuple(r) for r in bm25_top_k(q, idx, k, prune=False).collect())
         assert a == b
+
+
+def test_lsh_scores_exact_and_recall(spark):
+    from quarry.operators.dense import approx_dense_top_k
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    c = e.select("vec_id", F.col("embedding").alias("vector"))
+    exact = dense_top_k(q, c, 5, id_col="vec_id", exclude_self=False)
+    approx = approx_dense_top_k(q, c, 5, id_col="vec_id", min_cosine=0.0)
+    ex = {(r.query_id, r.vec_id): r.score for r in exact.collect()}
+    full = {(r.query_id, r.vec_id): r.score for r in
+            dense_top_k(q, c, 500, id_col="vec_id").collect()}
+    ap = approx.collect()
+    assert ap
+    for r in ap:  # every returned score is the exact one
+        assert abs(full[(r.query_id, r.vec_id)] - r.score) < 1e-6
+    recall = len({(r.query_id, r.vec_id) for r in ap} & set(ex)) / len(ex)
+    assert recall >= 0.3
