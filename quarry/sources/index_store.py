@@ -150,6 +150,16 @@ def _index_rows(spark: SparkSession, docs: DataFrame, cfg: RagConfig, embedder:
     return rows
 
 
+def _write_aggregates(spark: SparkSession, path: str, cfg: RagConfig) -> None:
+    """df and stats, re-aggregated from the written postings and nodes."""
+    from quarry.operators.index import corpus_stats_from_nodes
+
+    postings = spark.read.schema(POSTINGS_SCHEMA).parquet(f"{path}/postings")
+    doc_freq(postings).write.mode("overwrite").parquet(f"{path}/df")
+    nodes = spark.read.schema(NODES_SCHEMA).parquet(f"{path}/nodes")
+    corpus_stats_from_nodes(nodes, cfg).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
 def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig,
                  embedder: Embedder | None = None) -> dict:
     """Bring the index at ``path`` in line with ``docs`` (the full corpus).
@@ -167,6 +177,8 @@ def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig
         rows = _index_rows(spark, current, cfg, embedder, f"{path}/nodes", p)
         for name in [n for n in ("postings", "vectors", "forward") if n in rows]:
             _write_parts(rows[name], f"{path}/{name}", dynamic=False, sort_cols=("term",) if name == "postings" else ())
+        _write_aggregates(spark, path, cfg)
+        # docs last: it is the commit marker (a crash before it means "rebuild")
         _write_parts(current.select("doc_id", "fingerprint", "part"), f"{path}/docs", dynamic=False)
         changed_n, removed_n, touched_n = spark.read.parquet(f"{path}/docs").count(), 0, p
     else:
@@ -191,17 +203,16 @@ def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig
                 merged = keep.unionByName(new_rows[name].select(*schema.fieldNames()))
                 _write_parts(merged, f"{stage}/{name}", dynamic=False,
                              sort_cols=("term",) if name == "postings" else ())
-            for name, schema in tables.items():
-                staged = spark.read.schema(schema).parquet(f"{stage}/{name}")
+            # docs last: until its partitions are replaced the old fingerprints
+            # stand, so a rerun after a failure redoes exactly these documents
+            order = [n for n in tables if n != "docs"] + ["docs"]
+            for name in order:
+                staged = spark.read.schema(tables[name]).parquet(f"{stage}/{name}")
                 _write_parts(staged, f"{path}/{name}", dynamic=True,
                              sort_cols=("term",) if name == "postings" else ())
+                if name == order[-2]:
+                    _write_aggregates(spark, path, cfg)
             delete_path(spark, stage)
-    if fresh or touched_n:
-        postings = spark.read.schema(POSTINGS_SCHEMA).parquet(f"{path}/postings")
-        doc_freq(postings).write.mode("overwrite").parquet(f"{path}/df")
-        nodes = spark.read.schema(NODES_SCHEMA).parquet(f"{path}/nodes")
-        from quarry.operators.index import corpus_stats_from_nodes
-        corpus_stats_from_nodes(nodes, cfg).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     return {"changed": changed_n, "removed": removed_n, "touched_parts": touched_n}
 
 
