@@ -182,3 +182,31 @@ def stub_answer_sql(context_col: str, query_col: str) -> str:
 
 def space_count(col: str) -> str:
     return f"len(regexp_extract_all({col}, '\\S+'))"
+
+
+def sentence_pack_sql(size: int, overlap: int) -> str:
+    """B4 as a recursive walk over each document's sentence token counts."""
+    return f"""
+WITH RECURSIVE
+sc AS (
+  SELECT doc_id, s, list_transform(s, lambda x: len(regexp_extract_all(x, '\\S+'))) AS t
+  FROM (SELECT doc_id, {sentences_sql('text')} AS s FROM documents) WHERE len(s) > 0),
+walk AS (
+  SELECT doc_id, 1 AS i, 1 AS st, t[1] AS tok, CAST([] AS STRUCT(a INTEGER, b INTEGER)[]) AS spans, len(t) AS n, t
+  FROM sc
+  UNION ALL
+  SELECT doc_id, i + 1,
+         CASE WHEN fits THEN st ELSE i + 1 - bk END,
+         CASE WHEN fits THEN tok + nt ELSE coalesce(list_sum(t[i - bk + 1:i]), 0) + nt END,
+         CASE WHEN fits THEN spans ELSE list_append(spans, {{'a': st, 'b': i}}) END,
+         n, t
+  FROM (SELECT *, t[i + 1] AS nt, tok + t[i + 1] <= {size} AS fits,
+               len(list_filter(range(1, i - st + 1),
+                   lambda k: coalesce(list_sum(t[i - k + 1:i]), 0) <= {overlap}
+                         AND coalesce(list_sum(t[i - k + 1:i]), 0) + t[i + 1] <= {size})) AS bk
+        FROM walk WHERE i < n)),
+done AS (SELECT w.doc_id, list_append(w.spans, {{'a': w.st, 'b': w.n}}) AS spans, sc.s
+         FROM walk w JOIN sc USING (doc_id) WHERE w.i = w.n),
+ch AS (SELECT doc_id, s, unnest(spans) AS sp, unnest(generate_series(0, len(spans) - 1)) AS pos FROM done)
+SELECT CAST(doc_id AS VARCHAR) || '-' || CAST(pos AS VARCHAR) AS node_id, doc_id, CAST(pos AS INTEGER) AS pos,
+       array_to_string(s[sp.a:sp.b], ' ') AS text FROM ch"""

@@ -48,12 +48,16 @@ def b3_token_chunks(spark, sf):
     return C.token_chunk_nodes(documents(spark, sf), 512, 128).drop("window")
 
 
-@register("b4_sentence_pack")
+@register("b4_sentence_pack", S.sentence_pack_sql(512, 128))
 def b4_sentence_pack(spark, sf):
-    # the fold is sequential per document; checked against a plain loop in tests
     return C.sentence_pack_nodes(documents(spark, sf), 512, 128).drop("window")
 
 
+@register("b4_sentence_pack_small", S.sentence_pack_sql(64, 16))
+def b4_sentence_pack_small(spark, sf):
+    return C.sentence_pack_nodes(documents(spark, sf), 64, 16).drop("window")
+
+
 @register("b5_chunker_choice", """
 WITH t AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS toks FROM documents),
 st AS (SELECT doc_id, unnest(generate_series(0, greatest(len(toks) - 32 - 1, 0), 96)) AS start
