@@ -14,7 +14,8 @@ from quarry.functions.rank import round_score, top_k
 from quarry.functions.text import sentences, space_token_count, space_tokens, words
 from quarry.operators.chunk import node_metadata
 from quarry.operators.index import TextIndex
-from quarry.operators.rerank import attach_text
+from quarry.operators.rerank import MAX_BROADCAST_CANDIDATES, attach_text
+from quarry.session import broadcast_if_small
 from quarry.operators.sparse import query_term_idf
 
 
@@ -103,8 +104,15 @@ def compress_context(packed: DataFrame, queries: DataFrame, index: TextIndex, m:
                         F.explode(F.sequence(F.greatest(F.col("pos") - window_size, F.lit(0)),
                                              F.col("pos") + window_size)).alias("spos"))
     spans = spans.groupBy(key, "doc_id", "spos").agg(F.min(ord_col).alias("_ord"))
+    # at most (queries x k) x (2w + 1) rows: broadcast against the node table so
+    # the nodes are read in place, never shuffled
+    bound = None if max_rows is None else max_rows * (2 * window_size + 1)
+    if bound is not None and bound <= MAX_BROADCAST_CANDIDATES:
+        spans = F.broadcast(spans)
+    elif bound is None:
+        spans = broadcast_if_small(spans, MAX_BROADCAST_CANDIDATES)
     sent = index.nodes.select("doc_id", F.col("pos").alias("spos"), F.col("text").alias("sentence"))
-    sents = spans.join(sent, ["doc_id", "spos"])
+    sents = sent.join(spans, ["doc_id", "spos"])
     qidf, _ = query_term_idf(queries, index, "text", key)
     qlist = qidf.groupBy(key).agg(F.collect_list(F.struct("term", "idf")).alias("_qt"), F.sum("idf").alias("_tot"))
     j = sents.withColumn("_nt", F.array_distinct(words("sentence"))).join(qlist, key, "left")
