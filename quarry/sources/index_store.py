@@ -217,10 +217,17 @@ def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig
 
 
 def ensure_index(spark: SparkSession, docs: DataFrame, name: str, cfg: RagConfig,
-                 embedder: Embedder | None = None, path: str | None = None) -> TextIndex:
-    """Load-or-build, re-aimed as an incremental build (A6), then load (A5)."""
+                 embedder: Embedder | None = None, path: str | None = None,
+                 refresh: bool = False) -> TextIndex:
+    """Load-or-build (A6), then load (A5).
+
+    An existing, committed index is loaded without touching the documents;
+    ``refresh=True`` runs the incremental update first (it fingerprints the
+    whole corpus, so it is a deliberate step, not a side effect of loading).
+    """
     path = path or default_index_path(spark, name, cfg, embedder)
-    upsert_index(spark, docs, path, cfg, embedder)
+    if refresh or not path_exists(spark, f"{path}/docs"):
+        upsert_index(spark, docs, path, cfg, embedder)
     return load_index(spark, path, cfg, embedder)
 
 
