@@ -33,3 +33,19 @@ def test_entry_and_registry(spark):
     out = E.entry(spark)
     assert out.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_routed_answer_each_query_once(spark):
+    from quarry.operators.route import classify_by_keyword_score
+    from quarry.plans.answer import routed_answer
+    from quarry.plans.registry import DEFAULT_CFG, corpus_index
+    from quarry.sources.tables import benchmark_queries
+
+    idx = corpus_index(spark, SF)
+    q = benchmark_queries(spark, SF)
+    routes = {r.query_id: r.route for r in classify_by_keyword_score(q, idx, DEFAULT_CFG.route_threshold).collect()}
+    out = routed_answer(q, idx, DEFAULT_CFG).collect()
+    assert sorted(r.query_id for r in out) == sorted(routes)  # every query exactly once
+    for r in out:
+        assert r.route == routes[r.query_id]
+        assert (r.source_node_id is None) == (r.route == 1)  # sources only on the RAG route
