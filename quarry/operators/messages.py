@@ -10,8 +10,8 @@ partitioned by (stream, block). The work splits over blocks; only the
 output itself (a prefix per row) grows with the stream.
 
 F10 message records: a message with any null field is dropped; order by
-turn. The records stay one row per message (a list per conversation is
-built only at the model boundary, where the context window bounds it).
+turn. The records stay one row per message: no conversation is ever
+collected into a single row or task.
 """
 
 from __future__ import annotations
@@ -42,12 +42,3 @@ def message_records(conversations: DataFrame, conv: str = "conv_id", turn: str =
     """(conv_id, turn, role, content) with null-free messages only."""
     keep = F.col(conv).isNotNull() & F.col(turn).isNotNull() & F.col(role).isNotNull() & F.col(text).isNotNull()
     return conversations.filter(keep).select(conv, turn, role, F.col(text).alias("content"))
-
-
-def chat_payload(records: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Messages of each conversation as an ordered list of (role, content)
-    structs, for handing to a chat model (bounded by its context window)."""
-    msgs = F.sort_array(F.collect_list(F.struct("turn", "role", "content")))
-    return records.groupBy(conv).agg(F.transform(msgs, lambda m: F.struct(m["role"].alias("role"),
-                                                                          m["content"].alias("content")))
-                                     .alias("messages"))
