@@ -20,9 +20,10 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    from quarry.session import ensure_checkpoint_dir
+    from quarry.session import ensure_checkpoint_dir, ship_package
 
     ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
 
 
