@@ -38,9 +38,13 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``quarry`` importable in the Python workers, once per context.
 
     UDF and mapInPandas closures refer to module-level helpers by name, so the
-    workers must import the package; ``addPyFile`` distributes a zip of it to
-    every executor (the driver's working directory does not matter).
+    workers must import the package. A zip of it is built in memory, written
+    through the Hadoop FileSystem API into the shared checkpoint folder, and
+    registered with ``addPyFile`` (the driver's working directory and local
+    disks do not matter).
     """
+    import hashlib
+    import io
     import zipfile
 
     sc = spark.sparkContext
@@ -49,17 +53,28 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    out_dir = tempfile.mkdtemp(prefix="quarry-pyfiles-")
-    zpath = os.path.join(out_dir, "quarry.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
-        for base, _dirs, files in os.walk(pkg_dir):
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _dirs, files in sorted(os.walk(pkg_dir)):
             if "__pycache__" in base:
                 continue
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(base, f)
                     zf.write(full, os.path.relpath(full, root))
-    sc.addPyFile(zpath)
+    data = buf.getvalue()
+    digest = hashlib.md5(data).hexdigest()[:12]
+    target = shared_path(spark, "quarry-pyfiles", digest, "quarry.zip")
+    jvm = sc._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(target)
+    fs = jpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        out = fs.create(jpath, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+    sc.addPyFile(target)
     _SHIPPED.add(key)
 
 
