@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm import oracle as O
 from quarry.llm.common import read_documents
+from quarry.llm.license_scan import license_scan
+from quarry.llm.mixing import schedule
+from quarry.llm.secrets import find_secrets, span_list
 from quarry.llm.substring_dedup import substring_dedup
 from quarry.llm.suffix_dedup import suffix_dedup
 
@@ -37,3 +40,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_suffix_dedup", O.SUFFIX_DEDUP)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_documents(spark, sf_dir)).drop("kept")
+
+
+@register("op2_mixing", O.MIXING)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op7_secrets", O.SECRETS)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(read_documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("secret_spans", lambda s: s["kind"] < 3)
+
+    def count(kind: int, name: str):
+        return F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(name)
+
+    counts = [count(0, "n_assign"), count(1, "n_access"), count(2, "n_hex")]
+    return found.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"),
+                        span_list(F.col("secret_spans")).alias("spans"))
+
+
+@register("op10_license")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read_documents(spark, sf_dir))

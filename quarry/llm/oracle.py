@@ -33,3 +33,66 @@ SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
        coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)
 """
+
+MIXING = f"""
+WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size,
+                  md5('mix-1|' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
+             3 * source_size AS cap, sum(source_size) OVER () AS total FROM s),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST
+                   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+m AS (SELECT *, min(CASE WHEN level * weight < cap THEN level END) OVER () AS reached FROM l),
+t AS (SELECT source, source_size::BIGINT AS source_size,
+             CASE WHEN source_size > 0 THEN least(cap, coalesce(reached * weight, cap)) ELSE 0.0 END::DOUBLE AS target
+      FROM m),
+o AS (SELECT d.*, (('0x' || substr(k, 1, 6))::INT % 4096) AS bucket FROM d),
+p AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY bucket, k, doc_id, size
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(size, floor(target) - before))
+        + greatest(0, least(size, floor(target) - source_size - before))
+        + greatest(0, least(size, floor(target) - 2 * source_size - before)))::BIGINT AS taken
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+"""
+
+_ASSIGN = (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"""
+           r"""|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def _places(kind: int, pattern: str) -> str:
+    return f"""SELECT r, {kind} AS kind, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS x, g
+      FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d)"""
+
+
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+raw AS ({_places(0, _ASSIGN)} UNION ALL {_places(1, 'AKIA[A-Z0-9]+')} UNION ALL {_places(2, '[0-9a-f]+')}
+        UNION ALL {_places(3, '[A-Za-z0-9+/_=-]{{20,}}')}),
+spot AS (SELECT r, kind, x, sum(len(x)) OVER (PARTITION BY r, kind ORDER BY i) - len(x)
+              + list_sum([len(s) FOR s IN g[1:i]]) AS start FROM raw),
+placed AS (SELECT r, kind, x, start::BIGINT AS s, (start + len(x))::BIGINT AS e FROM spot
+           WHERE CASE kind WHEN 0 THEN len(regexp_extract(x, '{_ASSIGN}', 2)) >= 6
+                           WHEN 1 THEN len(x) >= 20 WHEN 2 THEN len(x) >= 24 ELSE true END),
+base AS (SELECT * FROM placed WHERE kind < 3),
+cand AS (SELECT * FROM placed p WHERE kind = 3
+           AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = p.r AND b.s < p.e AND p.s < b.e)
+           AND NOT regexp_matches(x, '^[A-Za-z+/_=-]+$') AND NOT regexp_matches(x, '^[A-Za-z/_=-]+[0-9]{{1,4}}[/_=-]*$')
+           AND NOT regexp_matches(x, '(?i:example|sample|dummy)')
+           AND NOT list_bool_or([len(x) // p >= 2 AND starts_with(x, repeat(x[1:p], (len(x) // p)::BIGINT))
+                                 FOR p IN range(1, 9)])),
+best AS (SELECT c.*, list_max([list_aggregate(string_split(substr(x, i::INT, 20), ''), 'entropy')
+                               FOR i IN range(1, len(x) - 18)]) AS h FROM cand c),
+spans AS (SELECT * FROM base UNION ALL SELECT r, kind, x, s, e FROM best
+          WHERE h >= CASE WHEN regexp_matches(x, '^[0-9a-fA-F]+$') THEN 2.95 ELSE 3.65 END),
+named AS (SELECT r, kind, s, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || s || ':' || e AS n FROM spans),
+l AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+             count(*) FILTER (WHERE kind = 2) AS n_hex,
+             string_agg(n, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS b,
+             string_agg(n, ',' ORDER BY s, kind) AS spans FROM named GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN l USING (r)
+"""
