@@ -15,6 +15,7 @@ from quarry.llm.common import read_documents
 from quarry.llm.license_scan import license_scan
 from quarry.llm.mixing import schedule
 from quarry.llm.secrets import find_secrets, span_list
+from quarry.llm.simhash import simhash_dedup
 from quarry.llm.substring_dedup import substring_dedup
 from quarry.llm.suffix_dedup import suffix_dedup
 
@@ -63,3 +64,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_license")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read_documents(spark, sf_dir))
+
+
+@register("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = simhash_dedup(read_documents(spark, sf_dir))
+    return done.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
