@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import oracle as O
+from quarry.llm.ann import nearest
 from quarry.llm.common import read_documents
 from quarry.llm.license_scan import license_scan
 from quarry.llm.mixing import schedule
@@ -70,3 +71,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = simhash_dedup(read_documents(spark, sf_dir))
     return done.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@register("op9_ann")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_documents(spark, sf_dir, "embeddings"))
