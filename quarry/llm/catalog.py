@@ -15,6 +15,7 @@ from quarry.llm.ann import nearest
 from quarry.llm.common import read_documents
 from quarry.llm.license_scan import license_scan
 from quarry.llm.mixing import schedule
+from quarry.llm.quality import classify
 from quarry.llm.secrets import find_secrets, span_list
 from quarry.llm.simhash import simhash_dedup
 from quarry.llm.substring_dedup import substring_dedup
@@ -76,3 +77,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_ann")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_documents(spark, sf_dir, "embeddings"))
+
+
+@register("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = classify(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels"))
+    return done.select("row.doc_id", "host", "path", "evidence", "host_rate", "path_rate", "p_bad", "keep")
