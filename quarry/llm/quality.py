@@ -1,7 +1,7 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
 1. Evidence. A logistic regression gives each document its log-odds of being bad
-   (low quality or toxic) from words and binned measures of its shape. It is
+   (low quality or toxic) from words, their beginnings, and binned measures of its shape. It is
    fitted on at most ``SAMPLE`` labelled documents (the smallest keyed hashes of their
    ids) in one bounded task, over at most ``MOST_FEATURES`` features that tell the
    classes apart beyond chance in that sample.
@@ -31,11 +31,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import prepare
+from quarry.llm.common import prepare, write_table
 
 SAMPLE, SEED = 20_000, "quality-1"
 #: A feature needs so many documents, so much gain (twice the log-likelihood ratio); at most so many features.
 LEAST_DOCS, LEAST_GAIN, MOST_FEATURES = 3, 20.0, 20_000
+PREFIXES, STEM = (4, 5, 6, 8), 5
 STEPS, RATE, PRIOR_VARIANCE = 300, 0.3, 4.0
 LEAST_PSEUDO, MOST_PSEUDO = 20.0, 1e6
 LIMIT = 0.5
@@ -49,7 +50,7 @@ def _bin(name: str, value: float, steps: int = 12) -> bytes:
 
 
 def features(text: bytes) -> set[bytes]:
-    """Words, runs of marks, and binned measures of shape."""
+    """Words, their beginnings, stems of two and more words, runs of marks, and binned measures of shape."""
     raw = text.split()
     words = text.translate(_WORDS).split()
     n = max(1, len(raw))
@@ -63,7 +64,11 @@ def features(text: bytes) -> set[bytes]:
         _bin("upper", sum(w.isupper() for w in raw) / n), _bin("digits", sum(w.isdigit() for w in raw) / n),
         _bin("width", len(text) / n / 20.0), _bin("size", float(np.log2(n + 1)) / 16.0),
     ]
-    return {*words, *(b"mark " + m for m in marks), *(b"shape " + x for x in shape)}
+    distinct = set(words)
+    stems = Counter([w[:STEM] for w in distinct if len(w) > STEM])
+    return {*distinct, *[w[:n] + b"-" for n in PREFIXES for w in distinct if len(w) > n],
+            *[s + b"+" for s, n in stems.items() if n > 1], *(b"mark " + m for m in marks),
+            *(b"shape " + x for x in shape)}
 
 
 def fit(texts: list[bytes], bad: np.ndarray) -> dict[bytes, float]:
@@ -171,16 +176,18 @@ def site_rates(scored: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None,
-             sample: int = SAMPLE) -> DataFrame:
-    """(row: all columns of docs, host, path, evidence, host_rate, path_rate, log_odds, p_bad, keep)."""
+             sample: int = SAMPLE, columns: list[str] | None = None) -> DataFrame:
+    """(row: the named columns of docs, all if None, host, path, evidence, host_rate,
+    path_rate, log_odds, p_bad, keep). Texts are scored once: the evidence is a table."""
     spark = docs.sparkSession
     prepare(spark)
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     weights = train(docs, labels, sample)
-    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                         host.cast("string").alias("host"), path.cast("string").alias("path"),
-                         _evidence(weights)(F.col("text").cast("string")).alias("evidence"))
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)])
+    scored = write_table(docs.select(
+        row.alias("row"), host.cast("string").alias("host"), path.cast("string").alias("path"),
+        _evidence(weights)(F.col("text").cast("string")).alias("evidence")), "evidence")
     rates = site_rates(scored.select("host", "path", "evidence")).select(
         F.col("host").alias("h"), F.col("path").alias("p"), "global_rate", "host_rate", "path_rate")
     out = scored.join(rates, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))).drop("h", "p")
