@@ -14,6 +14,7 @@ from quarry.llm import oracle as O
 from quarry.llm.ann import nearest
 from quarry.llm.common import read_documents
 from quarry.llm.license_scan import license_scan
+from quarry.llm.lm import lm_scores
 from quarry.llm.mixing import schedule
 from quarry.llm.quality import classify
 from quarry.llm.secrets import find_secrets, span_list
@@ -81,5 +82,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op6_quality")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = classify(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels"))
+    done = classify(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels"),
+                    columns=["doc_id"])
     return done.select("row.doc_id", "host", "path", "evidence", "host_rate", "path_rate", "p_bad", "keep")
+
+
+@register("op5_lm")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_documents(spark, sf_dir))
