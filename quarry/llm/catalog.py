@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quarry.llm import oracle as O
 from quarry.llm.ann import nearest
 from quarry.llm.common import read_documents
+from quarry.llm.decontaminate import leaks
 from quarry.llm.license_scan import license_scan
 from quarry.llm.lm import lm_scores
 from quarry.llm.mixing import schedule
@@ -90,3 +91,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_lm")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(read_documents(spark, sf_dir))
+
+
+@register("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"))

@@ -94,3 +94,32 @@ def chunks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         j = min(max(j, i + 1), n)
         yield i, j
         i = j
+
+
+def sum_pieces(rows: DataFrame) -> DataFrame:
+    """(piece int, weight double, data binary of float32) -> the sums by piece, data as
+    float64. A task streams its rows through one accumulator for each piece."""
+
+    def run(batches):
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for piece, weight, data in zip(*(batch.column(c).to_pylist() for c in ("piece", "weight", "data"))):
+                part = np.frombuffer(data, dtype=np.float32)
+                have = sums.setdefault(piece, [0.0, np.zeros(len(part))])
+                have[0] += weight
+                have[1] += part
+        if sums:
+            keys = sorted(sums)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int32()), pa.array([sums[k][0] for k in keys], pa.float64()),
+                 pa.array([sums[k][1].tobytes() for k in keys], pa.binary())], names=["piece", "weight", "data"])
+
+    return rows.repartition("piece").mapInArrow(run, "piece int, weight double, data binary")
+
+
+def piece_rows(array: np.ndarray, pieces: int, weight: float) -> pa.RecordBatch:
+    """An array cut into pieces, as rows for ``sum_pieces``."""
+    parts = np.array_split(array.astype(np.float32), pieces)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(pieces), pa.int32()), pa.array([float(weight)] * pieces, pa.float64()),
+         pa.array([p.tobytes() for p in parts], pa.binary())], names=["piece", "weight", "data"])

@@ -25,15 +25,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import windows as X
-from quarry.llm.common import prepare, text_buffer, write_table
+from quarry.llm.common import piece_rows, prepare, sum_pieces, text_buffer, write_table
 
 VOCABULARY, WIDTH = 8192, 32
 BLOCK = 8 << 20
 BATCH, NOISE, RATE, SEED = 1024, 64, 0.1, 11
+#: Tokens that a training task sees, at least about: its weights are worth moving then.
+TASK_TOKENS = 6_000_000
 FOLDS, HELD_OUT = 5, 1
 END, OTHER = 0, 1
 END_HASH = 0  # a digest of its own: no word hashes to it but by accident
@@ -176,8 +178,6 @@ class Trainer:
 
 
 def _train(vocabulary: np.ndarray, place: np.ndarray, unigram: np.ndarray, pieces: int):
-    schema = pa.schema([("piece", pa.int32()), ("tokens", pa.int64()), ("weights", pa.binary())])
-
     def run(batches):
         model = Model(unigram)
         trainer, tokens = Trainer(model, unigram), 0
@@ -194,34 +194,17 @@ def _train(vocabulary: np.ndarray, place: np.ndarray, unigram: np.ndarray, piece
                     trainer.step(before[part], token[part])
                 tokens += len(token)
         if tokens:
-            for piece, rows in enumerate(np.array_split(model.weights(), pieces)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([piece], pa.int32()), pa.array([tokens]), pa.array([rows.tobytes()], pa.binary())],
-                    schema=schema)
+            yield piece_rows(model.weights() * np.float32(tokens), pieces, tokens)
 
     return run
 
 
-def _average(key, batches):
-    """Weighted mean of one piece of all tasks' weights, a row at a time."""
-    total, seen = None, 0
-    for batch in batches:
-        for n, raw in zip(batch.column("tokens").to_pylist(), batch.column("weights").to_pylist()):
-            part = np.frombuffer(raw, dtype=np.float32).astype(np.float64) * n
-            total, seen = part if total is None else total + part, seen + n
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([key[0].as_py()], pa.int32()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())],
-        names=["piece", "weights"])
-
-
-def train_model(spark: SparkSession, blocks: DataFrame, vocabulary, place, unigram, pieces: int = 16) -> Model:
-    rows = blocks.select("payload").mapInArrow(
-        _train(vocabulary, place, unigram, pieces), "piece int, tokens long, weights binary")
-    done = rows.groupBy("piece").applyInArrow(
-        lambda key, table: pa.Table.from_batches(list(_average(key, table.to_batches()))), "piece int, weights binary")
-    parts = [np.frombuffer(r.weights, dtype=np.float32).reshape(-1, 2 * WIDTH + 1)
-             for r in done.orderBy("piece").collect()]  # the model: its size is fixed
-    return Model(unigram).load(np.concatenate(parts)) if parts else Model(unigram)
+def train_model(blocks: DataFrame, vocabulary, place, unigram, tasks: int, pieces: int = 16) -> Model:
+    rows = blocks.select("payload").repartition(tasks).mapInArrow(
+        _train(vocabulary, place, unigram, pieces), "piece int, weight double, data binary")
+    parts = [np.frombuffer(r.data).reshape(-1, 2 * WIDTH + 1) / r.weight
+             for r in sum_pieces(rows).orderBy("piece").collect()]  # the model: its size is fixed
+    return Model(unigram).load(np.concatenate(parts).astype(np.float32)) if parts else Model(unigram)
 
 
 def _score(shared, total: int, kinds: int):
@@ -287,7 +270,7 @@ def lm_scores(docs: DataFrame, vocabulary_size: int = VOCABULARY) -> DataFrame:
     ranked = sorted((r.word, i + 2) for i, r in enumerate(top))
     vocabulary = np.array([w for w, _ in ranked], dtype=np.int64)
     place = np.array([i for _, i in ranked], dtype=np.int64)
-    model = train_model(spark, blocks, vocabulary, place, unigram)
+    model = train_model(blocks, vocabulary, place, unigram, total // TASK_TOKENS + 1)
     shared = spark.sparkContext.broadcast(  # VOCABULARY rows: a fixed size
         (model.context, model.target, model.bias, model.normalisers(), vocabulary, place, rest, rest_kinds, ends))
     own = words.select("block", "word").join(counts, "word")
