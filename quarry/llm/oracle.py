@@ -44,9 +44,9 @@ l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source N
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                 / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST
                    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-m AS (SELECT *, min(CASE WHEN level * weight < cap THEN level END) OVER () AS reached FROM l),
+m AS (SELECT *, max(level) OVER () AS reached FROM l),
 t AS (SELECT source, source_size::BIGINT AS source_size,
-             CASE WHEN source_size > 0 THEN least(cap, coalesce(reached * weight, cap)) ELSE 0.0 END::DOUBLE AS target
+             CASE WHEN source_size > 0 THEN least(cap, reached * weight) ELSE 0.0 END::DOUBLE AS target
       FROM m),
 o AS (SELECT d.*, (('0x' || substr(k, 1, 6))::INT % 4096) AS bucket FROM d),
 p AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY bucket, k, doc_id, size
