@@ -96,3 +96,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"))
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)

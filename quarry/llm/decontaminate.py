@@ -259,19 +259,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def _clean(shared):
+    @F.pandas_udf("boolean")
+    def clean(text: pd.Series) -> pd.Series:
+        items = Items(*shared.value)
+        buf, off = text_buffer(pa.array(text.fillna(""), pa.string()))
+        return pd.Series([not _leaks_of(t.tobytes(), f, items) for _, t, f in _texts(buf, off)], dtype=bool)
+
+    return clean
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leak, with their own columns; nothing is shuffled."""
     spark = docs.sparkSession
     prepare(spark)
     latent = latent_words(docs)
     for rows in _item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast((rows, latent))
-
-        @F.pandas_udf("boolean")
-        def clean(text: pd.Series, shared=shared) -> pd.Series:
-            items = Items(*shared.value)
-            buf, off = text_buffer(pa.array(text.fillna(""), pa.string()))
-            return pd.Series([not _leaks_of(t.tobytes(), f, items) for _, t, f in _texts(buf, off)], dtype=bool)
-
-        docs = docs.filter(clean(F.col("text").cast("string")))
+        docs = docs.filter(_clean(spark.sparkContext.broadcast((rows, latent)))(F.col("text").cast("string")))
     return docs

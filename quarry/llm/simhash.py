@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import partitions, prepare, text_buffer, write_table
+from quarry.llm.common import NULL_ID, partitions, prepare, real_id, text_buffer, with_key, write_table
 from quarry.llm.graph import components
 from quarry.llm.windows import mix
 
@@ -60,7 +60,7 @@ def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
 
 
 def _fingerprints(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int32()), ("fp", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -68,7 +68,7 @@ def _fingerprints(size: int):
             raw = buf.tobytes()
             out = [fingerprint(raw[s:e].lower().split(), size) for s, e in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(out, dtype=U).view(np.int64))], schema=schema)
+                [batch.column("id"), batch.column("th"), pa.array(np.array(out, dtype=U).view(np.int64))], schema=schema)
 
     return run
 
@@ -149,18 +149,32 @@ def near_links(fps: DataFrame) -> DataFrame:
     return points.groupBy("bucket").applyInArrow(_meet(MAX_BITS), "a long, b long").distinct()
 
 
+def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(id, th, fp) of all documents and (fp, root) of all fingerprints."""
+    prepare(docs.sparkSession)
+    rows = write_table(with_key(docs).mapInArrow(_fingerprints(size), "id long, th int, fp long"), "fingerprints")
+    fps = rows.select("fp").distinct()
+    parts = components(near_links(fps))
+    named = fps.join(parts, fps.fp == parts.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return rows, write_table(named, "classes")
+
+
 def simhash_dedup(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, fp (signed), component_id (smallest doc_id reachable)."""
-    spark = docs.sparkSession
-    prepare(spark)
-    rows = write_table(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .mapInArrow(_fingerprints(size), "doc_id long, fp long"), "fingerprints")
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = components(near_links(fps))
-    named = fps.join(parts, fps.fp == parts.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = write_table(named, "components")
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    rows, named = _classes(docs, size)
+    least = rows.groupBy("fp").agg(F.min(real_id()).alias("least")).join(named, "fp")
+    roots = least.groupBy("root").agg(F.min("least").alias("component_id"))
     names = named.join(roots, "root").select("fp", "component_id")
-    return rows.join(names, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(names, "fp").select(real_id(), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One document of each component, the one of smallest doc_id, with its own columns."""
+    rows, named = _classes(docs, size)
+    first = F.min(F.struct((F.col("id") == NULL_ID).alias("unknown"), "id", "th")).alias("first")
+    firsts = rows.groupBy("fp").agg(first).join(named, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    names = firsts.select(F.col("first.id").alias("id"), F.col("first.th").alias("th"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    keyed = docs.select(key.alias("id"), F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"), row)
+    return keyed.join(names, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]).select("row.*")
