@@ -86,31 +86,9 @@ def doc_freq(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def corpus_stats(postings: DataFrame) -> DataFrame:
-    """n = nodes with at least one token; avgdl = their mean length."""
-    per_node = postings.select("node_id", "dl").dropDuplicates(["node_id"])
-    return per_node.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-
-
 def corpus_stats_from_nodes(nodes: DataFrame, cfg: RagConfig) -> DataFrame:
-    """Same as ``corpus_stats`` but straight from the node rows (no distinct,
-    no shuffle: one partial aggregate per task)."""
+    """n = nodes with at least one token; avgdl = their mean length. Straight from
+    the node rows: one partial aggregate per task, no shuffle."""
     dl = node_lengths(nodes, cfg)
     has = F.col("dl") > 0
     return dl.agg(F.count(F.when(has, F.lit(1))).alias("n"), F.avg(F.when(has, F.col("dl"))).alias("avgdl"))
-
-
-def build_index(docs: DataFrame, cfg: RagConfig, embedder: Embedder | None = None) -> TextIndex:
-    """Lazy index over ``docs``; persist it with ``sources.index_store``."""
-    embedder = embedder or Embedder(dim=cfg.hash_dim, with_stemming=cfg.with_stemming)
-    nodes = chunk(docs, cfg)
-    return index_from_nodes(nodes, cfg, embedder)
-
-
-def index_from_nodes(nodes: DataFrame, cfg: RagConfig, embedder: Embedder | None = None) -> TextIndex:
-    embedder = embedder or Embedder(dim=cfg.hash_dim, with_stemming=cfg.with_stemming)
-    postings = build_postings(nodes, cfg)
-    vectors = build_vectors(nodes, cfg, embedder)
-    return TextIndex(nodes=nodes, postings=postings, vectors=vectors, df=doc_freq(postings),
-                     stats=corpus_stats_from_nodes(nodes, cfg), cfg=cfg, embedder=embedder,
-                     forward=build_forward(nodes, cfg) if cfg.bm25_prune else None)

@@ -12,10 +12,14 @@ dense-only run never meets a hybrid index built with other settings):
 
 ``part = pmod(xxhash64(doc_id), P)``. An update (A6) works per document:
 documents whose (doc_id, fingerprint) is not in ``docs`` are chunked and
-embedded; all old rows of a changed or removed document go. Only touched
-partitions are rewritten (dynamic partition overwrite, through a staging
-copy since Spark cannot overwrite what it reads). Running twice changes
-nothing. A missing path is an empty index; any other read error is raised.
+embedded; all old rows of a changed, emptied or removed document go. Only
+touched partitions are rewritten (dynamic partition overwrite, through a
+staging copy since Spark cannot overwrite what it reads), and a touched
+partition that ends without rows is deleted. Running twice changes nothing.
+An index is there once its ``docs`` table was written whole (``_SUCCESS``); a
+table that an index lacks is an error. When the corpus has outgrown the
+partitions four times over, the index is built anew with more of them. While an
+update swaps its partitions, readers may meet tables of two versions.
 """
 
 from __future__ import annotations
@@ -64,39 +68,41 @@ def part_of(doc_id: str, parts: int):
 
 
 TARGET_PART_BYTES = 256 * 1024 * 1024
-MAX_PARTS = 4096
+REGROW = 4
 META_SCHEMA = T.StructType([T.StructField("parts", T.IntegerType())])
 
 
 def choose_parts(docs: DataFrame) -> int:
-    """Partitions for a new index: about 256 MB of source text each, a power
-    of two, at most 4096. Read from the planner's size estimate (no job)."""
-    try:
-        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # pragma: no cover - estimate unavailable
-        return 64
-    want = max(1, -(-size // TARGET_PART_BYTES))
-    p = 1
-    while p < want and p < MAX_PARTS:
-        p *= 2
-    return p
+    """Partitions for an index: about 256 MB of source text each, a power of two.
+    From the planner's size estimate (no job)."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 1 << max(0, -(-size // TARGET_PART_BYTES) - 1).bit_length()
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether an index was written whole: ``docs`` comes last in every build."""
+    return path_exists(spark, f"{path}/docs/_SUCCESS")
 
 
 def index_parts_for(spark: SparkSession, path: str, docs: DataFrame, cfg: RagConfig) -> int:
-    """The index's partition count: fixed at first build and kept in ``meta``
-    so every later update hashes documents to the same partitions."""
+    """The index's partition count, kept in ``meta`` so that every update hashes
+    documents to the same partitions. Without a committed index, or where the corpus
+    has outgrown it, the count is chosen anew and the index is no longer committed."""
     meta = f"{path}/meta"
-    if path_exists(spark, meta):
-        return int(spark.read.schema(META_SCHEMA).parquet(meta).first()["parts"])
-    p = cfg.index_partitions if cfg.index_partitions > 0 else choose_parts(docs)
-    spark.createDataFrame([(int(p),)], META_SCHEMA).coalesce(1).write.mode("overwrite").parquet(meta)
-    return p
+    want = cfg.index_partitions if cfg.index_partitions > 0 else choose_parts(docs)
+    if committed(spark, path):
+        p = int(spark.read.schema(META_SCHEMA).parquet(meta).first()["parts"])
+        if cfg.index_partitions > 0 or want < REGROW * p:
+            return p
+    delete_path(spark, f"{path}/docs")
+    spark.createDataFrame([(int(want),)], META_SCHEMA).coalesce(1).write.mode("overwrite").parquet(meta)
+    return want
 
 
 def _read(spark: SparkSession, path: str, name: str, schema: T.StructType) -> DataFrame:
     full = f"{path}/{name}"
     if not path_exists(spark, full):
-        return spark.createDataFrame([], schema)
+        raise FileNotFoundError(f"the index at {path} has no table {name}")
     return spark.read.schema(schema).parquet(full)
 
 
@@ -171,9 +177,7 @@ def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig
     p = index_parts_for(spark, path, docs, cfg)
     current = docs.select("doc_id", "text").withColumn("fingerprint", fingerprint("text")) \
         .withColumn("part", part_of("doc_id", p))
-    have = _read(spark, path, "docs", DOCS_SCHEMA)
-    fresh = not path_exists(spark, f"{path}/docs")
-    if fresh:
+    if not committed(spark, path):
         rows = _index_rows(spark, current, cfg, embedder, f"{path}/nodes", p)
         for name in [n for n in ("postings", "vectors", "forward") if n in rows]:
             _write_parts(rows[name], f"{path}/{name}", dynamic=False, sort_cols=("term",) if name == "postings" else ())
@@ -182,17 +186,19 @@ def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig
         _write_parts(current.select("doc_id", "fingerprint", "part"), f"{path}/docs", dynamic=False)
         changed_n, removed_n, touched_n = spark.read.parquet(f"{path}/docs").count(), 0, p
     else:
-        changed = current.join(have, ["doc_id", "fingerprint"], "left_anti")
-        removed = have.join(current.select("doc_id"), "doc_id", "left_anti")
-        gone = changed.select("doc_id", "part").unionByName(removed.select("doc_id", "part"))
+        have = _read(spark, path, "docs", DOCS_SCHEMA)
+        stage = f"{path}/_staging-{uuid.uuid4().hex[:8]}"
+        # the difference is written once; everything below reads it
+        current.join(have, ["doc_id", "fingerprint"], "left_anti").write.parquet(f"{stage}/_changed")
+        changed = spark.read.schema(current.schema).parquet(f"{stage}/_changed")
+        have.join(current.select("doc_id"), "doc_id", "left_anti").select("doc_id", "part") \
+            .write.parquet(f"{stage}/_removed")
+        removed = spark.read.schema("doc_id long, part int").parquet(f"{stage}/_removed")
+        gone = changed.select("doc_id", "part").unionByName(removed)
         # bounded: at most P distinct partition numbers
         touched = [r["part"] for r in gone.select("part").distinct().collect()]
-        touched_n = len(touched)
-        # count before any table is rewritten: these plans read the old docs table
-        changed_n = changed.count() if touched else 0
-        removed_n = removed.count() if touched else 0
+        changed_n, removed_n, touched_n = changed.count(), removed.count(), len(touched)
         if touched:
-            stage = f"{path}/_staging-{uuid.uuid4().hex[:8]}"
             gone_ids = gone.select("doc_id").distinct()
             new_rows = _index_rows(spark, changed.select("doc_id", "text"), cfg, embedder, f"{stage}/_new_nodes", p)
             new_rows["docs"] = changed.select("doc_id", "fingerprint", "part")
@@ -210,26 +216,24 @@ def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig
                 staged = spark.read.schema(tables[name]).parquet(f"{stage}/{name}")
                 _write_parts(staged, f"{path}/{name}", dynamic=True,
                              sort_cols=("term",) if name == "postings" else ())
+                left = {r["part"] for r in staged.select("part").distinct().collect()}  # at most P
+                for part in sorted(set(touched) - left):  # an overwrite leaves partitions without rows as they were
+                    delete_path(spark, f"{path}/{name}/part={part}")
                 if name == order[-2]:
                     _write_aggregates(spark, path, cfg)
-            delete_path(spark, stage)
+        delete_path(spark, stage)
     return {"changed": changed_n, "removed": removed_n, "touched_parts": touched_n}
 
 
 def ensure_index(spark: SparkSession, docs: DataFrame, name: str, cfg: RagConfig,
                  embedder: Embedder | None = None, path: str | None = None,
-                 refresh: bool = False) -> TextIndex:
-    """Load-or-build (A6), then load (A5).
+                 refresh: bool = True) -> TextIndex:
+    """Build or update (A6), then load (A5).
 
-    An existing, committed index is loaded without touching the documents;
-    ``refresh=True`` runs the incremental update first (it fingerprints the
-    whole corpus, so it is a deliberate step, not a side effect of loading).
+    ``refresh=False`` loads a committed index without looking at the documents,
+    so it may be out of date: the update fingerprints the whole corpus.
     """
     path = path or default_index_path(spark, name, cfg, embedder)
-    if refresh or not path_exists(spark, f"{path}/docs"):
+    if refresh or not committed(spark, path):
         upsert_index(spark, docs, path, cfg, embedder)
     return load_index(spark, path, cfg, embedder)
-
-
-def new_staging_name() -> str:
-    return uuid.uuid4().hex[:12]

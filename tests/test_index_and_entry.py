@@ -27,6 +27,46 @@ def test_incremental_index_second_run_adds_nothing(spark, scratch):
     assert first["changed"] == docs.count()
 
 
+def test_removed_and_emptied_documents_leave_the_index(spark, scratch):
+    cfg = RagConfig(index_partitions=16)
+    path = f"{scratch}/idx-{uuid.uuid4().hex[:6]}"
+    rows = [(i, f"First of {i}. Second of {i}.") for i in range(5)]
+    make = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    upsert_index(spark, make(rows), path, cfg)
+    less = [(i, "" if i == 3 else t) for i, t in rows if i != 2]
+    r = upsert_index(spark, make(less), path, cfg)
+    assert (r["changed"], r["removed"]) == (1, 1)
+    idx = load_index(spark, path, cfg)
+    assert {x.doc_id for x in idx.nodes.collect()} == {x.doc_id for x in idx.postings.collect()} == {0, 1, 4}
+    assert idx.stats.first().n == 6
+    assert upsert_index(spark, make(less), path, cfg) == {"changed": 0, "removed": 0, "touched_parts": 0}
+    gone = upsert_index(spark, make(rows[:0]), path, cfg)
+    assert gone["removed"] == 4 and load_index(spark, path, cfg).nodes.count() == 0
+
+
+def test_index_without_its_tables_or_mark(spark, scratch):
+    import os
+
+    import pytest
+
+    from quarry.session import delete_path
+    from quarry.sources.index_store import committed, ensure_index
+
+    cfg = RagConfig(index_partitions=2)
+    path = f"{scratch}/idx-{uuid.uuid4().hex[:6]}"
+    docs = spark.createDataFrame([(1, "One sentence."), (2, "Another one.")], "doc_id long, text string")
+    ensure_index(spark, docs, "t", cfg, path=path)
+    os.remove(f"{path}/docs/_SUCCESS")  # as a crashed build leaves it
+    assert not committed(spark, path)
+    changed = docs.union(spark.createDataFrame([(3, "A third.")], docs.schema))
+    assert ensure_index(spark, changed, "t", cfg, path=path).nodes.count() == 3
+    more = changed.union(spark.createDataFrame([(4, "A fourth.")], docs.schema))
+    assert ensure_index(spark, more, "t", cfg, path=path).nodes.count() == 4  # updates by default
+    delete_path(spark, f"{path}/postings")
+    with pytest.raises(FileNotFoundError):
+        load_index(spark, path, cfg)
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as E
 
