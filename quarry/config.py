@@ -62,7 +62,6 @@ class RagConfig:
     tree_fan_in: int = 2
     with_hyde: bool = False
     # routing
-    with_query_classification: bool = False
     route_threshold: float = 30.0
     # index layout: partitions of the index tables by document hash; 0 = pick
     # from the input size at first build (kept in the index's meta table)
@@ -75,7 +74,7 @@ class RagConfig:
         if not 0 <= self.chunk_overlap < self.chunk_size:
             raise ValueError("need 0 <= chunk_overlap < chunk_size")
         if self.fusion_mode not in ("AND", "OR"):
-            raise ValueError("Invalid mode.")
+            raise ValueError(f"fusion_mode {self.fusion_mode!r} is neither AND nor OR")
         if self.response_mode not in ("simple_summarize", "tree_summarize", "generation"):
             raise ValueError(f"unknown response mode {self.response_mode!r}")
         if self.repack_order not in ("forward", "reverse", "sides"):

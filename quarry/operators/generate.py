@@ -1,8 +1,7 @@
 """Prompts, batch completion, synthesis modes, usage.
 
 F8 runs a user-supplied completer over a table of prompts with
-``mapInPandas``: the completer is made once per Python worker process and
-called once per prompt; a failing prompt yields ``response`` null, ``error``
+``mapInPandas``: the completer is made once per task and called once per prompt; a failing prompt yields ``response`` null, ``error``
 set and zero usage (never the previous call's result). Model calls are not
 idempotent, so persist the output (``persist_completions``) before a plan
 reuses it; otherwise a retried task or a re-evaluated plan calls again.
@@ -29,29 +28,20 @@ from quarry.config import SENTENCE_PATTERN, WORD_PATTERN
 # same strings, so the prompts compare byte for byte.
 # ---------------------------------------------------------------------------
 QA_TEMPLATE = (
-    "Passages for reference:\n"
-    "=====\n"
-    "{context_str}\n"
-    "=====\n"
-    "Using only these passages and no outside knowledge, reply to the question.\n"
-    "Question: {query_str}\n"
-    "Reply: "
+    "You get retrieved passages, best first, and one user question.\n"
+    "[question] {query_str}\n"
+    "[passages]\n{context_str}\n[end of passages]\n"
+    "Quote the passage that settles the question. If none does, say that the passages do not cover it.\n"
+    "[answer] "
 )
 QUERY_ONLY_TEMPLATE = (
-    "Reply to the question.\n"
-    "Question: {query_str}\n"
-    "Reply: "
+    "No passages were retrieved for this question; answer it briefly.\n"
+    "[question] {query_str}\n"
+    "[answer] "
 )
 QUESTION_TEMPLATE = (
-    "Passage:\n"
-    "=====\n"
-    "{context_str}\n"
-    "=====\n"
-    "Write {num_questions} question(s) that this passage answers, one per line.\n"
-)
-ROUTE_DESCRIPTIONS = (
-    "Questions that need facts from the indexed documents to be answered well.",
-    "Questions that can be answered well without looking anything up.",
+    "[passage]\n{context_str}\n[end of passage]\n"
+    "List {num_questions} question(s), each on a line of its own, whose answer stands in the passage.\n"
 )
 
 USAGE_FIELDS = [T.StructField("prompt_tokens", T.LongType()), T.StructField("completion_tokens", T.LongType()),
@@ -220,23 +210,33 @@ def tree_levels(k: int, fan_in: int) -> int:
 def tree_summarize(packed: DataFrame, queries: DataFrame, k: int, fan_in: int = 2,
                    make_completer: Callable = make_extractive_completer, template: str = QA_TEMPLATE,
                    key: str = "query_id", ord_col: str = "ord", text: str = "text",
-                   checkpoint_levels: bool = False) -> DataFrame:
+                   persist: bool = False) -> DataFrame:
     """pack ``fan_in`` texts per prompt, answer, repeat on the answers.
 
     The number of rounds is fixed from k and fan_in before the plan runs
     (no data-dependent loop). Every round is a groupBy on (query, group).
+    A failed prompt makes the answers above it null, with the first error of
+    the group; the usage of all prompts below an answer is added up.
+    ``persist`` writes each round's completions before the next one reads them.
     """
     q = queries.select(key, F.col("text").alias("query_text"))
-    level = packed.select(key, F.col(ord_col).alias("_o"), F.col(text).alias("_t"))
+    usage = [f.name for f in USAGE_FIELDS]
+    level = packed.select(key, F.col(ord_col).alias("_o"), F.col(text).alias("_t"),
+                          F.lit(None).cast("string").alias("_e"), *[F.lit(0).cast("long").alias(f"_{u}") for u in usage])
     for _ in range(tree_levels(k, fan_in)):
         grp = F.floor((F.col("_o") - 1) / fan_in)
         parts = F.sort_array(F.collect_list(F.struct(F.col("_o").alias("o"), F.col("_t").alias("t"))))
-        g = level.groupBy(key, grp.alias("_g")).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n")
-                                                    .alias("context"))
+        g = level.groupBy(key, grp.alias("_g")).agg(
+            F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("context"),
+            F.min_by("_e", F.when(F.col("_e").isNotNull(), F.col("_o"))).alias("_below"),
+            *[F.sum(f"_{u}").alias(f"_{u}") for u in usage])
         g = g.join(q, key).withColumn("prompt", fill_template(template, F.col("context"), F.col("query_text")))
         done = complete(g, make_completer)
-        if checkpoint_levels:
+        if persist:
             done = persist_completions(done)
+        error = F.coalesce("_below", "error")
         level = done.select(key, (F.col("_g") + 1).cast("int").alias("_o"),
-                            F.coalesce("response", F.lit("")).alias("_t"))
-    return level.select(key, F.col("_t").alias("response"))
+                            F.when(error.isNull(), F.col("response")).alias("_t"), error.alias("_e"),
+                            *[(F.col(f"_{u}") + F.col(u)).alias(f"_{u}") for u in usage])
+    return level.select(key, F.col("_t").alias("response"), F.col("_e").alias("error"),
+                        *[F.col(f"_{u}").alias(u) for u in usage])

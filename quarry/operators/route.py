@@ -41,12 +41,5 @@ def classify_with_model(queries: DataFrame, make_classifier: Callable, key: str
     return queries.select(key, "text").mapInPandas(run, schema)
 
 
-def split_routes(queries: DataFrame, routes: DataFrame, key: str = "query_id"):
-    """(rag_queries, direct_queries); each query lands in exactly one."""
-    rag = queries.join(routes.filter(F.col("route") == 0).select(key), key, "left_semi")
-    direct = queries.join(routes.filter(F.col("route") == 1).select(key), key, "left_semi")
-    return rag, direct
-
-
 def route_counts(routes: DataFrame) -> DataFrame:
     return routes.groupBy("route").agg(F.count(F.lit(1)).alias("n_queries"))

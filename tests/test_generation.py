@@ -67,3 +67,24 @@ def test_message_records_drop_nulls(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, None, "x"), (1, 2, "assistant", None)],
                                "conv_id long, turn long, role string, text string")
     assert [r.turn for r in message_records(df).collect()] == [0]
+
+
+def test_tree_carries_errors_and_usage(spark):
+    from quarry.operators.generate import tree_summarize
+
+    packed = spark.createDataFrame([(q, o, f"text {o}.") for q in (1, 2) for o in (1, 2, 3)],
+                                   "query_id long, ord int, text string")
+    queries = spark.createDataFrame([(1, "text"), (2, "bad text")], "query_id long, text string")
+
+    def make():
+        def complete(prompt, context, query):
+            if query.startswith("bad"):
+                raise ValueError("no model")
+            return "fine answer", {"prompt_tokens": 10, "completion_tokens": 2}
+
+        return complete
+
+    got = {r.query_id: r for r in tree_summarize(packed, queries, 3, 2, make).collect()}
+    assert got[1].response == "fine answer" and got[1].error is None
+    assert (got[1].prompt_tokens, got[1].completion_tokens, got[1].total_tokens) == (30, 6, 36)
+    assert got[2].response is None and got[2].error == "ValueError: no model"
