@@ -1,13 +1,14 @@
 """Dense top-k by cosine similarity for a batch of queries.
 
-D1 (exact). No cross join and no all-pairs rows: the corpus vectors stay
-where they are and are scanned once per query block with ``mapInPandas``.
-Each Arrow batch is multiplied against the query block (numpy BLAS) and
-emits only its own k best per query; a final ``row_number() <= k`` (partial
-+ final WindowGroupLimit) merges them. The query block is the only thing
-broadcast and its size is checked: blocks hold at most
-``max_broadcast_queries`` rows (queries are split into hash blocks beyond
-that, each block one scan, results unioned).
+D1 (exact). No pairs are formed as rows and no query passes through the driver.
+Both sides are packed where they are: a row of ``PACK`` corpus vectors has a block
+number, and a row of ``QUERY_PACK`` queries is repeated for every block, so the
+packs meet in a plain equi-join on the block. The planner broadcasts the query
+packs when their bytes are few (the corpus then stays where it is) and shuffles
+both sides when they are not. A task multiplies one pack pair at a time (a tile of
+at most PACK x QUERY_PACK scores) and keeps a running top-k for each query pack,
+so it ships k rows per query, not k per batch; a final ``row_number() <= k``
+(partial + final WindowGroupLimit) merges the tasks.
 
 score = round(cosine, 6); order score desc, id asc. Null or zero vectors are
 skipped on both sides. ``exclude_self`` drops the pair (x, x) when queries
@@ -30,29 +31,23 @@ from pyspark.sql import types as T
 
 from quarry.config import SCORE_DECIMALS
 from quarry.functions.rank import round_score, top_k
-from quarry.session import bounded_rows
 
-DEFAULT_MAX_BROADCAST_QUERIES = 20_000
+PACK, QUERY_PACK = 4096, 1024
+#: Running lists that a task holds at once; more query packs than that are merged later.
+HELD = 64
 
 
-def _as_matrix(vectors) -> tuple[np.ndarray, np.ndarray]:
+def _unit_rows(vectors) -> tuple[np.ndarray, np.ndarray]:
     """(matrix of unit rows, mask of kept rows) from a sequence of arrays/None."""
-    n = len(vectors)
-    keep = np.zeros(n, dtype=bool)
+    keep = np.zeros(len(vectors), dtype=bool)
     rows = []
     for i, v in enumerate(vectors):
-        if v is None:
-            continue
-        a = np.asarray(v, dtype=np.float64)
-        if a.size == 0:
-            continue
+        a = np.asarray([] if v is None else v, dtype=np.float64)
         nrm = math.sqrt(float(a @ a))
         if nrm > 0:
             keep[i] = True
             rows.append(a / nrm)
-    if not rows:
-        return np.zeros((0, 0)), keep
-    return np.vstack(rows), keep
+    return (np.vstack(rows) if rows else np.zeros((0, 0))), keep
 
 
 def _block_top_k(scores: np.ndarray, ids: np.ndarray, k: int):
@@ -80,89 +75,100 @@ def _block_top_k(scores: np.ndarray, ids: np.ndarray, k: int):
     return r[sel], c[sel]
 
 
-def _scan_fn(qids, qmat, id_col, vec_col, k, exclude_self, qkey, id_is_str, qkey_is_str):
-    qindex = {q: j for j, q in enumerate(qids)} if exclude_self else None
+def _pack(df: DataFrame, id_col: str, vector: str, size: int, names: tuple[str, str], blocks: int = 0) -> DataFrame:
+    """Rows of up to ``size`` unit vectors, packed within their partition: ids, matrix
+    (bytes) and, if ``blocks``, a block number."""
+    ids, matrix = names
+    schema = T.StructType([T.StructField(ids, T.ArrayType(df.schema[id_col].dataType)),
+                           T.StructField(matrix, T.BinaryType()), T.StructField("_n", T.IntegerType())])
 
-    def scan(batches):
+    def run(batches):
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            mat, keep = _as_matrix(pdf[vec_col].tolist())
-            if mat.shape[0] == 0:
-                continue
-            ids = pdf[id_col].to_numpy()[keep]
-            if mat.shape[1] != qmat.shape[1]:
-                raise ValueError(f"vector dimension {mat.shape[1]} != query dimension {qmat.shape[1]}")
-            s = np.round(mat @ qmat.T, SCORE_DECIMALS)
-            if exclude_self:
-                for i, x in enumerate(ids):
-                    j = qindex.get(x)
-                    if j is not None:
-                        s[i, j] = -np.inf
-            r, c = _block_top_k(s, ids, k)
-            if r.size == 0:
-                continue
-            yield pd.DataFrame({
-                qkey: qids[c],
-                id_col: ids[r],
-                "score": s[r, c].astype(np.float64),
-            })
-
-    return scan
+            for i in range(0, len(pdf), size):
+                part = pdf.iloc[i:i + size]
+                rows, keep = _unit_rows(part[vector].tolist())
+                if len(rows):
+                    yield pd.DataFrame({ids: [part[id_col].to_numpy()[keep].tolist()], matrix: [rows.tobytes()],
+                                        "_n": [len(rows)]})
+
+    out = df.select(id_col, F.col(vector).cast("array<double>").alias(vector)).filter(F.col(vector).isNotNull()) \
+        .mapInPandas(run, schema)
+    if blocks:
+        out = out.withColumn("_block", F.pmod(F.xxhash64(ids), F.lit(blocks)).cast("int"))
+    return out.withColumnRenamed("_n", f"{ids}_n")
+
+
+def _merge(rows: list[tuple], k: int) -> tuple:
+    """The k best (query, id, score) of each query, as three arrays."""
+    query = np.concatenate([r[0] for r in rows])
+    ids = np.concatenate([r[1] for r in rows])
+    score = np.concatenate([r[2] for r in rows])
+    _, id_rank = np.unique(ids, return_inverse=True)
+    order = np.lexsort((id_rank, -score, query))
+    query = query[order]
+    starts = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+    order = order[place < k]
+    return query[place < k], ids[order], score[order]
+
+
+def _meet(k: int, key: str, id_col: str, exclude_self: bool, schema: T.StructType):
+    def run(batches):
+        held: dict[bytes, list] = {}
+
+        def give(pack):
+            qids, rows, _ = held.pop(pack)
+            query, ids, score = _merge(rows, k)
+            return pd.DataFrame({key: np.asarray(qids, dtype=object)[query], id_col: ids, "score": score})
+
+        for pdf in batches:
+            for c_ids, c_raw, c_n, q_ids, q_raw, q_n in zip(*(pdf[x] for x in (
+                    "_c", "_cm", "_c_n", "_q", "_qm", "_q_n"))):
+                corpus = np.frombuffer(c_raw).reshape(c_n, -1)
+                queries = np.frombuffer(q_raw).reshape(q_n, -1)
+                if corpus.shape[1] != queries.shape[1]:
+                    raise ValueError(f"vector dimension {corpus.shape[1]} != query dimension {queries.shape[1]}")
+                ids = np.asarray(list(c_ids))
+                score = np.round(corpus @ queries.T, SCORE_DECIMALS)
+                if exclude_self:
+                    place = {x: i for i, x in enumerate(c_ids)}
+                    for j, x in enumerate(q_ids):
+                        if x in place:
+                            score[place[x], j] = -np.inf
+                r, c = _block_top_k(score, ids, k)
+                pack = q_raw
+                if pack not in held:
+                    if len(held) >= HELD:
+                        yield give(next(iter(held)))
+                    held[pack] = [q_ids, [], 0]
+                mine = held[pack]
+                mine[1].append((c, ids[r], score[r, c]))
+                mine[2] += len(r)
+                if mine[2] > 8 * k * q_n:
+                    mine[1] = [_merge(mine[1], k)]
+                    mine[2] = len(mine[1][0][0])
+        for pack in list(held):
+            yield give(pack)
+
+    return run
 
 
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "query_id",
-                id_col: str = "node_id", vector: str = "vector", exclude_self: bool = False,
-                max_broadcast_queries: int = DEFAULT_MAX_BROADCAST_QUERIES) -> DataFrame:
+                id_col: str = "node_id", vector: str = "vector", exclude_self: bool = False) -> DataFrame:
     """(key, id_col, score, rank) with the k best corpus rows per query."""
-    spark = corpus.sparkSession
-    q = queries.select(key, vector).filter(F.col(vector).isNotNull())
-    key_type = queries.schema[key].dataType
-    id_type = corpus.schema[id_col].dataType
-    out_schema = T.StructType([T.StructField(key, key_type), T.StructField(id_col, id_type),
-                               T.StructField("score", T.DoubleType())])
-    n = bounded_rows(q, max_broadcast_queries)
-    if n is not None:
-        blocks = [q]
-    else:
-        total = q.count()
-        nblocks = int(math.ceil(total / max_broadcast_queries)) * 2  # headroom for hash imbalance
-        blk = F.pmod(F.xxhash64(F.col(key)), F.lit(nblocks))
-        blocks = [q.filter(blk == i) for i in range(nblocks)]
-    parts = []
-    corpus_cols = corpus.select(id_col, vector)
-    for qb in blocks:
-        rows = qb.collect()  # bounded: at most max_broadcast_queries rows (checked above / by hash block)
-        if len(rows) > 2 * max_broadcast_queries:
-            raise ValueError("query block over the broadcast bound")
-        if not rows:
-            continue
-        qmat, keep = _as_matrix([r[vector] for r in rows])
-        qids = np.array([r[key] for r in rows], dtype=object)[keep]
-        if qmat.shape[0] == 0:
-            continue
-        bc = spark.sparkContext.broadcast((qids, qmat))
-        fn = _scan_fn_bc(bc, id_col, vector, k, exclude_self, key)
-        parts.append(corpus_cols.mapInPandas(fn, out_schema))
-    if not parts:
-        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    return top_k(cand.withColumn("score", round_score("score")), [key], k, id_col=id_col)
-
-
-def _scan_fn_bc(bc, id_col, vec_col, k, exclude_self, qkey):
-    def scan(batches):
-        qids, qmat = bc.value
-        inner = _scan_fn(qids, qmat, id_col, vec_col, k, exclude_self, qkey, False, False)
-        yield from inner(batches)
-
-    return scan
+    schema = T.StructType([T.StructField(key, queries.schema[key].dataType),
+                           T.StructField(id_col, corpus.schema[id_col].dataType),
+                           T.StructField("score", T.DoubleType())])
+    blocks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    c = _pack(corpus, id_col, vector, PACK, ("_c", "_cm"), blocks)
+    q = _pack(queries, key, vector, QUERY_PACK, ("_q", "_qm"))
+    q = q.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = c.join(q, "_block").mapInPandas(_meet(k, key, id_col, exclude_self, schema), schema)
+    return top_k(found.withColumn("score", round_score("score")), [key], k, id_col=id_col)
 
 
 def approx_dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "query_id",
-                       id_col: str = "node_id", vector: str = "vector", min_cosine: float = 0.0,
+                       id_col: str = "node_id", vector: str = "vector", min_cosine: float = -1.0,
                        bucket_length: float = 0.5, num_tables: int = 8, seed: int = 7) -> DataFrame:
     """LSH candidate pairs with cosine >= ``min_cosine`` (unit vectors:
     distance = sqrt(2 - 2 cos)), exact re-score, k best per query."""

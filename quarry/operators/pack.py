@@ -14,16 +14,16 @@ from quarry.functions.rank import round_score, top_k
 from quarry.functions.text import sentences, space_token_count, space_tokens, words
 from quarry.operators.chunk import node_metadata
 from quarry.operators.index import TextIndex
-from quarry.operators.rerank import MAX_BROADCAST_CANDIDATES, attach_text
-from quarry.session import broadcast_if_small
+from quarry.operators.rerank import attach_text
 from quarry.operators.sparse import query_term_idf
+from quarry.session import settle
 
 
 def replace_with_metadata(hits: DataFrame, nodes: DataFrame, key: str = "window",
-                          out: str = "text", max_rows=None) -> DataFrame:
+                          out: str = "text") -> DataFrame:
     """Node text := metadata[key], falling back to the text when the key is
     missing (B3/B4 nodes). Fetched late, by joining the bounded hit list."""
-    with_cols = attach_text(hits, nodes, ("text", "window"), max_rows=max_rows)
+    with_cols = attach_text(hits, nodes, ("text", "window"))
     meta = node_metadata(with_cols)
     return with_cols.withColumn(out, F.coalesce(meta[key], F.col("text"))).drop("window") if out == "text" else \
         with_cols.withColumn(out, F.coalesce(meta[key], F.col("text")))
@@ -45,11 +45,10 @@ def repack(hits: DataFrame, order: str = "forward", key: str = "query_id", rank:
     raise ValueError(f"unknown repack order {order!r}")
 
 
-def source_node(hits: DataFrame, nodes: DataFrame, key: str = "query_id", rank: str = "rank",
-                max_rows=None) -> DataFrame:
+def source_node(hits: DataFrame, nodes: DataFrame, key: str = "query_id", rank: str = "rank") -> DataFrame:
     """The best node's window and sentence per query."""
     best = hits.filter(F.col(rank) == 1).select(key, "node_id")
-    with_cols = attach_text(best, nodes, ("text", "window"), max_rows=max_rows)
+    with_cols = attach_text(best, nodes, ("text", "window"))
     return with_cols.select(key, "node_id", F.col("window").alias("window"), F.col("text").alias("sentence"))
 
 
@@ -91,7 +90,7 @@ def build_context(packed: DataFrame, key: str = "query_id", ord_col: str = "ord"
 
 
 def compress_context(packed: DataFrame, queries: DataFrame, index: TextIndex, m: int, window_size: int = 3,
-                     key: str = "query_id", ord_col: str = "ord", max_rows=None) -> DataFrame:
+                     key: str = "query_id", ord_col: str = "ord") -> DataFrame:
     """E5: extractive compression. The sentences of each packed window node
     (doc sentences pos-w .. pos+w, de-duplicated on (doc_id, pos)) are scored
     with E1's default against the query; the best ``m`` are kept and output
@@ -99,21 +98,15 @@ def compress_context(packed: DataFrame, queries: DataFrame, index: TextIndex, m:
 
     Output: key, doc_id, pos, sentence, score, ord_in_context.
     """
-    cand = attach_text(packed.select(key, "node_id", ord_col), index.nodes, ("doc_id", "pos"), max_rows=max_rows)
+    cand = attach_text(packed.select(key, "node_id", ord_col), index.nodes, ("doc_id", "pos"))
     spans = cand.select(key, ord_col, "doc_id",
                         F.explode(F.sequence(F.greatest(F.col("pos") - window_size, F.lit(0)),
                                              F.col("pos") + window_size)).alias("spos"))
     spans = spans.groupBy(key, "doc_id", "spos").agg(F.min(ord_col).alias("_ord"))
-    # at most (queries x k) x (2w + 1) rows: broadcast against the node table so
-    # the nodes are read in place, never shuffled
-    bound = None if max_rows is None else max_rows * (2 * window_size + 1)
-    if bound is not None and bound <= MAX_BROADCAST_CANDIDATES:
-        spans = F.broadcast(spans)
-    elif bound is None:
-        spans = broadcast_if_small(spans, MAX_BROADCAST_CANDIDATES)
+    spans = settle(spans, "spans")  # at most (queries x k) x (2w + 1) rows
     sent = index.nodes.select("doc_id", F.col("pos").alias("spos"), F.col("text").alias("sentence"))
     sents = sent.join(spans, ["doc_id", "spos"])
-    qidf, _ = query_term_idf(queries, index, "text", key)
+    qidf = query_term_idf(queries, index, "text", key)
     qlist = qidf.groupBy(key).agg(F.collect_list(F.struct("term", "idf")).alias("_qt"), F.sum("idf").alias("_tot"))
     j = sents.withColumn("_nt", F.array_distinct(words("sentence"))).join(qlist, key, "left")
     hit = F.aggregate(F.filter(F.coalesce("_qt", F.array().cast("array<struct<term:string,idf:double>>")),
@@ -127,8 +120,3 @@ def compress_context(packed: DataFrame, queries: DataFrame, index: TextIndex, m:
     return best.select(key, "doc_id", F.col("spos").cast("int").alias("pos"), "sentence", "score",
                        "_ord", "spos").withColumn("ord_in_context", F.row_number().over(w)) \
         .drop("_ord", "spos")
-
-
-def context_sentences(context_col: str = "context"):
-    """Sentences of a context string (used by the stub completer in SQL form)."""
-    return sentences(context_col)

@@ -29,33 +29,22 @@ from quarry.functions.rank import round_score, top_k
 from quarry.functions.text import words
 from quarry.operators.index import TextIndex
 from quarry.operators.sparse import query_term_idf
-from quarry.session import broadcast_if_small
 
-MAX_BROADCAST_CANDIDATES = 5_000_000
 
 
-def attach_text(cands: DataFrame, nodes: DataFrame, cols=("text",), key: str = "node_id",
-                max_rows: Optional[int] = None) -> DataFrame:
-    """Late materialisation: fetch node columns for a bounded candidate list.
-
-    ``max_rows`` is a known upper bound on the candidate rows (queries x k);
-    with it the broadcast needs no counting job. Without it the size is
-    checked by a bounded count. Beyond the bound: a shuffle join.
-    """
-    if max_rows is not None:
-        small = F.broadcast(cands) if max_rows <= MAX_BROADCAST_CANDIDATES else cands
-    else:
-        small = broadcast_if_small(cands, MAX_BROADCAST_CANDIDATES)
-    return nodes.select(key, *cols).join(small, key)
+def attach_text(cands: DataFrame, nodes: DataFrame, cols=("text",), key: str = "node_id") -> DataFrame:
+    """Late materialisation: fetch node columns for a bounded candidate list. Pass a
+    settled list, so that the planner knows its bytes and reads the nodes in place."""
+    return nodes.select(key, *cols).join(cands, key)
 
 
 def lexical_scores(cands: DataFrame, queries: DataFrame, index: TextIndex, text_col: str = "text",
-                   key: str = "query_id", max_rows: Optional[int] = None) -> DataFrame:
+                   key: str = "query_id") -> DataFrame:
     """Default E1 scores for (key, node_id, rank) candidates; node text from the index."""
-    qidf, _ = query_term_idf(queries, index, "text", key)
+    qidf = query_term_idf(queries, index, "text", key)
     qlist = qidf.groupBy(key).agg(F.collect_list(F.struct("term", "idf")).alias("_qt"),
                                   F.sum("idf").alias("_tot"))
-    with_text = attach_text(cands, index.nodes, (text_col,), max_rows=max_rows)
+    with_text = attach_text(cands, index.nodes, (text_col,))
     with_terms = with_text.withColumn("_nt", F.array_distinct(words(text_col)))
     j = with_terms.join(qlist, key, "left")
     hit = F.aggregate(F.filter(F.coalesce("_qt", F.array().cast("array<struct<term:string,idf:double>>")),
@@ -66,9 +55,9 @@ def lexical_scores(cands: DataFrame, queries: DataFrame, index: TextIndex, text_
 
 
 def model_scores(cands: DataFrame, queries: DataFrame, nodes: DataFrame, make_scorer: Callable,
-                 text_col: str = "text", key: str = "query_id", max_rows: Optional[int] = None) -> DataFrame:
+                 text_col: str = "text", key: str = "query_id") -> DataFrame:
     """E1 with a pluggable pair scorer, batched through Arrow."""
-    with_text = attach_text(cands, nodes, (text_col,), max_rows=max_rows)
+    with_text = attach_text(cands, nodes, (text_col,))
     pairs = with_text.join(queries.select(key, F.col("text").alias("_qtext")), key)
     schema = T.StructType(pairs.schema.fields + [T.StructField("rerank_score", T.DoubleType())])
 
@@ -82,15 +71,14 @@ def model_scores(cands: DataFrame, queries: DataFrame, nodes: DataFrame, make_sc
 
 
 def rerank(cands: DataFrame, queries: DataFrame, index: TextIndex, top_n: int,
-           make_scorer: Optional[Callable] = None, text_col: str = "text", key: str = "query_id",
-           max_rows: Optional[int] = None) -> DataFrame:
+           make_scorer: Optional[Callable] = None, text_col: str = "text", key: str = "query_id") -> DataFrame:
     """Keep ``top_n`` per query. Output: key, node_id, score (retrieval),
     retrieval_rank, rerank_score, rank. Scores see ``text_col`` of the node
     (E3: the sentence, not the window)."""
     c = cands.select(key, "node_id", "score", F.col("rank").alias("retrieval_rank"))
     if make_scorer is None:
-        scored = lexical_scores(c, queries, index, text_col, key, max_rows)
+        scored = lexical_scores(c, queries, index, text_col, key)
     else:
-        scored = model_scores(c, queries, index.nodes, make_scorer, text_col, key, max_rows)
+        scored = model_scores(c, queries, index.nodes, make_scorer, text_col, key)
     scored = scored.drop(text_col)
     return top_k(scored, [key], top_n, score="rerank_score", extra_order=[F.col("retrieval_rank").asc()])

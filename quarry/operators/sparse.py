@@ -20,11 +20,9 @@ from quarry.config import BM25_B, BM25_K1
 from quarry.functions.rank import round_score, top_k
 from quarry.functions.text import stem, words
 from quarry.operators.index import TextIndex
-from quarry.session import bounded_rows, broadcast_if_small
+from quarry.session import settle
 
-MAX_BROADCAST_QUERY_TERMS = 5_000_000
 COMMON_DF_FRACTION = 0.01
-MAX_BROADCAST_CANDIDATES = 5_000_000
 
 
 def query_terms(queries: DataFrame, text: str = "text", with_stemming: bool = False,
@@ -40,17 +38,11 @@ def idf_expr(df_col="df", n=None):
     return F.log(F.lit(1.0) + (n - F.col(df_col) + F.lit(0.5)) / (F.col(df_col) + F.lit(0.5)))
 
 
-def query_term_idf(queries: DataFrame, index: TextIndex, text: str = "text", key: str = "query_id"):
-    """(query_id, term, idf) for query terms that occur in the corpus, and
-    whether it is small enough to broadcast (it has at most as many rows as
-    the distinct (query, term) pairs, which are counted once)."""
+def query_term_idf(queries: DataFrame, index: TextIndex, text: str = "text", key: str = "query_id") -> DataFrame:
+    """(query_id, term, df, idf) for query terms that occur in the corpus, written once."""
     qt = query_terms(queries, text, index.cfg.with_stemming, key)
-    small = bounded_rows(qt, MAX_BROADCAST_QUERY_TERMS) is not None
-    if small:
-        qt = F.broadcast(qt)
-    n = index.n_nodes()
-    qidf = qt.join(index.df, "term").select(key, "term", "df", idf_expr("df", n).alias("idf"))
-    return qidf, small
+    qidf = qt.join(index.df, "term").select(key, "term", "df", idf_expr("df", index.n_nodes()).alias("idf"))
+    return settle(qidf, "query-terms")
 
 
 def _contrib(idf, tf, dl, avgdl, k1, b):
@@ -70,8 +62,7 @@ def _exhaustive(qidf: DataFrame, index: TextIndex, key: str, k1: float, b: float
 def bm25_scores(queries: DataFrame, index: TextIndex, text: str = "text", key: str = "query_id",
                 k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """All (query_id, node_id, score) with at least one shared term."""
-    qidf, small = query_term_idf(queries, index, text, key)
-    return _exhaustive(F.broadcast(qidf) if small else qidf, index, key, k1, b)
+    return _exhaustive(query_term_idf(queries, index, text, key), index, key, k1, b)
 
 
 def bm25_top_k(queries: DataFrame, index: TextIndex, k: int, text: str = "text",
@@ -89,12 +80,11 @@ def bm25_top_k(queries: DataFrame, index: TextIndex, k: int, text: str = "text",
     occurs in a third of all nodes therefore never fans a query out to a third
     of the corpus unless the answer needs it.
     """
-    qidf, small = query_term_idf(queries, index, text, key)
-    qb = F.broadcast(qidf) if small else qidf
+    qidf = query_term_idf(queries, index, text, key)
     if prune is None:
         prune = index.cfg.bm25_prune
     if not prune or index.forward is None:
-        return top_k(_exhaustive(qb, index, key, k1, b), [key], k)
+        return top_k(_exhaustive(qidf, index, key, k1, b), [key], k)
     n = index.n_nodes()
     avgdl = index.avgdl()
     common = F.col("df") > F.greatest(F.lit(1.0), n * F.lit(float(common_fraction)))
@@ -103,13 +93,11 @@ def bm25_top_k(queries: DataFrame, index: TextIndex, k: int, text: str = "text",
         F.coalesce(F.sum(F.when(F.col("_common"), F.col("idf") * F.lit(k1 + 1.0))), F.lit(0.0)).alias("_ubc"),
         F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("_qm"))
     rare = flagged.filter(~F.col("_common")).select(key, "term")
-    rare = F.broadcast(rare) if small else rare
     cand = index.postings.select("term", "node_id").join(rare, "term").select(key, "node_id").distinct()
-    # the candidate list is broadcast against the forward table behind a size
-    # check, so the forward table is scanned in place and never shuffled
-    cand = broadcast_if_small(cand, MAX_BROADCAST_CANDIDATES)
+    # written, so that the planner may broadcast it by its bytes and scan the forward table in place
+    cand = settle(cand, "bm25-candidates")
     fw = index.forward.select("node_id", "terms", "tfs", "dl")
-    scored = fw.join(cand, "node_id").join(F.broadcast(summary) if small else summary, key)
+    scored = fw.join(cand, "node_id").join(summary, key)
     # length normalisation outside the lambda (a scalar subquery may not sit in one)
     scored = scored.withColumn("_nrm", F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl").cast("double") / avgdl))
     per_term = F.zip_with("terms", "tfs", lambda t, f: F.coalesce(F.try_element_at(F.col("_qm"), t), F.lit(0.0))
@@ -122,6 +110,5 @@ def bm25_top_k(queries: DataFrame, index: TextIndex, k: int, text: str = "text",
     exact_rows = judged.filter(exact_flag).select(key, "node_id", "score", "rank")
     exact_keys = exact_rows.select(key).distinct()
     rest = qidf.drop("df").join(exact_keys, key, "left_anti")
-    rest = F.broadcast(rest) if small else rest
     fallback = top_k(_exhaustive(rest, index, key, k1, b), [key], k)
     return exact_rows.unionByName(fallback)

@@ -28,7 +28,7 @@ from quarry.operators.pack import budget_context, build_context, replace_with_me
 from quarry.operators.rerank import rerank
 from quarry.operators.route import classify_by_keyword_score
 from quarry.operators.sparse import bm25_top_k
-from quarry.session import bounded_rows
+from quarry.session import settle
 
 
 def query_vectors(queries: DataFrame, index: TextIndex, cfg: RagConfig) -> DataFrame:
@@ -51,44 +51,47 @@ def retrieve(queries: DataFrame, index: TextIndex, cfg: RagConfig) -> DataFrame:
 
 
 def postprocess(hits: DataFrame, queries: DataFrame, index: TextIndex, cfg: RagConfig,
-                make_scorer: Optional[Callable] = None, max_rows: Optional[int] = None):
+                make_scorer: Optional[Callable] = None):
     """E3 order: rerank on the node's own text (the sentence), then swap in
     the window (E2). Returns (ranked ids, nodes with replaced text)."""
     if cfg.with_rerank:
-        hits = rerank(hits, queries, index, cfg.top_k_rerank, make_scorer, max_rows=max_rows)
+        hits = rerank(hits, queries, index, cfg.top_k_rerank, make_scorer)
     ranked = hits.select("query_id", "node_id", "rank")
-    replaced = replace_with_metadata(ranked, index.nodes, cfg.replace_key, max_rows=max_rows) \
+    replaced = replace_with_metadata(ranked, index.nodes, cfg.replace_key) \
         .select("query_id", "node_id", "rank", "text")
     return ranked, replaced
 
 
-def candidate_bound(queries: DataFrame, k: int, limit: int = 5_000_000) -> Optional[int]:
-    """Upper bound on a per-query top-k list: (#queries) x k, from one bounded count."""
-    nq = bounded_rows(queries, max(limit // max(k, 1), 1))
-    return None if nq is None else nq * k
+ANSWER_FIELDS = ("response", "error", "prompt_tokens", "completion_tokens", "total_tokens")
+
+
+def generated_answer(queries: DataFrame, make_completer: Callable = make_extractive_completer) -> DataFrame:
+    """F7 in the columns of ``answer``: the sources are null."""
+    none = F.lit(None).cast("string")
+    return generation_only(queries, make_completer).select(
+        "query_id", *ANSWER_FIELDS, none.alias("source_node_id"), none.alias("window"), none.alias("sentence"))
 
 
 def answer(queries: DataFrame, index: TextIndex, cfg: RagConfig,
            make_completer: Callable = make_extractive_completer,
            make_scorer: Optional[Callable] = None) -> DataFrame:
     """P1-P4 (by config): query_id, response, source node_id, window, sentence,
-    prompt_tokens, completion_tokens, total_tokens, error."""
-    hits = retrieve(queries, index, cfg)
-    bound = candidate_bound(queries, cfg.top_k)
-    ranked, nodes_out = postprocess(hits, queries, index, cfg, make_scorer, max_rows=bound)
+    prompt_tokens, completion_tokens, total_tokens, error. With the response mode
+    "generation" nothing is retrieved and the source columns are null."""
+    if cfg.response_mode == "generation":
+        return generated_answer(queries, make_completer)
+    hits = settle(retrieve(queries, index, cfg), "hits")  # top_k rows per query, used three times below
+    ranked, nodes_out = postprocess(hits, queries, index, cfg, make_scorer)
     packed = repack(nodes_out, cfg.repack_order)
     packed = budget_context(packed, queries, cfg.context_window, cfg.num_output, QA_TEMPLATE)
-    src = source_node(ranked, index.nodes, max_rows=bound)
+    src = source_node(ranked, index.nodes)
     if cfg.response_mode == "tree_summarize":
         k = cfg.top_k_rerank if cfg.with_rerank else cfg.top_k
         tree = tree_summarize(packed, queries, k, cfg.tree_fan_in, make_completer)
-        out = queries.select("query_id").join(tree, "query_id", "left").select(
-            "query_id", "response", F.lit(None).cast("string").alias("error"),
-            F.lit(None).cast("bigint").alias("prompt_tokens"), F.lit(None).cast("bigint").alias("completion_tokens"),
-            F.lit(None).cast("bigint").alias("total_tokens"))
+        out = queries.select("query_id").join(tree, "query_id", "left").select("query_id", *ANSWER_FIELDS)
     else:
         done = simple_summarize(build_context(packed), queries, make_completer)
-        out = done.select("query_id", "response", "error", "prompt_tokens", "completion_tokens", "total_tokens")
+        out = done.select("query_id", *ANSWER_FIELDS)
     return out.join(src.withColumnRenamed("node_id", "source_node_id"), "query_id", "left")
 
 
@@ -101,8 +104,5 @@ def routed_answer(queries: DataFrame, index: TextIndex, cfg: RagConfig,
     rag_q = queries.join(routes.filter(F.col("route") == 0).select("query_id"), "query_id", "left_semi")
     gen_q = queries.join(routes.filter(F.col("route") == 1).select("query_id"), "query_id", "left_semi")
     rag = answer(rag_q, index, cfg, make_completer, make_scorer).withColumn("route", F.lit(0))
-    gen = generation_only(gen_q, make_completer).select(
-        "query_id", "response", "error", "prompt_tokens", "completion_tokens", "total_tokens",
-        F.lit(None).cast("string").alias("source_node_id"), F.lit(None).cast("string").alias("window"),
-        F.lit(None).cast("string").alias("sentence"), F.lit(1).alias("route"))
+    gen = generated_answer(gen_q, make_completer).withColumn("route", F.lit(1))
     return rag.unionByName(gen)

@@ -251,7 +251,22 @@ def f6_tree_summarize(spark, sf):
     packed = repack(replace_with_metadata(hits.select("query_id", "node_id", "rank"), idx.nodes, "window")
                     .select("query_id", "node_id", "rank", "text"), "forward")
     tree = tree_summarize(packed, q, 5, 2)
-    return q.select("query_id").join(tree, "query_id", "left")
+    return q.select("query_id").join(tree.select("query_id", "response"), "query_id", "left")
+
+
+_GENERATED = f"""
+SELECT item_id AS query_id, '' AS response, CAST(NULL AS VARCHAR) AS error,
+       CAST({S.space_count(S.fill_sql(QUERY_ONLY_TEMPLATE, None, 'text'))} AS BIGINT) AS prompt_tokens,
+       CAST(0 AS BIGINT) AS completion_tokens,
+       CAST({S.space_count(S.fill_sql(QUERY_ONLY_TEMPLATE, None, 'text'))} AS BIGINT) AS total_tokens,
+       CAST(NULL AS VARCHAR) AS source_node_id, CAST(NULL AS VARCHAR) AS "window", CAST(NULL AS VARCHAR) AS sentence
+FROM benchmark"""
+
+
+@register("p_generation", _GENERATED)
+def p_generation(spark, sf):
+    """Response mode "generation": the plan of P1-P4 without retrieval."""
+    return answer(benchmark_queries(spark, sf), corpus_index(spark, sf), P1.replace(response_mode="generation"))
 
 
 @register("f7_generation", f"""
@@ -264,9 +279,10 @@ def f7_generation(spark, sf):
 
 
 _F8_SQL = f"""
-WITH u AS (SELECT c.conv_id, c.turn, c.text AS query_text, a.text AS context
-           FROM conversations c JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1
-           WHERE c.role = 'user' AND a.role = 'assistant'),
+WITH u AS (SELECT c.conv_id, c.turn, c.text AS query_text, coalesce(a.text, '') AS context
+           FROM conversations c LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1
+             AND a.role = 'assistant'
+           WHERE c.role = 'user'),
 g AS (SELECT conv_id, turn, {S.fill_sql(QA_TEMPLATE, 'context', 'query_text')} AS prompt,
              {S.stub_answer_sql('context', 'query_text')} AS response FROM u)
 SELECT conv_id, turn, response, CAST(NULL AS VARCHAR) AS error,
@@ -279,7 +295,7 @@ def _f8_prompts(spark, sf):
     u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("query_text"))
     a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
                                                       F.col("text").alias("context"))
-    j = u.join(a, ["conv_id", "turn"])
+    j = u.join(a, ["conv_id", "turn"], "left").withColumn("context", F.coalesce("context", F.lit("")))
     return j.withColumn("prompt", fill_template(QA_TEMPLATE, F.col("context"), F.col("query_text")))
 
 
@@ -305,9 +321,10 @@ def f10_messages(spark, sf):
 
 
 _F11_SQL = f"""
-WITH u AS (SELECT c.conv_id, c.turn, c.text AS query_text, a.text AS context
-           FROM conversations c JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1
-           WHERE c.role = 'user' AND a.role = 'assistant'),
+WITH u AS (SELECT c.conv_id, c.turn, c.text AS query_text, coalesce(a.text, '') AS context
+           FROM conversations c LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1
+             AND a.role = 'assistant'
+           WHERE c.role = 'user'),
 g AS (SELECT {S.fill_sql(QA_TEMPLATE, 'context', 'query_text')} AS prompt,
              {S.stub_answer_sql('context', 'query_text')} AS response FROM u),
 r AS (SELECT 'extractive-stub' AS model, 'conversations' AS run, CAST(NULL AS VARCHAR) AS error,

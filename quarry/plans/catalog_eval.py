@@ -236,8 +236,7 @@ def v5_compare_runs(spark, sf):
     hy = hybrid_top_k(dense, bm25_top_k(q, idx, 12), 5, 0.3, "OR")
     rates = None
     for run, hits in (("bm25", bm), ("dense", dense), ("hybrid", hy)):
-        r = hit_rate(hit_rows(hits, q, qrels)).select(F.lit(run).alias("run"), "hit_rate")
+        r = hit_rate(hit_rows(hits, q, qrels), None).select(F.lit(run).alias("run"), "hit_rate")
         rates = r if rates is None else rates.unionByName(r)
-    # difference from unrounded rates is not needed: both sides round the same way
     out = compare_runs(rates, ["bm25", "dense", "hybrid"], "dense", "hybrid")
     return out

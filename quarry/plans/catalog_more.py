@@ -18,7 +18,7 @@ from quarry.operators.sparse import bm25_top_k
 from quarry.plans import catalog_eval as EV
 from quarry.plans.registry import DEFAULT_CFG, corpus_index, register, with_sql
 from quarry.session import shared_path
-from quarry.sources.index_store import upsert_index
+from quarry.sources.index_store import load_index, upsert_index
 from quarry.sources.qa_json import read_qa_dataset, write_qa_dataset, write_report
 from quarry.sources.tables import benchmark_queries, documents
 from quarry.streaming.ingest import stream_nodes
@@ -43,15 +43,36 @@ def _run_dir(spark, what):
     return shared_path(spark, "quarry-runs", what, uuid.uuid4().hex[:10])
 
 
-@register("a3_qa_roundtrip", with_sql(EV.QUESTIONS, select="""
-SELECT query_id, node_id, 0 AS ord FROM qs"""))
-def a3_qa_roundtrip(spark, sf):
+def _qa_back(spark, sf, single_object):
+    """The three tables of a dataset that was written and read, as (part, id, value, ord) rows."""
     nodes = EV._b3(spark, sf)
     corpus, queries, qrels = qa_tables(synthetic_questions(nodes), nodes)
-    path = _run_dir(spark, "qa")
-    write_qa_dataset(corpus, queries, qrels, path)
-    _, _, back = read_qa_dataset(spark, path)
-    return back.select("query_id", "node_id", "ord")
+    path = write_qa_dataset(corpus, queries, qrels, _run_dir(spark, "qa"), single_object)
+    corpus, queries, qrels = read_qa_dataset(spark, path)
+
+    def rows(part, df, id_col, value, order):
+        return df.select(F.lit(part).alias("part"), F.col(id_col).alias("id"), F.col(value).alias("value"),
+                         order.cast("int").alias("ord"))
+
+    return rows("corpus", corpus, "node_id", "text", F.lit(0)) \
+        .unionByName(rows("queries", queries, "query_id", "text", F.lit(0))) \
+        .unionByName(rows("qrels", qrels, "query_id", "node_id", F.col("ord")))
+
+
+_QA_SQL = with_sql(EV.QUESTIONS, select="""
+SELECT 'corpus' AS part, node_id AS id, text AS value, 0 AS ord FROM b3n
+UNION ALL SELECT 'queries', query_id, text, 0 FROM qs
+UNION ALL SELECT 'qrels', query_id, node_id, 0 FROM qs""")
+
+
+@register("a3_qa_roundtrip", _QA_SQL)
+def a3_qa_roundtrip(spark, sf):
+    return _qa_back(spark, sf, False)
+
+
+@register("a2_qa_object", _QA_SQL)
+def a2_qa_object(spark, sf):
+    return _qa_back(spark, sf, True)
 
 
 @register("a7_stream_nodes", with_sql(S.nodes_ctes(3), select='SELECT node_id, doc_id, pos, text, "window" FROM nodes'))
@@ -70,9 +91,43 @@ def a8_report_csv(spark, sf):
     return spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
+_A6_DOCS = """documents AS (
+  SELECT doc_id, CASE WHEN doc_id % 13 = 3 THEN '' WHEN doc_id % 7 = 1 THEN text || ' One more sentence.' ELSE text END AS text
+  FROM main.documents WHERE doc_id % 11 <> 2)"""
+
+
+@register("a6_incremental", with_sql(_A6_DOCS, S.index_ctes(), select="""
+SELECT 'node' AS kind, node_id AS id, text || '|' || coalesce("window", '') AS value FROM nodes
+UNION ALL SELECT 'df', term, CAST(df AS VARCHAR) FROM dfreq
+UNION ALL SELECT 'postings', '', CAST(count(*) AS VARCHAR) FROM postings
+UNION ALL SELECT 'n', '', CAST(n AS VARCHAR) FROM stats"""))
+def a6_incremental(spark, sf):
+    """Build on all documents, then update to a corpus with some edited, emptied and
+    removed, twice: the tables are those of the new corpus."""
+    docs = documents(spark, sf)
+    path = shared_path(spark, "quarry-runs", "a6", uuid.uuid4().hex[:10])
+    upsert_index(spark, docs, path, DEFAULT_CFG)
+    text = F.when(F.col("doc_id") % 13 == 3, "").when(
+        F.col("doc_id") % 7 == 1, F.concat("text", F.lit(" One more sentence."))).otherwise(F.col("text"))
+    docs = docs.withColumn("text", text).filter("doc_id % 11 <> 2")
+    upsert_index(spark, docs, path, DEFAULT_CFG)
+    again = upsert_index(spark, docs, path, DEFAULT_CFG)
+    if any(again.values()):
+        raise AssertionError(f"the second update changed the index: {again}")
+    idx = load_index(spark, path, DEFAULT_CFG)
+    rows = idx.nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"),
+                            F.concat("text", F.lit("|"), F.coalesce("window", F.lit(""))).alias("value"))
+    rows = rows.unionByName(idx.df.select(F.lit("df").alias("kind"), F.col("term").alias("id"),
+                                          F.col("df").cast("string").alias("value")))
+    rows = rows.unionByName(idx.postings.agg(F.lit("postings").alias("kind"), F.lit("").alias("id"),
+                                             F.count("*").cast("string").alias("value")))
+    return rows.unionByName(idx.stats.select(F.lit("n").alias("kind"), F.lit("").alias("id"),
+                                             F.col("n").cast("string").alias("value")))
+
+
 @register("a6_incremental_rerun")
 def a6_incremental_rerun(spark, sf):
-    """Build (or reuse) the index, then run the update again: nothing changes."""
+    """Build the index, then run the update again: nothing changes."""
     docs = documents(spark, sf)
     path = shared_path(spark, "quarry-runs", "a6", uuid.uuid4().hex[:10])
     first = upsert_index(spark, docs, path, DEFAULT_CFG)

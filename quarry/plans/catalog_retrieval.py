@@ -159,7 +159,7 @@ def d1a_dense_lsh(spark, sf):
     e = read_table(spark, sf, "embeddings")
     q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     c = e.select("vec_id", F.col("embedding").alias("vector"))
-    return approx_dense_top_k(q, c, 5, key="query_id", id_col="vec_id", min_cosine=0.0)
+    return approx_dense_top_k(q, c, 5, key="query_id", id_col="vec_id")
 
 
 @register("d2_bm25", with_sql(S.index_ctes(), Q, S.bm25_ctes(12), select="SELECT * FROM bm"))

@@ -1,12 +1,12 @@
-"""Session helpers: test/bench session, shared checkpoint folder, checked broadcast."""
+"""Session helpers: test/bench session, shared checkpoint folder, settled intermediates."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -93,6 +93,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.conf.get("spark.checkpoint.dir", None)
         if not current:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             current = tempfile.mkdtemp(prefix="quarry-ckpt-")
         sc.setCheckpointDir(current)
         current = sc.getCheckpointDir() or current
@@ -105,23 +107,15 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base.rstrip("/"), *parts])
 
 
-class BroadcastTooLarge(Exception):
-    pass
+def settle(df: DataFrame, tag: str) -> DataFrame:
+    """Write a small intermediate once (top-k lists, query terms) and read it back.
 
-
-def bounded_rows(df: DataFrame, max_rows: int) -> int | None:
-    """Row count if it is at most ``max_rows``, else None. Reads at most max_rows+1 rows."""
-    n = df.limit(max_rows + 1).count()
-    return n if n <= max_rows else None
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only behind a size check; otherwise leave it to the planner.
-
-    Beyond the bound the join falls back to a shuffle join (sort-merge, or a
-    broadcast that AQE picks from measured sizes).
-    """
-    return F.broadcast(df) if bounded_rows(df, max_rows) is not None else df
+    What uses it several times then computes it once, a lost executor costs no
+    recomputation, and the planner knows its true bytes: joins with it are broadcast
+    below ``spark.sql.autoBroadcastJoinThreshold`` and shuffled above, without hints."""
+    path = shared_path(df.sparkSession, "quarry-settled", f"{tag}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -150,9 +144,3 @@ def rename_path(spark: SparkSession, src: str, dst: str) -> None:
     if not fs.rename(s, d):
         raise IOError(f"rename {src} -> {dst} failed")
 
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

@@ -67,14 +67,26 @@ def test_dense_block_top_k_matches_brute_force_with_ties(spark):
         assert by_q == brute(queries, corpus, 4, excl)
 
 
-def test_dense_query_blocks_beyond_broadcast_bound(spark):
+def test_dense_many_packs_shuffled_or_broadcast(spark, monkeypatch):
+    """More queries and vectors than one tile, few running lists, ties, and no broadcast."""
+    from quarry.operators import dense as D
+
     rng = np.random.default_rng(2)
-    vecs = rng.normal(size=(25, 4))
+    vecs = rng.integers(-2, 3, size=(60, 3)).astype(float)
     c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, vector array<double>")
     q = c.withColumnRenamed("vec_id", "query_id")
-    small = dense_top_k(q, c, 3, id_col="vec_id", max_broadcast_queries=4).orderBy("query_id", "rank").collect()
     big = dense_top_k(q, c, 3, id_col="vec_id").orderBy("query_id", "rank").collect()
-    assert [tuple(r) for r in small] == [tuple(r) for r in big]
+    monkeypatch.setattr(D, "PACK", 7)
+    monkeypatch.setattr(D, "QUERY_PACK", 5)
+    monkeypatch.setattr(D, "HELD", 2)
+    small = dense_top_k(q, c, 3, id_col="vec_id").orderBy("query_id", "rank").collect()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = dense_top_k(q, c, 3, id_col="vec_id").orderBy("query_id", "rank").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert [tuple(r) for r in small] == [tuple(r) for r in big] == [tuple(r) for r in moved]
 
 
 def test_pruned_bm25_equals_exhaustive(spark, scratch):
@@ -99,7 +111,7 @@ def test_lsh_scores_exact_and_recall(spark):
     q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     c = e.select("vec_id", F.col("embedding").alias("vector"))
     exact = dense_top_k(q, c, 5, id_col="vec_id", exclude_self=False)
-    approx = approx_dense_top_k(q, c, 5, id_col="vec_id", min_cosine=0.0)
+    approx = approx_dense_top_k(q, c, 5, id_col="vec_id")
     ex = {(r.query_id, r.vec_id): r.score for r in exact.collect()}
     full = {(r.query_id, r.vec_id): r.score for r in
             dense_top_k(q, c, 500, id_col="vec_id").collect()}
