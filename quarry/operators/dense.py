@@ -112,15 +112,40 @@ def _merge(rows: list[tuple], k: int) -> tuple:
     return query[place < k], ids[order], score[order]
 
 
-def _meet(k: int, key: str, id_col: str, exclude_self: bool, schema: T.StructType):
+class Running:
+    """Top-k lists of the query packs that a task has met, at most HELD at a time."""
+
+    def __init__(self, k: int, key: str, id_col: str):
+        self.k, self.key, self.id_col = k, key, id_col
+        self.held: dict = {}
+
+    def _give(self, pack):
+        keys, rows, _ = self.held.pop(pack)
+        query, ids, score = _merge(rows, self.k)
+        return pd.DataFrame({self.key: np.asarray(keys, dtype=object)[query], self.id_col: ids, "score": score})
+
+    def add(self, pack, keys, ids: np.ndarray, score: np.ndarray):
+        """Scores of a tile (rows: ids, columns: keys); yields lists that have to go."""
+        r, c = _block_top_k(score, ids, self.k)
+        if pack not in self.held:
+            if len(self.held) >= HELD:
+                yield self._give(next(iter(self.held)))
+            self.held[pack] = [keys, [], 0]
+        mine = self.held[pack]
+        mine[1].append((c, ids[r], score[r, c]))
+        mine[2] += len(r)
+        if mine[2] > 8 * self.k * len(keys):
+            mine[1] = [_merge(mine[1], self.k)]
+            mine[2] = len(mine[1][0][0])
+
+    def rest(self):
+        for pack in list(self.held):
+            yield self._give(pack)
+
+
+def _meet(k: int, key: str, id_col: str, exclude_self: bool):
     def run(batches):
-        held: dict[bytes, list] = {}
-
-        def give(pack):
-            qids, rows, _ = held.pop(pack)
-            query, ids, score = _merge(rows, k)
-            return pd.DataFrame({key: np.asarray(qids, dtype=object)[query], id_col: ids, "score": score})
-
+        running = Running(k, key, id_col)
         for pdf in batches:
             for c_ids, c_raw, c_n, q_ids, q_raw, q_n in zip(*(pdf[x] for x in (
                     "_c", "_cm", "_c_n", "_q", "_qm", "_q_n"))):
@@ -128,27 +153,14 @@ def _meet(k: int, key: str, id_col: str, exclude_self: bool, schema: T.StructTyp
                 queries = np.frombuffer(q_raw).reshape(q_n, -1)
                 if corpus.shape[1] != queries.shape[1]:
                     raise ValueError(f"vector dimension {corpus.shape[1]} != query dimension {queries.shape[1]}")
-                ids = np.asarray(list(c_ids))
                 score = np.round(corpus @ queries.T, SCORE_DECIMALS)
                 if exclude_self:
                     place = {x: i for i, x in enumerate(c_ids)}
                     for j, x in enumerate(q_ids):
                         if x in place:
                             score[place[x], j] = -np.inf
-                r, c = _block_top_k(score, ids, k)
-                pack = q_raw
-                if pack not in held:
-                    if len(held) >= HELD:
-                        yield give(next(iter(held)))
-                    held[pack] = [q_ids, [], 0]
-                mine = held[pack]
-                mine[1].append((c, ids[r], score[r, c]))
-                mine[2] += len(r)
-                if mine[2] > 8 * k * q_n:
-                    mine[1] = [_merge(mine[1], k)]
-                    mine[2] = len(mine[1][0][0])
-        for pack in list(held):
-            yield give(pack)
+                yield from running.add(q_raw, q_ids, np.asarray(list(c_ids)), score)
+        yield from running.rest()
 
     return run
 
@@ -163,7 +175,7 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "query
     c = _pack(corpus, id_col, vector, PACK, ("_c", "_cm"), blocks)
     q = _pack(queries, key, vector, QUERY_PACK, ("_q", "_qm"))
     q = q.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = c.join(q, "_block").mapInPandas(_meet(k, key, id_col, exclude_self, schema), schema)
+    found = c.join(q, "_block").mapInPandas(_meet(k, key, id_col, exclude_self), schema)
     return top_k(found.withColumn("score", round_score("score")), [key], k, id_col=id_col)
 
 

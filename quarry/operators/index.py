@@ -1,8 +1,8 @@
 """Build the dense and keyword halves of an index in one pass.
 
-From one node table, a single map-only projection yields per node: the
-sorted distinct terms with their counts (in-row, see ``term_frequencies``),
-the document length and the hashed vector. From that:
+From one node table, a single map-only projection yields per node the sorted
+distinct terms with their counts (in-row, see ``term_frequencies``) and the
+length: the forward table, which BM25 scores in place. From it:
 
     postings(term, node_id, doc_id, tf, dl)   explode, no shuffle
     vectors(node_id, doc_id, vector)          no shuffle
@@ -11,8 +11,7 @@ the document length and the hashed vector. From that:
                                               ships one row per map task
     stats(n, avgdl)                           global agg, one row
 
-``dl`` is stored in every posting so BM25 never joins a node-sized table at
-query time.
+``dl`` is stored in every posting, so they can be scored without a join.
 """
 
 from __future__ import annotations
@@ -23,8 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.config import RagConfig
-from quarry.operators.chunk import chunk
-from quarry.functions.text import words
 from quarry.operators.embed import Embedder, hashed_vector, with_terms
 
 
@@ -37,7 +34,7 @@ class TextIndex:
     stats: DataFrame     # n, avgdl
     cfg: RagConfig
     embedder: Embedder
-    forward: DataFrame | None = None  # node_id, terms, tfs, dl (per-node term lists)
+    forward: DataFrame   # node_id, doc_id, terms, tfs, dl
 
     def n_nodes(self):
         return self.stats.select("n").scalar()
@@ -46,49 +43,35 @@ class TextIndex:
         return self.stats.select("avgdl").scalar()
 
 
-def node_lengths(nodes: DataFrame, cfg: RagConfig) -> DataFrame:
-    """dl = number of retrieval tokens (stemming does not change the count)."""
-    return nodes.select("node_id", F.size(words("text")).alias("dl"))
-
-
-def build_postings(nodes: DataFrame, cfg: RagConfig) -> DataFrame:
-    ts = with_terms(nodes.select("node_id", "doc_id", "text"), "text", cfg.with_stemming)
-    dl = F.aggregate("_ts.tfs", F.lit(0), lambda a, b: a + b)
-    return ts.select(
-        "node_id", "doc_id", dl.alias("dl"),
-        F.explode(F.arrays_zip(F.col("_ts.terms").alias("term"), F.col("_ts.tfs").alias("tf"))).alias("_p")
-    ).select(F.col("_p.term").alias("term"), "node_id", "doc_id", F.col("_p.tf").cast("int").alias("tf"),
-             F.col("dl").cast("int").alias("dl"))
-
-
 def build_forward(nodes: DataFrame, cfg: RagConfig) -> DataFrame:
-    """Per-node sorted distinct terms with counts, and the length: lets BM25
-    score a bounded candidate set without touching the postings again."""
+    """Per-node sorted distinct terms with counts, and the length. The only place where
+    node text is tokenised; postings, vectors, df and stats come from it."""
     ts = with_terms(nodes.select("node_id", "doc_id", "text"), "text", cfg.with_stemming)
     return ts.select("node_id", "doc_id", F.col("_ts.terms").alias("terms"),
                      F.col("_ts.tfs").cast("array<int>").alias("tfs"),
                      F.aggregate("_ts.tfs", F.lit(0), lambda a, b: a + b).cast("int").alias("dl"))
 
 
-def build_vectors(nodes: DataFrame, cfg: RagConfig, embedder: Embedder | None = None) -> DataFrame:
-    embedder = embedder or Embedder(dim=cfg.hash_dim, with_stemming=cfg.with_stemming)
-    if embedder.make_fn is None:
-        ts = with_terms(nodes.select("node_id", "doc_id", "text"), "text", embedder.with_stemming)
-        v = ts.select("node_id", "doc_id", hashed_vector(F.col("_ts"), embedder.dim).alias("vector"))
-    else:
-        v = embedder.embed(nodes.select("node_id", "doc_id", "text"), "text").select("node_id", "doc_id", "vector")
-    # nodes without tokens keep a null vector; D1 skips them (no filter here:
-    # a pushed-down filter would re-evaluate the whole projection chain)
-    return v
+def build_postings(forward: DataFrame) -> DataFrame:
+    pairs = F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))
+    return forward.select("node_id", "doc_id", "dl", F.explode(pairs).alias("_p")) \
+        .select(F.col("_p.term").alias("term"), "node_id", "doc_id", F.col("_p.tf").cast("int").alias("tf"), "dl")
+
+
+def build_vectors(nodes: DataFrame, forward: DataFrame, cfg: RagConfig, embedder: Embedder) -> DataFrame:
+    """Nodes without tokens keep a null vector; D1 skips them."""
+    if embedder.make_fn is None and embedder.with_stemming == cfg.with_stemming:
+        terms = forward.withColumn("_ts", F.struct("terms", "tfs"))
+        return terms.select("node_id", "doc_id", hashed_vector(F.col("_ts"), embedder.dim).alias("vector"))
+    return embedder.embed(nodes.select("node_id", "doc_id", "text"), "text").select("node_id", "doc_id", "vector")
 
 
 def doc_freq(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def corpus_stats_from_nodes(nodes: DataFrame, cfg: RagConfig) -> DataFrame:
-    """n = nodes with at least one token; avgdl = their mean length. Straight from
-    the node rows: one partial aggregate per task, no shuffle."""
-    dl = node_lengths(nodes, cfg)
+def corpus_stats(forward: DataFrame) -> DataFrame:
+    """n = nodes with at least one token; avgdl = their mean length: one partial
+    aggregate per task."""
     has = F.col("dl") > 0
-    return dl.agg(F.count(F.when(has, F.lit(1))).alias("n"), F.avg(F.when(has, F.col("dl"))).alias("avgdl"))
+    return forward.agg(F.count(F.when(has, F.lit(1))).alias("n"), F.avg(F.when(has, F.col("dl"))).alias("avgdl"))

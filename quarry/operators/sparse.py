@@ -4,25 +4,32 @@
         idf(t) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
     idf(t) = ln(1 + (N - df + 0.5) / (df + 0.5)),  k1 = 1.5, b = 0.75
 
-Plan: the (query, term, idf) table is the small side and is broadcast behind
-a row-count check; postings are scanned in place and filtered by the
-broadcast hash join (no shuffle of postings, however common a term is).
-Matches are partially summed per map task, shuffled on (query_id, node_id)
-and cut to k per query by a partial + final WindowGroupLimit.
+Plan: a node's terms stand in one row of the forward table, so nodes are scored
+where they are. Rows are packed within their partition (``PACK`` nodes), query
+terms by query (``QUERY_PACK`` queries), and the packs meet in an equi-join on a
+block number, as in D1: the planner broadcasts the query packs by their bytes or
+shuffles both sides. A task adds up, for each node, the weighted query rows of its
+matching terms (a sparse-by-dense product) and keeps a running top-k per query
+pack. No (query, node) pair leaves a task unless it is in that task's top-k,
+however common a term is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.config import BM25_B, BM25_K1
+from quarry.config import BM25_B, BM25_K1, SCORE_DECIMALS
 from quarry.functions.rank import round_score, top_k
 from quarry.functions.text import stem, words
+from quarry.operators.dense import Running
 from quarry.operators.index import TextIndex
 from quarry.session import settle
 
-COMMON_DF_FRACTION = 0.01
+PACK, QUERY_PACK = 2048, 128
 
 
 def query_terms(queries: DataFrame, text: str = "text", with_stemming: bool = False,
@@ -45,70 +52,69 @@ def query_term_idf(queries: DataFrame, index: TextIndex, text: str = "text", key
     return settle(qidf, "query-terms")
 
 
-def _contrib(idf, tf, dl, avgdl, k1, b):
-    tf = tf.cast("double")
-    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * dl.cast("double") / avgdl)
-    return idf * tf * F.lit(k1 + 1.0) / (tf + norm)
-
-
-def _exhaustive(qidf: DataFrame, index: TextIndex, key: str, k1: float, b: float) -> DataFrame:
-    """Score every node sharing a query term: postings x broadcast query terms."""
-    avgdl = index.avgdl()
-    contrib = _contrib(F.col("idf"), F.col("tf"), F.col("dl"), avgdl, k1, b)
-    matched = index.postings.select("term", "node_id", "tf", "dl").join(qidf, "term")
-    return matched.groupBy(key, "node_id").agg(round_score(F.sum(contrib)).alias("score"))
-
-
-def bm25_scores(queries: DataFrame, index: TextIndex, text: str = "text", key: str = "query_id",
-                k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """All (query_id, node_id, score) with at least one shared term."""
-    return _exhaustive(query_term_idf(queries, index, text, key), index, key, k1, b)
+_PACKED = pa.schema([("_ids", pa.list_(pa.string())), ("_terms", pa.list_(pa.string())), ("_tfs", pa.list_(pa.int32())),
+                     ("_size", pa.list_(pa.int32())), ("_dl", pa.list_(pa.int32()))])
+
+
+def _pack_nodes(batches):
+    """Rows of up to PACK nodes: ids, their terms and counts one after the other, terms per node, lengths."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, PACK):
+            part = batch.slice(i, PACK)
+            columns = [part.column("node_id"), part.column("terms").flatten(), part.column("tfs").flatten(),
+                       part.column("terms").value_lengths(), part.column("dl")]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c.cast(f.type.value_type))
+                     for c, f in zip(columns, _PACKED)]
+            yield pa.RecordBatch.from_arrays(lists, schema=_PACKED)
+
+
+def _score_packs(k: int, key: str, avgdl: float, k1: float, b: float):
+    def run(batches):
+        running = Running(k, key, "node_id")
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                keys, q_of = np.unique(np.asarray(list(row.q_keys)), return_inverse=True)
+                terms, t_of = np.unique(np.asarray(list(row.q_terms), dtype=object), return_inverse=True)
+                idf = np.zeros((len(terms), len(keys)))
+                idf[t_of, q_of] = np.asarray(row.q_idfs)
+                place = {t: i for i, t in enumerate(terms)}
+                size, dl = np.asarray(row.size_), np.asarray(row.dl_, dtype=float)
+                at = np.fromiter((place.get(t, -1) for t in row.terms_), dtype=np.int64, count=len(row.terms_))
+                node = np.repeat(np.arange(len(size)), size)[at >= 0]
+                tf, at = np.asarray(row.tfs_, dtype=float)[at >= 0], at[at >= 0]
+                weight = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl[node] / avgdl))
+                some, first = np.unique(node, return_index=True)
+                if not len(some):
+                    continue
+                score = np.add.reduceat(weight[:, None] * idf[at], first, axis=0)
+                met = np.add.reduceat(idf[at] > 0, first, axis=0)
+                score = np.where(met, np.round(score, SCORE_DECIMALS), -np.inf)
+                pack = tuple(keys.tolist())
+                yield from running.add(pack, list(keys), np.asarray(list(row.ids_))[some], score)
+        yield from running.rest()
+
+    return run
 
 
 def bm25_top_k(queries: DataFrame, index: TextIndex, k: int, text: str = "text",
-               key: str = "query_id", k1: float = BM25_K1, b: float = BM25_B,
-               common_fraction: float = COMMON_DF_FRACTION, prune: bool | None = None) -> DataFrame:
-    """K best nodes per query: (query_id, node_id, score, rank).
-
-    Exact top-k with MaxScore-style pruning. A term is *common* when its df
-    exceeds ``common_fraction`` of the nodes; its contribution to any score is
-    below its upper bound idf * (k1 + 1). Phase 1 scores, in full (from the
-    per-node forward lists), only nodes holding at least one rare query term.
-    For a query whose k-th phase-1 score exceeds the sum of its common terms'
-    upper bounds, no other node can reach the top k, so phase 1 is the exact
-    answer. Other queries fall back to exhaustive scoring. A stopword that
-    occurs in a third of all nodes therefore never fans a query out to a third
-    of the corpus unless the answer needs it.
-    """
+               key: str = "query_id", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """K best nodes per query: (query_id, node_id, score, rank)."""
+    spark = index.forward.sparkSession
     qidf = query_term_idf(queries, index, text, key)
-    if prune is None:
-        prune = index.cfg.bm25_prune
-    if not prune or index.forward is None:
-        return top_k(_exhaustive(qidf, index, key, k1, b), [key], k)
-    n = index.n_nodes()
-    avgdl = index.avgdl()
-    common = F.col("df") > F.greatest(F.lit(1.0), n * F.lit(float(common_fraction)))
-    flagged = qidf.withColumn("_common", common)
-    summary = flagged.groupBy(key).agg(
-        F.coalesce(F.sum(F.when(F.col("_common"), F.col("idf") * F.lit(k1 + 1.0))), F.lit(0.0)).alias("_ubc"),
-        F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("_qm"))
-    rare = flagged.filter(~F.col("_common")).select(key, "term")
-    cand = index.postings.select("term", "node_id").join(rare, "term").select(key, "node_id").distinct()
-    # written, so that the planner may broadcast it by its bytes and scan the forward table in place
-    cand = settle(cand, "bm25-candidates")
-    fw = index.forward.select("node_id", "terms", "tfs", "dl")
-    scored = fw.join(cand, "node_id").join(summary, key)
-    # length normalisation outside the lambda (a scalar subquery may not sit in one)
-    scored = scored.withColumn("_nrm", F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl").cast("double") / avgdl))
-    per_term = F.zip_with("terms", "tfs", lambda t, f: F.coalesce(F.try_element_at(F.col("_qm"), t), F.lit(0.0))
-                          * f.cast("double") * F.lit(k1 + 1.0) / (f.cast("double") + F.col("_nrm")))
-    total = F.aggregate(per_term, F.lit(0.0), lambda a, x: a + x)
-    phase1 = top_k(scored.select(key, "node_id", "_ubc", round_score(total).alias("score")), [key], k)
-    w = Window.partitionBy(key)
-    judged = phase1.withColumn("_kth", F.min("score").over(w)).withColumn("_cnt", F.count(F.lit(1)).over(w))
-    exact_flag = (F.col("_cnt") == k) & (F.col("_kth") > F.col("_ubc") + F.lit(1e-6))
-    exact_rows = judged.filter(exact_flag).select(key, "node_id", "score", "rank")
-    exact_keys = exact_rows.select(key).distinct()
-    rest = qidf.drop("df").join(exact_keys, key, "left_anti")
-    fallback = top_k(_exhaustive(rest, index, key, k1, b), [key], k)
-    return exact_rows.unionByName(fallback)
+    schema = T.StructType([T.StructField(key, queries.schema[key].dataType), T.StructField("node_id", T.StringType()),
+                           T.StructField("score", T.DoubleType())])
+    packs = -(-qidf.select(key).distinct().count() // QUERY_PACK) or 1
+    stats = index.stats.first()  # one row
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    q = settle(qidf.groupBy(F.pmod(F.xxhash64(key), F.lit(packs)).alias("_pack")).agg(
+        F.collect_list(key).alias("q_keys"), F.collect_list("term").alias("q_terms"),
+        F.collect_list("idf").alias("q_idfs")).drop("_pack"), "query-packs")
+    q = q.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    nodes = index.forward.filter("dl > 0").select("node_id", "terms", "tfs", "dl").mapInArrow(
+        _pack_nodes, "_ids array<string>, _terms array<string>, _tfs array<int>, _size array<int>, _dl array<int>")
+    nodes = nodes.select(F.pmod(F.xxhash64("_ids"), F.lit(blocks)).cast("int").alias("_block"), F.col("_ids").alias("ids_"),
+                         F.col("_terms").alias("terms_"), F.col("_tfs").alias("tfs_"), F.col("_size").alias("size_"),
+                         F.col("_dl").alias("dl_"))
+    found = nodes.join(q, "_block").drop("_block").mapInPandas(
+        _score_packs(k, key, float(stats.avgdl or 1.0), k1, b), schema)
+    return top_k(found.withColumn("score", round_score("score")), [key], k)

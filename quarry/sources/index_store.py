@@ -7,6 +7,7 @@ dense-only run never meets a hybrid index built with other settings):
     nodes/     node_id, doc_id, pos, text, window, part
     postings/  term, node_id, doc_id, tf, dl, part (sorted by term in files)
     vectors/   node_id, doc_id, vector, part
+    forward/   node_id, doc_id, terms, tfs, dl, part
     df/        term, df                           re-aggregated from postings
     stats/     n, avgdl                           re-aggregated, one row
 
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from quarry.config import RagConfig
 from quarry.operators.chunk import chunk, fingerprint
 from quarry.operators.embed import Embedder
-from quarry.operators.index import TextIndex, build_forward, build_postings, build_vectors, doc_freq
+from quarry.operators.index import TextIndex, build_forward, build_postings, build_vectors, corpus_stats, doc_freq
 from quarry.session import delete_path, path_exists, shared_path
 
 DOCS_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fingerprint", T.StringType()),
@@ -108,13 +109,13 @@ def _read(spark: SparkSession, path: str, name: str, schema: T.StructType) -> Da
 
 def load_index(spark: SparkSession, path: str, cfg: RagConfig, embedder: Embedder | None = None) -> TextIndex:
     """A5: read the tables with explicit schemas (no inference)."""
-    embedder = embedder or Embedder(dim=cfg.hash_dim, with_stemming=cfg.with_stemming)
+    embedder = embedder or Embedder(dim=cfg.hash_dim)
     nodes = _read(spark, path, "nodes", NODES_SCHEMA)
     postings = _read(spark, path, "postings", POSTINGS_SCHEMA)
     vectors = _read(spark, path, "vectors", VECTORS_SCHEMA)
     dfs = _read(spark, path, "df", DF_SCHEMA)
     stats = _read(spark, path, "stats", STATS_SCHEMA)
-    forward = _read(spark, path, "forward", FORWARD_SCHEMA) if path_exists(spark, f"{path}/forward") else None
+    forward = _read(spark, path, "forward", FORWARD_SCHEMA)
     return TextIndex(nodes=nodes, postings=postings, vectors=vectors, df=dfs, stats=stats, cfg=cfg,
                      embedder=embedder, forward=forward)
 
@@ -140,30 +141,27 @@ def _write_parts(df: DataFrame, full: str, dynamic: bool, sort_cols=()) -> None:
 
 
 def _index_rows(spark: SparkSession, docs: DataFrame, cfg: RagConfig, embedder: Embedder,
-                nodes_path: str, p: int) -> dict[str, DataFrame]:
-    """Chunk once and write the nodes; postings and vectors are then derived
-    from the written node table (the sentence split is not repeated, and the
-    written table cuts the lineage back to the raw text)."""
+                nodes_path: str, forward_path: str, p: int) -> dict[str, DataFrame]:
+    """Chunk once and write the nodes, tokenise them once and write the forward table;
+    postings and vectors are derived from it. The written tables cut the lineage."""
     _write_parts(chunk(docs, cfg).withColumn("part", part_of("doc_id", p)), nodes_path, dynamic=False)
     nodes = spark.read.schema(NODES_SCHEMA).parquet(nodes_path)
-    rows = {
+    _write_parts(build_forward(nodes, cfg).withColumn("part", part_of("doc_id", p)), forward_path, dynamic=False)
+    forward = spark.read.schema(FORWARD_SCHEMA).parquet(forward_path)
+    return {
         "nodes": nodes,
-        "postings": build_postings(nodes, cfg).withColumn("part", part_of("doc_id", p)),
-        "vectors": build_vectors(nodes, cfg, embedder).withColumn("part", part_of("doc_id", p)),
+        "forward": forward,
+        "postings": build_postings(forward).withColumn("part", part_of("doc_id", p)),
+        "vectors": build_vectors(nodes, forward, cfg, embedder).withColumn("part", part_of("doc_id", p)),
     }
-    if cfg.bm25_prune:
-        rows["forward"] = build_forward(nodes, cfg).withColumn("part", part_of("doc_id", p))
-    return rows
 
 
-def _write_aggregates(spark: SparkSession, path: str, cfg: RagConfig) -> None:
-    """df and stats, re-aggregated from the written postings and nodes."""
-    from quarry.operators.index import corpus_stats_from_nodes
-
-    postings = spark.read.schema(POSTINGS_SCHEMA).parquet(f"{path}/postings")
-    doc_freq(postings).write.mode("overwrite").parquet(f"{path}/df")
-    nodes = spark.read.schema(NODES_SCHEMA).parquet(f"{path}/nodes")
-    corpus_stats_from_nodes(nodes, cfg).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+def _write_aggregates(spark: SparkSession, path: str) -> None:
+    """df and stats, re-aggregated from the written postings and forward table."""
+    doc_freq(spark.read.schema(POSTINGS_SCHEMA).parquet(f"{path}/postings")) \
+        .write.mode("overwrite").parquet(f"{path}/df")
+    corpus_stats(spark.read.schema(FORWARD_SCHEMA).parquet(f"{path}/forward")) \
+        .coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig,
@@ -173,15 +171,15 @@ def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig
     Returns counts: {"changed": documents (re)indexed, "removed": documents
     dropped, "touched_parts": partitions rewritten}.
     """
-    embedder = embedder or Embedder(dim=cfg.hash_dim, with_stemming=cfg.with_stemming)
+    embedder = embedder or Embedder(dim=cfg.hash_dim)
     p = index_parts_for(spark, path, docs, cfg)
     current = docs.select("doc_id", "text").withColumn("fingerprint", fingerprint("text")) \
         .withColumn("part", part_of("doc_id", p))
     if not committed(spark, path):
-        rows = _index_rows(spark, current, cfg, embedder, f"{path}/nodes", p)
-        for name in [n for n in ("postings", "vectors", "forward") if n in rows]:
+        rows = _index_rows(spark, current, cfg, embedder, f"{path}/nodes", f"{path}/forward", p)
+        for name in ("postings", "vectors"):
             _write_parts(rows[name], f"{path}/{name}", dynamic=False, sort_cols=("term",) if name == "postings" else ())
-        _write_aggregates(spark, path, cfg)
+        _write_aggregates(spark, path)
         # docs last: it is the commit marker (a crash before it means "rebuild")
         _write_parts(current.select("doc_id", "fingerprint", "part"), f"{path}/docs", dynamic=False)
         changed_n, removed_n, touched_n = spark.read.parquet(f"{path}/docs").count(), 0, p
@@ -200,7 +198,8 @@ def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig
         changed_n, removed_n, touched_n = changed.count(), removed.count(), len(touched)
         if touched:
             gone_ids = gone.select("doc_id").distinct()
-            new_rows = _index_rows(spark, changed.select("doc_id", "text"), cfg, embedder, f"{stage}/_new_nodes", p)
+            new_rows = _index_rows(spark, changed.select("doc_id", "text"), cfg, embedder, f"{stage}/_new_nodes",
+                                   f"{stage}/_new_forward", p)
             new_rows["docs"] = changed.select("doc_id", "fingerprint", "part")
             tables = {n: sc for n, sc in TABLES.items() if n in new_rows}
             for name, schema in tables.items():
@@ -220,7 +219,7 @@ def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig
                 for part in sorted(set(touched) - left):  # an overwrite leaves partitions without rows as they were
                     delete_path(spark, f"{path}/{name}/part={part}")
                 if name == order[-2]:
-                    _write_aggregates(spark, path, cfg)
+                    _write_aggregates(spark, path)
         delete_path(spark, stage)
     return {"changed": changed_n, "removed": removed_n, "touched_parts": touched_n}
 

@@ -23,15 +23,16 @@ def test_b2_has_no_exchange(spark):
     assert "Exchange" not in p and "Generate" in p
 
 
-def test_bm25_broadcasts_query_terms_and_limits_per_query(spark, scratch):
+def test_bm25_scores_nodes_in_place(spark, scratch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     idx = ensure_index(spark, docs, "p", RagConfig(index_partitions=2), path=f"{scratch}/{uuid.uuid4().hex[:6]}")
     q = spark.read.parquet(f"{SF}/benchmark.parquet").withColumnRenamed("item_id", "query_id")
     p = plan(bm25_top_k(q, idx, 12))
-    assert "BroadcastHashJoin" in p
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
     assert "WindowGroupLimit" in p
-    assert "SortMergeJoin" not in p  # postings are never shuffled for the term join
-    assert "ReadSchema: struct<term:string,node_id:string,tf:int,dl:int>" in p
+    assert "hashpartitioning(query_id" in p and "node_id" not in "".join(
+        line for line in p.splitlines() if "hashpartitioning" in line)  # no exchange of (query, node) pairs
+    assert "ReadSchema: struct<node_id:string,terms:array<string>,tfs:array<int>,dl:int>" in p
 
 
 def test_dense_has_no_cross_join(spark):

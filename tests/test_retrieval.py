@@ -89,19 +89,29 @@ def test_dense_many_packs_shuffled_or_broadcast(spark, monkeypatch):
     assert [tuple(r) for r in small] == [tuple(r) for r in big] == [tuple(r) for r in moved]
 
 
-def test_pruned_bm25_equals_exhaustive(spark, scratch):
-    from quarry.config import RagConfig
-    from quarry.operators.sparse import bm25_top_k
+def test_bm25_in_place_equals_grouped_postings(spark, scratch, monkeypatch):
+    """Several packs on both sides, few running lists, and a query of the commonest words."""
+    from quarry.config import BM25_B, BM25_K1, RagConfig
+    from quarry.functions.rank import round_score, top_k
+    from quarry.operators import dense, sparse
     from quarry.sources.index_store import ensure_index
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    q = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").withColumnRenamed("item_id", "query_id")
-    idx = ensure_index(spark, docs, "t", RagConfig(index_partitions=2, bm25_prune=True), path=f"{scratch}/bm")
-    assert idx.forward is not None
-    for k, frac in ((12, 0.01), (5, 0.0001), (3, 0.5)):
-        a = sorted(tuple(r) for r in bm25_top_k(q, idx, k, common_fraction=frac, prune=True).collect())
-        b = sorted(tuple(r) for r in bm25_top_k(q, idx, k, prune=False).collect())
-        assert a == b
+    q = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    q = q.union(spark.createDataFrame([(900, "the of and to"), (901, "nosuchword"), (902, "")], q.schema))
+    idx = ensure_index(spark, docs, "t", RagConfig(index_partitions=2), path=f"{scratch}/bm")
+    qidf = sparse.query_term_idf(q, idx)
+    s = idx.stats.first()
+    weight = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / s.avgdl))
+    pairs = idx.postings.join(qidf, "term").groupBy("query_id", "node_id").agg(
+        round_score(F.sum(F.col("idf") * weight)).alias("score"))
+    want = sorted(map(tuple, top_k(pairs, ["query_id"], 7).collect()))
+    assert sorted(map(tuple, sparse.bm25_top_k(q, idx, 7).collect())) == want
+    monkeypatch.setattr(sparse, "PACK", 100)
+    monkeypatch.setattr(sparse, "QUERY_PACK", 9)
+    monkeypatch.setattr(dense, "HELD", 2)
+    assert sorted(map(tuple, sparse.bm25_top_k(q, idx, 7).collect())) == want
+    assert {r[0] for r in want} >= {900} and not {901, 902} & {r[0] for r in want}
 
 
 def test_lsh_scores_exact_and_recall(spark):
