@@ -28,12 +28,15 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
 from quarry.llm.common import prepare, write_table
 
-SAMPLE, SEED = 20_000, "quality-1"
+SAMPLE, SEED = 10_000, "quality-1"
 #: A feature needs so many documents, so much gain (twice the log-likelihood ratio); at most so many features.
 LEAST_DOCS, LEAST_GAIN, MOST_FEATURES = 3, 20.0, 20_000
 PREFIXES, STEM = (4, 5, 6, 8), 5
@@ -71,51 +74,53 @@ def features(text: bytes) -> set[bytes]:
             *(b"shape " + x for x in shape)}
 
 
-def fit(texts: list[bytes], bad: np.ndarray) -> dict[bytes, float]:
-    """Weights of the features that tell the classes apart beyond chance ("" is the
-    intercept), by AdaGrad on the penalised likelihood."""
+def digests(text: bytes) -> np.ndarray:
+    """64-bit digests of the features, sorted."""
+    return np.array(sorted(map(xxh64_intdigest, features(text))), dtype=np.uint64)
+
+
+def fit(rows: list[np.ndarray], bad: np.ndarray) -> dict[int, float]:
+    """Weights of the feature digests that tell the classes apart beyond chance (0 is
+    the intercept), by AdaGrad on the penalised likelihood."""
     if not 0 < bad.sum() < len(bad):
         return {}
-    rows = [features(t) for t in texts]
-    count, hits = Counter(), Counter()
-    for row, y in zip(rows, bad):
-        count.update(row)
-        if y:
-            hits.update(row)
-    rate = bad.mean()
-    gain = {}
-    for f, n in count.items():
-        if n >= LEAST_DOCS:
-            k = hits[f]
-            g = 2 * sum(x * math.log(x / e) for x, e in ((k, n * rate), (n - k, n * (1 - rate))) if x)
-            if g >= LEAST_GAIN:
-                gain[f] = g
-    chosen = sorted(sorted(gain), key=gain.get, reverse=True)[:MOST_FEATURES]
-    place = {f: i for i, f in enumerate(chosen)}
-    at = [np.array(sorted(place[f] for f in row if f in place) + [len(chosen)]) for row in rows]
-    size = np.array([len(x) for x in at])
-    flat, owner = np.concatenate(at), np.repeat(np.arange(len(at)), size)
+    size = np.array([len(r) for r in rows])
+    owner = np.repeat(np.arange(len(rows)), size)
+    found, flat = np.unique(np.concatenate(rows), return_inverse=True)
+    n = np.bincount(flat)
+    k = np.bincount(flat, weights=bad[owner])
+    rate, gain = bad.mean(), np.zeros(len(n))
+    for x, e in ((k, n * rate), (n - k, n * (1 - rate))):
+        gain += 2 * x * np.log(np.maximum(x, 1e-300) / e) * (x > 0)
+    chosen = np.flatnonzero((n >= LEAST_DOCS) & (gain >= LEAST_GAIN))
+    chosen = np.sort(chosen[np.lexsort((chosen, -gain[chosen]))][:MOST_FEATURES])
+    place = np.full(len(n), -1)
+    place[chosen] = np.arange(len(chosen))
+    flat = place[flat]
+    flat, owner = flat[flat >= 0], owner[flat >= 0]
+    flat = np.concatenate((flat, np.full(len(rows), len(chosen))))
+    owner = np.concatenate((owner, np.arange(len(rows))))
     weights, seen = np.zeros(len(chosen) + 1), np.full(len(chosen) + 1, 1e-8)
     penalty = np.full(len(weights), 1.0 / PRIOR_VARIANCE)
     penalty[-1] = 0.0
     for _ in range(STEPS):
-        z = np.bincount(owner, weights=weights[flat], minlength=len(at))
+        z = np.bincount(owner, weights=weights[flat], minlength=len(rows))
         error = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - bad
         grad = np.bincount(flat, weights=error[owner], minlength=len(weights)) + penalty * weights
         seen += grad * grad
         weights -= RATE * grad / np.sqrt(seen)
-    return {f: float(w) for f, w in zip([*chosen, b""], weights)}
+    return dict(zip([*found[chosen].tolist(), 0], weights.tolist()))
 
 
-def score(text: bytes, weights: dict[bytes, float]) -> float:
-    get = weights.get
-    total = get(b"", 0.0) + math.fsum(get(f, 0.0) for f in sorted(features(text) & weights.keys()))
+def score(text: bytes, weights: dict[int, float]) -> float:
+    hits = sorted(weights.keys() & set(map(xxh64_intdigest, features(text))))
+    total = weights.get(0, 0.0) + math.fsum(weights[h] for h in hits)
     return min(max(total, -15.0), 15.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[bytes, float]:
-    """Weights from the labelled sample. The sample is bounded, so one task holds it and
-    its ids may be broadcast."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int, float]:
+    """Weights from the labelled sample. The sample is bounded, so one task holds its
+    digests and its ids may be broadcast."""
     key = F.md5(F.concat(F.lit(f"{SEED}|"), F.col("label_id").cast("string")))
     picked = labels.filter("doc_id is not null and quality is not null and toxic is not null") \
         .groupBy(F.col("doc_id").alias("label_id")).agg(F.max(F.when(
@@ -123,18 +128,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[byte
     picked = picked.orderBy(key, "label_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(
         F.col("text").cast("string"), F.lit("")).alias("text")) \
-        .join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).dropDuplicates(["doc_id"])
+        .join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")) \
+        .select("doc_id", "bad", _digests("text").alias("digests")).dropDuplicates(["doc_id"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        weights = fit([t.encode() for t in pdf["text"]], pdf["bad"].to_numpy(dtype=float))
-        return pd.DataFrame({"weights": [pickle.dumps(weights)]})
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        found = [np.frombuffer(b, dtype=np.uint64) for chunk in table["digests"].chunks for b in chunk.to_pylist()]
+        weights = fit(found, table["bad"].to_numpy().astype(float))
+        return pa.table({"weights": pa.array([pickle.dumps(weights)], pa.binary())})
 
-    done = rows.withColumn("fit", F.lit(0)).groupBy("fit").applyInPandas(run, "weights binary").first()
+    done = rows.withColumn("fit", F.lit(0)).groupBy("fit").applyInArrow(run, "weights binary").first()
     return pickle.loads(done.weights) if done else {}
 
 
-def _evidence(weights: dict[bytes, float]):
+@F.pandas_udf(T.BinaryType())
+def _digests(text: pd.Series) -> pd.Series:
+    return pd.Series([digests(t.encode()).tobytes() for t in text])
+
+
+def _evidence(weights: dict[int, float]):
     @F.pandas_udf("double")
     def evidence(text: pd.Series) -> pd.Series:
         return pd.Series([score((t or "").encode(), weights) for t in text], dtype=float)
