@@ -30,14 +30,15 @@ from pyspark.sql import functions as F
 from quarry.llm.common import prepare, write_table
 
 K, QUERY_STEP = 20, 20
-PROJECTIONS, SEED = 80, 7
+PROJECTIONS, SEED = 64, 7
 #: Share of the lines on which a candidate collides, and share of a block that ends the widening. Vectors
 #: without any structure (the hardest case: all distances much alike) need shares like these for recall 0.9.
-THRESHOLD, ENOUGH = 0.8, 0.25
-#: Cells of a line, their width in units of the longest vector, and the half-widths of a window in cells.
-CELLS, CELL = 160, 0.07
-RADII = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 20, 22, 25, 30, 40, 60, 90, 160)
-BLOCK, QUERY_BLOCK = 8192, 1024
+THRESHOLD, ENOUGH = 0.8, 0.3
+#: Cells of a line and their width in units of the longest vector.
+CELLS, CELL = 320, 0.035
+#: A window is opened so wide that it holds this share of a block on average, then by so many cells at each end.
+OPEN, STEP = 0.6, 2
+BLOCK, QUERY_BLOCK = 16384, 512
 
 
 def usable(table: DataFrame, vec_col: str = "embedding") -> DataFrame:
@@ -98,21 +99,36 @@ def build_index(rows: DataFrame, top: float, blocks: int) -> DataFrame:
 def candidates(own: np.ndarray, starts: np.ndarray, orders: np.ndarray, k: int) -> np.ndarray:
     """Rows of the block that reach the collision threshold for a query whose cells are ``own``."""
     m, n = orders.shape
-    need, enough = int(THRESHOLD * m), min(n, 4 * k + int(ENOUGH * n))
-    line, flat = np.arange(m), orders.ravel()
-    counts = np.zeros(n, dtype=np.int64)
-    lo = hi = starts[line, own] + line * n
-    for radius in RADII:
-        a = starts[line, np.maximum(own - radius, 0)] + line * n
-        b = starts[line, np.minimum(own + radius + 1, CELLS)] + line * n
-        first, size = np.concatenate((a, hi)), np.concatenate((lo - a, b - hi))
-        new = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        counts += np.bincount(flat[new], minlength=n)
-        lo, hi = a, b
+    need, enough, line = int(THRESHOLD * m), min(n, 4 * k + int(ENOUGH * n)), np.arange(m)
+
+    def window(radius: int) -> tuple[np.ndarray, np.ndarray]:
+        return starts[line, np.maximum(own - radius, 0)], starts[line, np.minimum(own + radius + 1, CELLS)]
+
+    little, radius = 0, CELLS
+    while radius - little > 1:  # the first window that holds the share OPEN of the block
+        half = (little + radius) // 2
+        low, high = window(half)
+        little, radius = (little, half) if (high - low).sum() >= OPEN * m * n else (half, radius)
+    low, high = window(radius)
+    counts = np.bincount(np.concatenate([o[i:j] for o, i, j in zip(orders, low.tolist(), high.tolist())]), minlength=n)
+    while True:
         found = np.flatnonzero(counts >= need)
         if len(found) >= enough:
-            break
-    return found
+            return found
+        radius += STEP
+        a, b = window(radius)
+        ends = [o[i:j] for o, i, j in zip(orders, a.tolist(), low.tolist())]
+        ends += [o[i:j] for o, i, j in zip(orders, high.tolist(), b.tolist())]
+        counts += np.bincount(np.concatenate(ends), minlength=n)
+        low, high = a, b
+
+
+def _promising(rough: np.ndarray, k: int, top: float, q: np.ndarray) -> np.ndarray:
+    """Candidates whose single-precision product may be among the k largest exact ones."""
+    if len(rough) <= k:
+        return np.arange(len(rough))
+    slack = 1e-4 * top * float(np.sqrt((q * q).sum()))
+    return np.flatnonzero(rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack)
 
 
 def _search(top: float, k: int):
@@ -125,6 +141,7 @@ def _search(top: float, k: int):
                 x = np.frombuffer(row["vectors"]).reshape(row["n"], -1)
                 starts = np.frombuffer(row["starts"], dtype=np.int32).reshape(PROJECTIONS, -1)
                 orders = np.frombuffer(row["orders"], dtype=np.int32).reshape(PROJECTIONS, -1)
+                orders, small = orders.astype(np.intp), x.astype(np.float32)
                 qids = np.frombuffer(row["q_ids"], dtype=np.int64)
                 qs = np.frombuffer(row["q_vectors"]).reshape(len(qids), -1)
                 own = cells((lines(x.shape[1])[:, :-1] @ qs.T.astype(np.float32)).T, top)
@@ -132,6 +149,7 @@ def _search(top: float, k: int):
                 for i, q in enumerate(qs):
                     c = candidates(own[i], starts, orders, k)
                     c = c[ids[c] != qids[i]]
+                    c = c[_promising(small[c] @ q.astype(np.float32), k, top, q)]
                     score = (x[c] * q).sum(axis=1)
                     best = np.lexsort((ids[c], -score))[:k]
                     out[0].append(np.full(len(best), qids[i]))
