@@ -32,7 +32,7 @@ from quarry.llm import windows as X
 from quarry.llm.common import piece_rows, prepare, sum_pieces, text_buffer, write_table
 
 VOCABULARY, WIDTH = 8192, 32
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 BATCH, NOISE, RATE, SEED = 1024, 64, 0.1, 11
 #: Tokens that a training task sees, at least about: its weights are worth moving then.
 TASK_TOKENS = 6_000_000
@@ -232,9 +232,9 @@ def _score(shared, total: int, kinds: int):
                 c[inner] = 0
             base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
             logp = np.empty(len(token))
-            for i in range(0, len(token), 1 << 18):
-                b, t = before[i:i + (1 << 18)], token[i:i + (1 << 18)]
-                logp[i:i + (1 << 18)] = np.einsum("ij,ij->i", context[b], target[t]) + bias[t] - norm[b]
+            for i in range(0, len(token), 1 << 16):
+                b, t = before[i:i + (1 << 16)], token[i:i + (1 << 16)]
+                logp[i:i + (1 << 16)] = np.einsum("ij,ij->i", context[b], target[t]) + bias[t] - norm[b]
             logp /= math.log(10)
             other = token == OTHER
             logp[other] += np.log10((c[other] + 0.5) / (rest + 0.5 * (rest_kinds + 1)))
