@@ -200,7 +200,7 @@ def _train(vocabulary: np.ndarray, place: np.ndarray, unigram: np.ndarray, piece
 
 
 def train_model(blocks: DataFrame, vocabulary, place, unigram, tasks: int, pieces: int = 16) -> Model:
-    rows = blocks.select("payload").repartition(tasks).mapInArrow(
+    rows = blocks.select("payload").coalesce(tasks).mapInArrow(
         _train(vocabulary, place, unigram, pieces), "piece int, weight double, data binary")
     parts = [np.frombuffer(r.data).reshape(-1, 2 * WIDTH + 1) / r.weight
              for r in sum_pieces(rows).orderBy("piece").collect()]  # the model: its size is fixed
