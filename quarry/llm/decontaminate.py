@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from quarry.llm import windows as X
 from quarry.llm.common import chunks, piece_rows, prepare, sum_pieces, text_buffer
 
-FEATURES, RANK, PASSAGE, SEED, PIECES = 8192, 48, 40, 5, 16
-LEAST_COSINE, LEAST_LCS, PARAPHRASE_LCS, LEAST_ANSWER = 0.55, 0.7, 0.55, 0.8
+FEATURES, RANK, PASSAGE, SEED, PIECES = 8192, 64, 40, 5, 16
+LEAST_COSINE, LEAST_LCS, PARAPHRASE_LCS, LEAST_ANSWER = 0.7, 0.7, 0.55, 0.8
 LEAST_WORDS, ANSWER_WORDS, GROWTH = 5, 6, 1.4
-ITEM_BLOCK, CHUNK = 10_000, 1 << 20
+STEPS, ITEM_BLOCK, CHUNK = 4, 10_000, 1 << 18
 
 _TABLE = np.array([(b | 32 if 65 <= b <= 90 else b) if (b > 127 or chr(b).isalnum()) else 32 for b in range(256)],
                   dtype=np.uint8)
@@ -66,7 +66,8 @@ def _frequencies(batches):
             first = _passages(words)
             if len(first):
                 owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(feature))))
-                df += np.bincount(np.unique(owner * FEATURES + feature) % FEATURES, minlength=FEATURES)
+                once = np.unique(owner.astype(np.uint32) * np.uint32(FEATURES) + feature)
+                df += np.bincount(once % FEATURES, minlength=FEATURES)
                 passages += len(first)
     yield piece_rows(df, 1, passages)
 
@@ -121,7 +122,17 @@ def latent_words(docs: DataFrame) -> np.ndarray:
     total = np.concatenate([np.frombuffer(r.data).reshape(-1, RANK) for r in rows])
     vectors, sigma = singular_vectors(total)
     keep = sigma > 1e-6 * max(sigma.max(), 1e-300)
-    return (idf[:, None] * vectors / np.where(keep, sigma, np.inf)).astype(np.float32)
+    return (idf[:, None] * (vectors * np.where(keep, 1.0 / np.where(keep, sigma, 1.0), 0.0))).astype(np.float32)
+
+
+#: A word's feature as one of 256 bits.
+_BITS = np.zeros((FEATURES, 4), dtype=np.uint64)
+_BITS[np.arange(FEATURES), np.arange(FEATURES) % 256 // 64] = np.uint64(1) << (np.arange(FEATURES) % 64).astype(np.uint64)
+
+
+def margin_of(n):
+    """Words that are looked at on either side of a window for an item of n words."""
+    return np.maximum(2, n // 3)
 
 
 def width_of(n: int) -> int:
@@ -134,7 +145,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], latent: np.ndarray):
         self.latent = latent
-        self.items, by_width = [], {}
+        self.items, bits, by_width = [], [], {}
         for id_, text in rows:
             buf = np.frombuffer((text or "").encode(), dtype=np.uint8)
             feature, _, _, _ = word_features(buf, np.array([0, len(buf)]))
@@ -145,24 +156,51 @@ class Items:
             if norm > 0:
                 by_width.setdefault(width_of(len(feature)), []).append((len(self.items), vector / norm))
                 self.items.append((id_, _TABLE[buf].tobytes().split()))
+                bits.append(np.bitwise_or.reduce(_BITS[feature], axis=0))
+        self.bits = np.array(bits, dtype=np.uint64).reshape(-1, 4)
+        self.lengths = np.array([len(w) for _, w in self.items], dtype=np.int64)
         self.widths = {w: (np.array([i for i, _ in v]), np.array([x for _, x in v], dtype=np.float32).T)
                        for w, v in sorted(by_width.items())}
 
-    def candidates(self, feature: np.ndarray):
-        """(window start, width, item, cosine) for one text."""
-        n = len(feature)
-        sums = np.zeros((n + 1, RANK), dtype=np.float32)
+    def _may_hold(self, bits: np.ndarray, words: np.ndarray, text, start, width, item) -> np.ndarray:
+        """Whether so few of an item's bits are missing around a window that enough of its
+        words may be there: a missing bit is at least one missing word."""
+        margin = margin_of(self.lengths[item])
+        ends = np.empty(2 * len(text), dtype=np.int64)
+        ends[::2] = words[text] + np.maximum(0, start - margin)
+        ends[1::2] = np.minimum(words[text] + start + width + margin, words[text + 1])
+        there = np.bitwise_or.reduceat(bits, ends, axis=0)[::2]
+        missing = np.bitwise_count(self.bits[item] & ~there).sum(axis=1)
+        return self.lengths[item] - missing >= PARAPHRASE_LCS * self.lengths[item]
+
+    def candidates(self, feature: np.ndarray, words: np.ndarray):
+        """(text, window start, width, item, cosine) of all texts of a chunk, whose words
+        are features ``feature[words[i]:words[i + 1]]``, by text."""
+        n = np.diff(words)
+        bits = np.concatenate((_BITS[feature], np.zeros((1, 4), np.uint64)))
+        sums = np.zeros((len(feature) + 1, RANK), dtype=np.float32)
         np.cumsum(self.latent[feature], axis=0, out=sums[1:])
+        out = []
         for width, (which, vectors) in self.widths.items():
-            if n < LEAST_LCS * width / GROWTH:
-                continue
-            last = max(0, n - width)
-            at = np.unique(np.append(np.arange(0, last, max(1, width // 4)), last))
-            window = sums[np.minimum(at + width, n)] - sums[at]
-            norm = np.sqrt((window * window).sum(axis=1))
-            cosine = (window / np.maximum(norm, 1e-12)[:, None]) @ vectors
-            for k, m in zip(*np.nonzero(cosine >= LEAST_COSINE)):
-                yield int(at[k]), width, int(which[m]), float(cosine[k, m])
+            long = np.flatnonzero(n >= LEAST_LCS * width / GROWTH)
+            last, step = np.maximum(0, n[long] - width), max(1, width // STEPS)
+            count = -(-last // step) + 1  # every step, and the last window
+            start = np.minimum(X._aranges(np.zeros(len(long), np.int64), count) * step, np.repeat(last, count))
+            text = np.repeat(long, count)
+            at = words[text] + start
+            window = sums[np.minimum(at + width, words[text + 1])] - sums[at]
+            norm = np.sqrt(np.einsum("ij,ij->i", window, window))
+            cosine = window @ vectors
+            hit, item = np.nonzero(cosine >= (LEAST_COSINE * np.maximum(norm, 1e-12))[:, None])
+            if len(hit):
+                found = (text[hit], start[hit], np.full(len(hit), width), which[item], cosine[hit, item] / norm[hit])
+                may = self._may_hold(bits, words, *found[:4])
+                out.append(tuple(c[may] for c in found))
+        if not out:
+            return []
+        columns = [np.concatenate(c) for c in zip(*out)]
+        order = np.argsort(columns[0], kind="stable")
+        return list(zip(*(c[order].tolist() for c in columns)))
 
 
 def lcs(a: list, b: list) -> int:
@@ -188,32 +226,40 @@ def _answer(item: list[bytes], region: list[bytes]) -> bool:
                for i in range(max(1, len(region) - width + 1)))
 
 
-def _leaks_of(text: bytes, feature: np.ndarray, items: Items) -> dict[int, tuple]:
-    """item index -> (start, cosine, lcs share, answer) of its best verified window."""
-    found: dict[int, tuple] = {}
-    words = None
-    for start, width, m, cosine in items.candidates(feature):
-        if words is None:
-            words = text.split()
+def _leaks_of(plain: np.ndarray, offsets: np.ndarray, feature: np.ndarray, words: np.ndarray,
+              items: Items) -> dict[int, dict[int, tuple]]:
+    """text -> item index -> (start, cosine, lcs share, answer) of its best verified window."""
+    found: dict[int, dict[int, tuple]] = {}
+    region: list[bytes] = []
+    text, split, where, near = -1, [], None, set()
+    for k, start, width, m, cosine in items.candidates(feature, words):
+        if k != text:
+            text, split = k, plain[offsets[k]:offsets[k + 1]].tobytes().split()
         item = items.items[m][1]
-        margin = max(2, len(item) // 3)
-        region = words[max(0, start - margin):start + width + margin]
+        margin = int(margin_of(len(item)))
+        if where != (k, start, width, margin):
+            where, region = (k, start, width, margin), split[max(0, start - margin):start + width + margin]
+            near = set(region)
+        if sum(map(near.__contains__, item)) < PARAPHRASE_LCS * len(item):
+            continue  # a common subsequence has no more words than are in the region at all
         share = lcs(item, region) / len(item)
-        if share < PARAPHRASE_LCS or (m in found and found[m][2] >= share):
+        best = found.get(k, {}).get(m)
+        if share < PARAPHRASE_LCS or (best and best[2] >= share):
             continue
         answer = _answer(item, region)
         if share >= LEAST_LCS or answer:
-            found[m] = (start, cosine, share, answer)
+            found.setdefault(k, {})[m] = (start, cosine, share, answer)
     return found
 
 
-def _texts(buf: np.ndarray, off: np.ndarray):
+def _all_leaks(buf: np.ndarray, off: np.ndarray, items: Items):
+    """(row, item index, leak) of a batch of texts, a chunk at a time."""
     for i, j in chunks(off, CHUNK):
         part, offsets = buf[off[i]:off[j]], off[i:j + 1] - off[i]
         feature, words, _, _ = word_features(part, offsets)
-        plain = _TABLE[part]
-        for k in range(j - i):
-            yield i + k, plain[offsets[k]:offsets[k + 1]], feature[words[k]:words[k + 1]]
+        for k, leaks in _leaks_of(_TABLE[part], offsets, feature, words, items).items():
+            for m, leak in leaks.items():
+                yield i + k, m, leak
 
 
 def _scan(shared):
@@ -225,8 +271,7 @@ def _scan(shared):
         for batch in batches:
             ids = batch.column("doc_id")
             buf, off = text_buffer(batch.column("text"))
-            out = [(ids[k].as_py(), items.items[m][0], *v) for k, text, feature in _texts(buf, off)
-                   for m, v in _leaks_of(text.tobytes(), feature, items).items()]
+            out = [(ids[k].as_py(), items.items[m][0], *leak) for k, m, leak in _all_leaks(buf, off, items)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)],
                                                  schema=schema)
@@ -264,7 +309,8 @@ def _clean(shared):
     def clean(text: pd.Series) -> pd.Series:
         items = Items(*shared.value)
         buf, off = text_buffer(pa.array(text.fillna(""), pa.string()))
-        return pd.Series([not _leaks_of(t.tobytes(), f, items) for _, t, f in _texts(buf, off)], dtype=bool)
+        dirty = {k for k, _, _ in _all_leaks(buf, off, items)}
+        return pd.Series([k not in dirty for k in range(len(text))], dtype=bool)
 
     return clean
 
