@@ -159,7 +159,8 @@ def _meet(k: int, key: str, id_col: str, exclude_self: bool):
                     for j, x in enumerate(q_ids):
                         if x in place:
                             score[place[x], j] = -np.inf
-                yield from running.add(q_raw, q_ids, np.asarray(list(c_ids)), score)
+                # by ids: packs of copies have equal matrices
+                yield from running.add(tuple(q_ids), q_ids, np.asarray(list(c_ids)), score)
         yield from running.rest()
 
     return run

@@ -89,6 +89,25 @@ def test_dense_many_packs_shuffled_or_broadcast(spark, monkeypatch):
     assert [tuple(r) for r in small] == [tuple(r) for r in big] == [tuple(r) for r in moved]
 
 
+def test_dense_equal_vectors_with_different_ids(spark):
+    """Query packs of equal bytes keep lists of their own: single rows, and copies over several packs."""
+    rng = np.random.default_rng(4)
+    vecs = rng.normal(size=(30, 4))
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, vector array<double>")
+    corpus = dict(enumerate(vecs))
+    one = spark.createDataFrame([(7, vecs[0].tolist())], "query_id long, vector array<double>").coalesce(1)
+    two = spark.createDataFrame([(8, vecs[0].tolist())], "query_id long, vector array<double>").coalesce(1)
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in dense_top_k(one.union(two), c, 3, id_col="vec_id").collect())
+    best = brute({7: vecs[0]}, corpus, 3)[7]
+    assert got == [(q, i + 1, x) for q in (7, 8) for i, x in enumerate(best)]
+    copies = spark.range(5000).coalesce(1).select(
+        F.col("id").alias("query_id"), F.array(*[F.lit(float(x)) for x in vecs[1]]).alias("vector"))
+    rows = dense_top_k(copies, c, 3, id_col="vec_id").collect()
+    best = brute({0: vecs[1]}, corpus, 3)[0]
+    assert {(r.query_id, r["rank"], r.vec_id) for r in rows} == \
+        {(q, i + 1, x) for q in range(5000) for i, x in enumerate(best)} and len(rows) == 15_000
+
+
 def test_bm25_in_place_equals_grouped_postings(spark, scratch, monkeypatch):
     """Several packs on both sides, few running lists, and a query of the commonest words."""
     from quarry.config import BM25_B, BM25_K1, RagConfig
