@@ -118,6 +118,33 @@ def test_leaks_by_brute_force_and_paraphrase(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in all_docs.collect()} - dirty
 
 
+def test_paraphrases_pass_the_gate(spark):
+    """Items of which 0.55 or 0.6 of the words are left with the answer, or 0.7 without it, at any window offset."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    rng = np.random.default_rng(3)
+    pool = " ".join(r.text or "" for r in docs.orderBy("doc_id").limit(40).collect()).split()
+    items = [(r.item_id, r.text.split()) for r in bench.orderBy("item_id").collect() if len((r.text or "").split()) >= 20]
+    rows, want = [], set()
+    for k, (item, words) in enumerate(items[:20]):
+        for share, answer in ((0.55, True), (0.6, True), (0.7, False)):
+            n = len(words)
+            lost = n - math.ceil(share * n - 1e-9)
+            body, tail = rng.permutation(n - D.ANSWER_WORDS), n - D.ANSWER_WORDS + rng.permutation(D.ANSWER_WORDS)
+            gone = set(body[:lost]) if answer else {*tail[:3], *body[:lost - 3]}
+            text = [f"zz{k}x{i}" if i in gone else w for i, w in enumerate(words)]
+            id_ = 20_000 + len(rows)
+            around = rng.choice(pool, 80).tolist()
+            cut = int(rng.integers(0, 60))
+            rows.append((id_, " ".join(around[:cut] + text + around[cut:])))
+            want.add((id_, item))
+    assert len(want) == 60
+    more = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in D.leaks(more, bench).collect()}
+    assert not want - got
+    assert not {d for d, _ in want} & {r.doc_id for r in D.drop_leaks(more, bench).collect()}
+
+
 def test_leaks_awkward(spark):
     docs = frames.awkward(spark)
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (4, frames.words(1, 60)), (4, frames.words(1, 60)),
