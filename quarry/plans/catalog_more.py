@@ -43,11 +43,15 @@ def _run_dir(spark, what):
     return shared_path(spark, "quarry-runs", what, uuid.uuid4().hex[:10])
 
 
-def _qa_back(spark, sf, single_object):
+#: Bytes of a JSON object of a dataset of any size, about.
+QA_OBJECT_BYTES = 16 << 20
+
+
+def _qa_back(spark, sf, object_bytes=None):
     """The three tables of a dataset that was written and read, as (part, id, value, ord) rows."""
     nodes = EV._b3(spark, sf)
     corpus, queries, qrels = qa_tables(synthetic_questions(nodes), nodes)
-    path = write_qa_dataset(corpus, queries, qrels, _run_dir(spark, "qa"), single_object)
+    path = write_qa_dataset(corpus, queries, qrels, _run_dir(spark, "qa"), object_bytes=object_bytes)
     corpus, queries, qrels = read_qa_dataset(spark, path)
 
     def rows(part, df, id_col, value, order):
@@ -67,12 +71,12 @@ UNION ALL SELECT 'qrels', query_id, node_id, 0 FROM qs""")
 
 @register("a3_qa_roundtrip", _QA_SQL)
 def a3_qa_roundtrip(spark, sf):
-    return _qa_back(spark, sf, False)
+    return _qa_back(spark, sf)
 
 
 @register("a2_qa_object", _QA_SQL)
 def a2_qa_object(spark, sf):
-    return _qa_back(spark, sf, True)
+    return _qa_back(spark, sf, QA_OBJECT_BYTES)
 
 
 @register("a7_stream_nodes", with_sql(S.nodes_ctes(3), select='SELECT node_id, doc_id, pos, text, "window" FROM nodes'))
