@@ -45,13 +45,18 @@ def write_table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_digest(text):
+    """Half of the text's SHA-256: 128 bits, as any number of texts may share an id (or have none)."""
+    return F.substring(F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)), 1, 16)
+
+
 def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, text): th tells rows apart that share a doc_id, so that (id, th)
     names one text. Null texts become empty; a null id becomes the smallest long
     inside the operators and null again in results (see ``real_id``)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), text.alias("text")) \
-        .select("id", F.hash("text").alias("th"), "text")
+        .select("id", text_digest(F.col("text")).alias("th"), "text")
 
 
 NULL_ID = -(2 ** 63)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NULL_ID, partitions, prepare, real_id, text_buffer, with_key, write_table
+from quarry.llm.common import NULL_ID, partitions, prepare, real_id, text_buffer, text_digest, with_key, write_table
 from quarry.llm.graph import components
 from quarry.llm.windows import mix
 
@@ -60,7 +60,7 @@ def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
 
 
 def _fingerprints(size: int):
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int32()), ("fp", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("th", pa.binary()), ("fp", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -152,7 +152,7 @@ def near_links(fps: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(id, th, fp) of all documents and (fp, root) of all fingerprints."""
     prepare(docs.sparkSession)
-    rows = write_table(with_key(docs).mapInArrow(_fingerprints(size), "id long, th int, fp long"), "fingerprints")
+    rows = write_table(with_key(docs).mapInArrow(_fingerprints(size), "id long, th binary, fp long"), "fingerprints")
     fps = rows.select("fp").distinct()
     parts = components(near_links(fps))
     named = fps.join(parts, fps.fp == parts.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
@@ -176,5 +176,5 @@ def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     names = firsts.select(F.col("first.id").alias("id"), F.col("first.th").alias("th"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    keyed = docs.select(key.alias("id"), F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"), row)
+    keyed = docs.select(key.alias("id"), text_digest(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"), row)
     return keyed.join(names, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]).select("row.*")

@@ -30,8 +30,8 @@ from quarry.llm.common import chunks, prepare, real_id, stage_by_key, text_buffe
 
 WINDOW, FIRST = 35, 9
 CHUNK = 1 << 20
-ROWS = "id long, th int, lo int, hi int, core long, span long"
-_ROWS = pa.schema([("id", pa.int64()), ("th", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()),
+ROWS = "id long, th binary, lo int, hi int, core long, span long"
+_ROWS = pa.schema([("id", pa.int64()), ("th", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()),
                    ("core", pa.int64()), ("span", pa.int64())])
 
 
@@ -60,7 +60,7 @@ def scan(words: bool, window: int, core: int):
     def run(batches):
         for batch in batches:
             buf, off = text_buffer(batch.column("text"))
-            ids, ths = batch.column("id").to_numpy(zero_copy_only=False), batch.column("th").to_numpy(zero_copy_only=False)
+            ids, ths = batch.column("id").to_numpy(zero_copy_only=False), batch.column("th")
             for i, j in chunks(off, CHUNK if words else CHUNK // 2):
                 part, offsets = buf[off[i]:off[j]], off[i:j + 1] - off[i]
                 if words:
@@ -71,7 +71,7 @@ def scan(words: bool, window: int, core: int):
                 t, lo, hi, c, s = X.ranges(symbols, offsets, window, core, limits(batch, i, j))
                 if len(t):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[i:j][t]), pa.array(ths[i:j][t]), pa.array(lo.astype(np.int32)),
+                        [pa.array(ids[i:j][t]), ths.take(pa.array(i + t)), pa.array(lo.astype(np.int32)),
                          pa.array(hi.astype(np.int32)), pa.array(c.view(np.int64)), pa.array(s.view(np.int64))],
                         schema=_ROWS)
 

@@ -38,12 +38,12 @@ CORES = (100, 175)
 BUCKET_ROWS = 1_000_000
 SMALL = 512
 
-_SORTED = pa.schema([("id", pa.int64()), ("th", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()),
+_SORTED = pa.schema([("id", pa.int64()), ("th", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()),
                      ("core", pa.int64()), ("span", pa.int64()), ("bucket", pa.int32()),
                      ("repeats", pa.bool_()), ("lead", pa.bool_()), ("open", pa.bool_()),
                      ("run1", pa.bool_()), ("run9", pa.bool_()), ("core1", pa.bool_()), ("core9", pa.bool_()),
                      ("first", pa.bool_()), ("last", pa.bool_())])
-_SORTED_DDL = ("id long, th int, lo int, hi int, core long, span long, bucket int, repeats boolean, lead boolean, "
+_SORTED_DDL = ("id long, th binary, lo int, hi int, core long, span long, bucket int, repeats boolean, lead boolean, "
                "open boolean, run1 boolean, run9 boolean, core1 boolean, core9 boolean, first boolean, last boolean")
 
 

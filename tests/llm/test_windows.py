@@ -4,8 +4,10 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarry.llm import windows as X
+from quarry.llm.simhash import keep_one
 from quarry.llm.substring_dedup import doubling, substring_dedup
 from quarry.llm.suffix_dedup import multikey_quicksort, suffix_dedup
 
@@ -86,6 +88,24 @@ def test_suffix_dedup_brute_force(spark):
     assert suffix_dedup(frames.empty(spark)).count() == 0
 
 
+def test_texts_of_one_id_with_equal_short_hashes(spark):
+    """A null id and an equal 32-bit hash do not make two texts one."""
+    shared = frames.words(30, 60)
+    longer = F.concat(F.lit("a"), F.col("id"), F.lit(" " + shared))
+    shorter = F.concat(F.lit("b"), F.col("id"), F.lit(" alone"))
+    ids = spark.range(300_000)
+    pair = ids.select(longer.alias("x"), F.hash(longer).alias("h")).join(
+        ids.select(shorter.alias("y"), F.hash(shorter).alias("h")), "h").orderBy("x").first()
+    docs = spark.createDataFrame([(None, pair.x), (None, pair.y), (3, shared + " end")], "doc_id long, text string")
+    for run, size, sep in ((substring_dedup, 35, b" "), (suffix_dedup, 200, None)):
+        seqs = [r.text.encode().split() if sep else r.text.encode() for r in docs.collect()]
+        kept = [sep.join(w for w, m in zip(s, mask) if not m) if sep else bytes(b for b, m in zip(s, mask) if not m)
+                for s, mask in zip(seqs, repeated(seqs, size))]
+        want = sorted(hashlib.sha256(k).hexdigest() for k in kept)
+        assert sorted(r.kept_sha256 for r in run(docs).collect()) == want
+    assert sorted(r.text for r in keep_one(docs.filter("doc_id is null")).collect()) == sorted([pair.x, pair.y])
+
+
 def test_suffix_runs_cut_by_bucket_boundaries(spark):
     """Many copies over many buckets: equal suffixes straddle the boundaries."""
     text = frames.words(20, 120)
