@@ -10,10 +10,12 @@ from typing import Callable, Optional
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import byte_bpe
 from quarry.llm import oracle as O
 from quarry.llm.ann import nearest
 from quarry.llm.common import read_documents
 from quarry.llm.decontaminate import leaks
+from quarry.llm.fill_in_middle import fill_in_middle, restore
 from quarry.llm.license_scan import license_scan
 from quarry.llm.lm import lm_scores
 from quarry.llm.mixing import schedule
@@ -22,6 +24,7 @@ from quarry.llm.secrets import find_secrets, span_list
 from quarry.llm.simhash import simhash_dedup
 from quarry.llm.substring_dedup import substring_dedup
 from quarry.llm.suffix_dedup import suffix_dedup
+from quarry.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -98,6 +101,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"))
 
 
+@register("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_documents(spark, sf_dir, "embeddings"))
+
+
+@register("op12_fill_in_middle", O.FILL_IN_MIDDLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = restore(fill_in_middle(read_documents(spark, sf_dir)))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       *(F.sha2(F.encode(c, "UTF-8"), 256).alias(f"{c}_sha256") for c in ("output", "restored")))
+
+
+@register("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    ranks = public.path("byte_bpe_50k.tiktoken")
+    done = byte_bpe.decode(byte_bpe.encode(read_documents(spark, sf_dir), ranks, public.PATTERN), ranks)
+    return done.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
