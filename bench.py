@@ -41,7 +41,7 @@ def main() -> None:
     from quarry.operators.evaluate import ir_metrics, text_qrels
     from quarry.operators.fuse import hybrid_top_k
     from quarry.operators.messages import running_text
-    from quarry.operators.sparse import bm25_top_k
+    from quarry.operators.sparse import keyword_top_k
     from quarry.plans.answer import answer
     from quarry.sources.index_store import ensure_index
     from quarry.sources.tables import benchmark_queries, documents, read_table
@@ -73,11 +73,11 @@ def main() -> None:
     qv = idx.embedder.embed(q, "text").cache()
     qv.count()
     timed("d1_dense", lambda: dense_top_k(qv, idx.vectors, 5).collect(), reps=3)
-    timed("d2_bm25", lambda: bm25_top_k(q, idx, 12).collect(), reps=3)
+    timed("d2_bm25", lambda: keyword_top_k(q, idx, 12).collect(), reps=3)
 
     def hybrid():
         d = dense_top_k(qv, idx.vectors, 5)
-        return hybrid_top_k(d, bm25_top_k(q, idx, 12), 5, 0.3, "OR").collect()
+        return hybrid_top_k(d, keyword_top_k(q, idx, 12), 5, 0.3, "OR").collect()
 
     timed("d8_hybrid", hybrid, reps=3)
     timed("p1_answer", lambda: answer(q, idx, cfg).collect())
@@ -92,7 +92,7 @@ def main() -> None:
     def metrics():
         from pyspark.sql import functions as F
         qrels = text_qrels(q, docs).select("query_id", F.col("doc_id").cast("string").alias("node_id"), "ord")
-        return ir_metrics(bm25_top_k(q, didx, 5), qrels, 5).collect()
+        return ir_metrics(keyword_top_k(q, didx, 5), qrels, 5).collect()
 
     timed("v4_metrics", metrics)
     timed("f9_running", lambda: running_text(read_table(spark, sf_dir, "conversations")).count())

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quarry.functions.rank import round_score, top_k
 from quarry.functions.text import sentences, space_token_count, space_tokens, words
 from quarry.operators.chunk import node_metadata
+from quarry.operators.fetch import around, fetch_places, node_places
 from quarry.operators.index import TextIndex
 from quarry.operators.rerank import attach_text
 from quarry.operators.sparse import query_term_idf
@@ -22,7 +23,7 @@ from quarry.session import settle
 def replace_with_metadata(hits: DataFrame, nodes: DataFrame, key: str = "window",
                           out: str = "text") -> DataFrame:
     """Node text := metadata[key], falling back to the text when the key is
-    missing (B3/B4 nodes). Fetched late, by joining the bounded hit list."""
+    missing (B3/B4 nodes). ``nodes``: those of the hits (``hit_nodes``)."""
     with_cols = attach_text(hits, nodes, ("text", "window"))
     meta = node_metadata(with_cols)
     return with_cols.withColumn(out, F.coalesce(meta[key], F.col("text"))).drop("window") if out == "text" else \
@@ -46,7 +47,7 @@ def repack(hits: DataFrame, order: str = "forward", key: str = "query_id", rank:
 
 
 def source_node(hits: DataFrame, nodes: DataFrame, key: str = "query_id", rank: str = "rank") -> DataFrame:
-    """The best node's window and sentence per query."""
+    """The best node's window and sentence per query. ``nodes``: those of the hits (``hit_nodes``)."""
     best = hits.filter(F.col(rank) == 1).select(key, "node_id")
     with_cols = attach_text(best, nodes, ("text", "window"))
     return with_cols.select(key, "node_id", F.col("window").alias("window"), F.col("text").alias("sentence"))
@@ -98,14 +99,10 @@ def compress_context(packed: DataFrame, queries: DataFrame, index: TextIndex, m:
 
     Output: key, doc_id, pos, sentence, score, ord_in_context.
     """
-    cand = attach_text(packed.select(key, "node_id", ord_col), index.nodes, ("doc_id", "pos"))
-    spans = cand.select(key, ord_col, "doc_id",
-                        F.explode(F.sequence(F.greatest(F.col("pos") - window_size, F.lit(0)),
-                                             F.col("pos") + window_size)).alias("spos"))
-    spans = spans.groupBy(key, "doc_id", "spos").agg(F.min(ord_col).alias("_ord"))
+    cand = node_places(packed.select(key, "node_id", ord_col), index)
+    spans = around(cand, window_size, "spos").groupBy(key, "doc_id", "part", "spos").agg(F.min(ord_col).alias("_ord"))
     spans = settle(spans, "spans")  # at most (queries x k) x (2w + 1) rows
-    sent = index.nodes.select("doc_id", F.col("pos").alias("spos"), F.col("text").alias("sentence"))
-    sents = sent.join(spans, ["doc_id", "spos"])
+    sents = fetch_places(spans, index, "spos").withColumnRenamed("at_text", "sentence").drop("part")
     qidf = query_term_idf(queries, index, "text", key)
     qlist = qidf.groupBy(key).agg(F.collect_list(F.struct("term", "idf")).alias("_qt"), F.sum("idf").alias("_tot"))
     j = sents.withColumn("_nt", F.array_distinct(words("sentence"))).join(qlist, key, "left")

@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.index import TextIndex
-from quarry.operators.sparse import bm25_top_k
+from quarry.operators.sparse import keyword_top_k
 
 
 def classify_by_keyword_score(queries: DataFrame, index: TextIndex, threshold: float,
                               key: str = "query_id") -> DataFrame:
     """G1: (query_id, top_score, route)."""
-    top = bm25_top_k(queries, index, 1, key=key).select(key, F.col("score").alias("top_score"))
+    top = keyword_top_k(queries, index, 1, key=key).select(key, F.col("score").alias("top_score"))
     j = queries.select(key).join(top, key, "left")
     route = F.when(F.col("top_score").isNotNull() & (F.col("top_score") >= F.lit(float(threshold))), 0).otherwise(1)
     return j.withColumn("route", route.cast("int"))

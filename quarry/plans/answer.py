@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quarry.config import RagConfig
 from quarry.operators.dense import dense_top_k
 from quarry.operators.embed import default_pseudo_document, hyde_vectors
+from quarry.operators.fetch import hit_nodes
 from quarry.operators.fuse import hybrid_top_k
 from quarry.operators.generate import (QA_TEMPLATE, generation_only, make_extractive_completer, simple_summarize,
                                        tree_summarize)
@@ -27,7 +28,7 @@ from quarry.operators.index import TextIndex
 from quarry.operators.pack import budget_context, build_context, replace_with_metadata, repack, source_node
 from quarry.operators.rerank import rerank
 from quarry.operators.route import classify_by_keyword_score
-from quarry.operators.sparse import bm25_top_k
+from quarry.operators.sparse import keyword_top_k
 from quarry.session import settle
 
 
@@ -45,19 +46,19 @@ def retrieve(queries: DataFrame, index: TextIndex, cfg: RagConfig) -> DataFrame:
     dense = dense_top_k(qv, index.vectors, cfg.top_k)
     if not cfg.with_hybrid_search:
         return dense
-    sparse = bm25_top_k(queries, index, cfg.sparse_top_k)
+    sparse = keyword_top_k(queries, index, cfg.sparse_top_k)
     return hybrid_top_k(dense, sparse, cfg.top_k, cfg.hybrid_alpha, cfg.fusion_mode) \
         .select("query_id", "node_id", "score", "rank")
 
 
-def postprocess(hits: DataFrame, queries: DataFrame, index: TextIndex, cfg: RagConfig,
+def postprocess(hits: DataFrame, queries: DataFrame, index: TextIndex, cfg: RagConfig, nodes: DataFrame,
                 make_scorer: Optional[Callable] = None):
     """E3 order: rerank on the node's own text (the sentence), then swap in
     the window (E2). Returns (ranked ids, nodes with replaced text)."""
     if cfg.with_rerank:
-        hits = rerank(hits, queries, index, cfg.top_k_rerank, make_scorer)
+        hits = rerank(hits, queries, index, cfg.top_k_rerank, make_scorer, nodes=nodes)
     ranked = hits.select("query_id", "node_id", "rank")
-    replaced = replace_with_metadata(ranked, index.nodes, cfg.replace_key) \
+    replaced = replace_with_metadata(ranked, nodes, cfg.replace_key) \
         .select("query_id", "node_id", "rank", "text")
     return ranked, replaced
 
@@ -80,11 +81,12 @@ def answer(queries: DataFrame, index: TextIndex, cfg: RagConfig,
     "generation" nothing is retrieved and the source columns are null."""
     if cfg.response_mode == "generation":
         return generated_answer(queries, make_completer)
-    hits = settle(retrieve(queries, index, cfg), "hits")  # top_k rows per query, used three times below
-    ranked, nodes_out = postprocess(hits, queries, index, cfg, make_scorer)
+    hits = settle(retrieve(queries, index, cfg), "hits")  # top_k rows per query
+    nodes = hit_nodes(hits, index)  # the one scan of the node table; used three times below
+    ranked, nodes_out = postprocess(hits, queries, index, cfg, nodes, make_scorer)
     packed = repack(nodes_out, cfg.repack_order)
     packed = budget_context(packed, queries, cfg.context_window, cfg.num_output, QA_TEMPLATE)
-    src = source_node(ranked, index.nodes)
+    src = source_node(ranked, nodes)
     if cfg.response_mode == "tree_summarize":
         k = cfg.top_k_rerank if cfg.with_rerank else cfg.top_k
         tree = tree_summarize(packed, queries, k, cfg.tree_fan_in, make_completer)

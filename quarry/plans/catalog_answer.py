@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.checks import duckdb_sql as S
 from quarry.config import RagConfig
 from quarry.operators.dense import dense_top_k
+from quarry.operators.fetch import hit_nodes
 from quarry.operators.fuse import hybrid_top_k
 from quarry.operators.generate import (QA_TEMPLATE, QUERY_ONLY_TEMPLATE, complete, fill_template, generation_only,
                                        make_extractive_completer, tree_summarize, usage_report)
@@ -15,9 +16,10 @@ from quarry.operators.pack import (budget_context, build_context, compress_conte
                                    source_node, template_token_count)
 from quarry.operators.rerank import rerank
 from quarry.operators.route import classify_by_keyword_score, route_counts
-from quarry.operators.sparse import bm25_top_k
+from quarry.operators.sparse import keyword_top_k
 from quarry.plans.answer import answer, routed_answer
 from quarry.plans.registry import DEFAULT_CFG, corpus_index, register, with_sql
+from quarry.session import settle
 from quarry.sources.tables import benchmark_queries, read_table
 
 Q = S.query_ctes()
@@ -28,8 +30,13 @@ def _hybrid(spark, sf, k=5):
     idx = corpus_index(spark, sf)
     q = benchmark_queries(spark, sf)
     dense = dense_top_k(idx.embedder.embed(q, "text"), idx.vectors, 5)
-    hits = hybrid_top_k(dense, bm25_top_k(q, idx, 12), k, 0.3, "OR").select("query_id", "node_id", "score", "rank")
-    return idx, q, hits
+    hits = hybrid_top_k(dense, keyword_top_k(q, idx, 12), k, 0.3, "OR").select("query_id", "node_id", "score", "rank")
+    return idx, q, settle(hits, "hits")
+
+
+def _windows(hits, idx):
+    hits = settle(hits, "hits")
+    return replace_with_metadata(hits, hit_nodes(hits, idx), "window")
 
 
 HYBRID = [S.index_ctes(), Q, S.bm25_ctes(12), S.dense_ctes(5), S.fuse_ctes("dn", "bm", "OR", 0.3),
@@ -49,7 +56,7 @@ def e1_rerank(spark, sf):
 SELECT h.query_id, h.node_id, h.rank, coalesce(n."window", n.text) AS text FROM hy h JOIN nodes n USING (node_id)"""))
 def e2_window_replace(spark, sf):
     idx, q, hits = _hybrid(spark, sf)
-    return replace_with_metadata(hits.select("query_id", "node_id", "rank"), idx.nodes, "window") \
+    return _windows(hits.select("query_id", "node_id", "rank"), idx) \
         .select("query_id", "node_id", "rank", "text")
 
 
@@ -59,7 +66,7 @@ FROM rr r JOIN nodes n USING (node_id)"""))
 def e3_rerank_then_window(spark, sf):
     idx, q, hits = _hybrid(spark, sf)
     rr = rerank(hits, q, idx, 2).select("query_id", "node_id", "rank", "rerank_score")
-    return replace_with_metadata(rr, idx.nodes, "window").select("query_id", "node_id", "rank", "rerank_score", "text")
+    return _windows(rr, idx).select("query_id", "node_id", "rank", "rerank_score", "text")
 
 
 @register("e4_repack_sides", with_sql(*HYBRID, select="""
@@ -111,7 +118,8 @@ SELECT r.query_id, r.node_id, n."window" AS "window", n.text AS sentence FROM rr
 WHERE r.rank = 1"""))
 def e6_source(spark, sf):
     idx, q, hits = _hybrid(spark, sf)
-    return source_node(rerank(hits, q, idx, 2).select("query_id", "node_id", "rank"), idx.nodes)
+    ranked = settle(rerank(hits, q, idx, 2).select("query_id", "node_id", "rank"), "ranked")
+    return source_node(ranked, hit_nodes(ranked, idx))
 
 
 # --- F: prompts and generation ----------------------------------------------
@@ -188,7 +196,7 @@ register("f5_simple_summarize", _answer_sql("hy", P1, HYBRID))(_plan(P1))
 def _packed_spark(spark, sf):
     idx, q, hits = _hybrid(spark, sf)
     rr = rerank(hits, q, idx, 2).select("query_id", "node_id", "rank")
-    packed = repack(replace_with_metadata(rr, idx.nodes, "window").select("query_id", "node_id", "rank", "text"),
+    packed = repack(_windows(rr, idx).select("query_id", "node_id", "rank", "text"),
                     "forward")
     return idx, q, budget_context(packed, q, P1.context_window, P1.num_output, QA_TEMPLATE)
 
@@ -226,7 +234,7 @@ _F4_BASE = HYBRID + [f"""packed AS (SELECT h.query_id, h.node_id, h.rank AS ord,
 @register("f4_budget", with_sql(*_F4_BASE, select="SELECT query_id, node_id, ord, text FROM kept"))
 def f4_budget(spark, sf):
     idx, q, hits = _hybrid(spark, sf)
-    packed = repack(replace_with_metadata(hits.select("query_id", "node_id", "rank"), idx.nodes, "window")
+    packed = repack(_windows(hits.select("query_id", "node_id", "rank"), idx)
                     .select("query_id", "node_id", "rank", "text"), "forward")
     kept = budget_context(packed, q, _F4_CFG.context_window, _F4_CFG.num_output, QA_TEMPLATE)
     return kept.select("query_id", "node_id", "ord", "text")
@@ -248,7 +256,7 @@ def _tree_sql(levels: int, fan_in: int) -> str:
 @register("f6_tree_summarize", _tree_sql(3, 2))
 def f6_tree_summarize(spark, sf):
     idx, q, hits = _hybrid(spark, sf)
-    packed = repack(replace_with_metadata(hits.select("query_id", "node_id", "rank"), idx.nodes, "window")
+    packed = repack(_windows(hits.select("query_id", "node_id", "rank"), idx)
                     .select("query_id", "node_id", "rank", "text"), "forward")
     tree = tree_summarize(packed, q, 5, 2)
     return q.select("query_id").join(tree.select("query_id", "response"), "query_id", "left")

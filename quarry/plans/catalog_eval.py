@@ -11,7 +11,7 @@ from quarry.operators.dataset import (global_index, positional_split, qa_tables,
 from quarry.operators.dense import dense_top_k
 from quarry.operators.evaluate import compare_runs, hit_rate, hit_rows, ir_metrics, text_qrels
 from quarry.operators.fuse import hybrid_top_k
-from quarry.operators.sparse import bm25_top_k
+from quarry.operators.sparse import keyword_top_k
 from quarry.plans.registry import DEFAULT_CFG, corpus_index, register, with_sql
 from quarry.sources.tables import benchmark_queries, documents, read_table
 
@@ -177,7 +177,7 @@ def _doc_setup(spark, sf):
 @register("v1_hits_text", with_sql(DOC_INDEX, Q, S.bm25_ctes(5), QRELS, select=_hits_sql("bm")))
 def v1_hits_text(spark, sf):
     idx, q, qrels = _doc_setup(spark, sf)
-    return hit_rows(bm25_top_k(q, idx, 5), q, qrels)
+    return hit_rows(keyword_top_k(q, idx, 5), q, qrels)
 
 
 @register("v3_hit_rate_text", with_sql(DOC_INDEX, Q, S.bm25_ctes(5), QRELS, f"h AS ({_hits_sql('bm')})", select="""
@@ -213,7 +213,7 @@ SELECT count(*) AS n_queries, round(avg(accuracy), 6) AS accuracy_at_5, round(av
 @register("v4_ir_metrics", V4_SQL)
 def v4_ir_metrics(spark, sf):
     idx, q, qrels = _doc_setup(spark, sf)
-    return ir_metrics(bm25_top_k(q, idx, 5), qrels, 5)
+    return ir_metrics(keyword_top_k(q, idx, 5), qrels, 5)
 
 
 V5_SQL = with_sql(DOC_INDEX, Q, S.bm25_ctes(5), S.bm25_ctes(12, name="bm12"), S.dense_ctes(5),
@@ -232,8 +232,8 @@ SELECT (SELECT round(avg(CASE WHEN is_hit THEN 1.0 ELSE 0.0 END::DOUBLE), 6) FRO
 def v5_compare_runs(spark, sf):
     idx, q, qrels = _doc_setup(spark, sf)
     dense = dense_top_k(idx.embedder.embed(q, "text"), idx.vectors, 5)
-    bm = bm25_top_k(q, idx, 5)
-    hy = hybrid_top_k(dense, bm25_top_k(q, idx, 12), 5, 0.3, "OR")
+    bm = keyword_top_k(q, idx, 5)
+    hy = hybrid_top_k(dense, keyword_top_k(q, idx, 12), 5, 0.3, "OR")
     rates = None
     for run, hits in (("bm25", bm), ("dense", dense), ("hybrid", hy)):
         r = hit_rate(hit_rows(hits, q, qrels), None).select(F.lit(run).alias("run"), "hit_rate")

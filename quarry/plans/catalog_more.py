@@ -14,14 +14,15 @@ from quarry.operators.dataset import positional_split, qa_tables, synthetic_ques
 from quarry.operators.dense import dense_top_k
 from quarry.operators.embed import Embedder
 from quarry.operators.evaluate import hit_rate, hit_rows
-from quarry.operators.sparse import bm25_top_k
+from quarry.operators.fetch import with_windows
+from quarry.operators.sparse import keyword_top_k
 from quarry.plans import catalog_eval as EV
 from quarry.plans.registry import DEFAULT_CFG, corpus_index, register, with_sql
 from quarry.session import shared_path
 from quarry.sources.index_store import load_index, upsert_index
 from quarry.sources.qa_json import read_qa_dataset, write_qa_dataset, write_report
 from quarry.sources.tables import benchmark_queries, documents
-from quarry.streaming.ingest import stream_nodes
+from quarry.streaming.ingest import DOC_SCHEMA, stream_index, stream_nodes
 
 STEM_CFG = DEFAULT_CFG.replace(with_stemming=True)
 
@@ -36,7 +37,7 @@ def _stemmed(sql: str) -> str:
 @register("d3_bm25_stemmed", _stemmed(with_sql(S.index_ctes(), S.query_ctes(), S.bm25_ctes(12),
                                                select="SELECT * FROM bm")))
 def d3_bm25_stemmed(spark, sf):
-    return bm25_top_k(benchmark_queries(spark, sf), corpus_index(spark, sf, STEM_CFG), 12)
+    return keyword_top_k(benchmark_queries(spark, sf), corpus_index(spark, sf, STEM_CFG), 12)
 
 
 def _run_dir(spark, what):
@@ -100,11 +101,26 @@ _A6_DOCS = """documents AS (
   FROM main.documents WHERE doc_id % 11 <> 2)"""
 
 
-@register("a6_incremental", with_sql(_A6_DOCS, S.index_ctes(), select="""
+_INDEX_ROWS = """
 SELECT 'node' AS kind, node_id AS id, text || '|' || coalesce("window", '') AS value FROM nodes
 UNION ALL SELECT 'df', term, CAST(df AS VARCHAR) FROM dfreq
 UNION ALL SELECT 'postings', '', CAST(count(*) AS VARCHAR) FROM postings
-UNION ALL SELECT 'n', '', CAST(n AS VARCHAR) FROM stats"""))
+UNION ALL SELECT 'n', '', CAST(n AS VARCHAR) FROM stats"""
+
+
+def _index_rows(idx):
+    """An index's nodes with windows, document frequencies, number of postings and of nodes."""
+    rows = with_windows(idx.nodes, idx.cfg).select(F.lit("node").alias("kind"), F.col("node_id").alias("id"),
+                                                   F.concat("text", F.lit("|"), F.coalesce("window", F.lit(""))).alias("value"))
+    rows = rows.unionByName(idx.df.select(F.lit("df").alias("kind"), F.col("term").alias("id"),
+                                          F.col("df").cast("string").alias("value")))
+    rows = rows.unionByName(idx.postings.agg(F.lit("postings").alias("kind"), F.lit("").alias("id"),
+                                             F.count("*").cast("string").alias("value")))
+    return rows.unionByName(idx.stats.select(F.lit("n").alias("kind"), F.lit("").alias("id"),
+                                             F.col("n").cast("string").alias("value")))
+
+
+@register("a6_incremental", with_sql(_A6_DOCS, S.index_ctes(), select=_INDEX_ROWS))
 def a6_incremental(spark, sf):
     """Build on all documents, then update to a corpus with some edited, emptied and
     removed, twice: the tables are those of the new corpus."""
@@ -118,15 +134,27 @@ def a6_incremental(spark, sf):
     again = upsert_index(spark, docs, path, DEFAULT_CFG)
     if any(again.values()):
         raise AssertionError(f"the second update changed the index: {again}")
-    idx = load_index(spark, path, DEFAULT_CFG)
-    rows = idx.nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"),
-                            F.concat("text", F.lit("|"), F.coalesce("window", F.lit(""))).alias("value"))
-    rows = rows.unionByName(idx.df.select(F.lit("df").alias("kind"), F.col("term").alias("id"),
-                                          F.col("df").cast("string").alias("value")))
-    rows = rows.unionByName(idx.postings.agg(F.lit("postings").alias("kind"), F.lit("").alias("id"),
-                                             F.count("*").cast("string").alias("value")))
-    return rows.unionByName(idx.stats.select(F.lit("n").alias("kind"), F.lit("").alias("id"),
-                                             F.col("n").cast("string").alias("value")))
+    return _index_rows(load_index(spark, path, DEFAULT_CFG))
+
+
+_A7_DOCS = """documents AS (
+  SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN text || ' One more sentence.' ELSE text END AS text FROM main.documents)"""
+
+
+@register("a7_stream_index", with_sql(_A7_DOCS, S.index_ctes(), select=_INDEX_ROWS))
+def a7_stream_index(spark, sf):
+    """Documents arrive in a file and some again in a later one, changed or as they were; the
+    stream is stopped in between. The index is that of the last version of every document."""
+    run = _run_dir(spark, "stream-index")
+    docs = documents(spark, sf)
+    cfg = DEFAULT_CFG.replace(index_partitions=4)
+    columns = [f.name for f in DOC_SCHEMA]
+    again = docs.filter("doc_id % 7 = 1 OR doc_id % 5 = 2").withColumn(
+        "text", F.when(F.col("doc_id") % 7 == 1, F.concat("text", F.lit(" One more sentence."))).otherwise(F.col("text")))
+    for arrival in (docs, again):
+        arrival.select(*columns).write.mode("append").parquet(f"{run}/in")
+        idx = stream_index(spark, f"{run}/in", f"{run}/index", f"{run}/checkpoint", cfg)
+    return _index_rows(idx)
 
 
 @register("a6_incremental_rerun")

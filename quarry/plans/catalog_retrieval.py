@@ -9,7 +9,7 @@ from quarry.operators import chunk as C
 from quarry.operators.dense import approx_dense_top_k, dense_top_k
 from quarry.operators.embed import Embedder, default_pseudo_document, hyde_vectors
 from quarry.operators.fuse import fuse, hybrid_top_k, min_max
-from quarry.operators.sparse import bm25_top_k
+from quarry.operators.sparse import keyword_top_k
 from quarry.plans.registry import DEFAULT_CFG, corpus_index, register, with_sql
 from quarry.sources.tables import benchmark_queries, documents, read_table
 
@@ -164,13 +164,13 @@ def d1a_dense_lsh(spark, sf):
 
 @register("d2_bm25", with_sql(S.index_ctes(), Q, S.bm25_ctes(12), select="SELECT * FROM bm"))
 def d2_bm25(spark, sf):
-    return bm25_top_k(benchmark_queries(spark, sf), corpus_index(spark, sf), 12)
+    return keyword_top_k(benchmark_queries(spark, sf), corpus_index(spark, sf), 12)
 
 
 @register("d4_minmax", with_sql(S.index_ctes(), Q, S.bm25_ctes(12), S.minmax_cte("bm", "mm"),
                                 select="SELECT query_id, node_id, round(norm, 6) AS norm FROM mm"))
 def d4_minmax(spark, sf):
-    hits = bm25_top_k(benchmark_queries(spark, sf), corpus_index(spark, sf), 12)
+    hits = keyword_top_k(benchmark_queries(spark, sf), corpus_index(spark, sf), 12)
     return min_max(hits).select("query_id", "node_id", F.round("norm", 6).alias("norm"))
 
 
@@ -178,7 +178,7 @@ def _fused(spark, sf, mode, alpha):
     idx = corpus_index(spark, sf)
     q = benchmark_queries(spark, sf)
     dense = dense_top_k(idx.embedder.embed(q, "text"), idx.vectors, 5)
-    kw = bm25_top_k(q, idx, 12)
+    kw = keyword_top_k(q, idx, 12)
     return fuse(dense, kw, mode, alpha).select(
         "query_id", "node_id", "score", F.round("dense_score", 6).alias("dense_score"),
         F.round("keyword_score", 6).alias("keyword_score"), "rank")
@@ -207,4 +207,4 @@ def d8_hybrid(spark, sf):
     idx = corpus_index(spark, sf)
     q = benchmark_queries(spark, sf)
     dense = dense_top_k(idx.embedder.embed(q, "text"), idx.vectors, 5)
-    return hybrid_top_k(dense, bm25_top_k(q, idx, 12), 5, 0.3, "OR").select("query_id", "node_id", "score", "rank")
+    return hybrid_top_k(dense, keyword_top_k(q, idx, 12), 5, 0.3, "OR").select("query_id", "node_id", "score", "rank")

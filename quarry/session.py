@@ -133,14 +133,37 @@ def delete_path(spark: SparkSession, path: str) -> None:
         fs.delete(jpath, True)
 
 
-def rename_path(spark: SparkSession, src: str, dst: str) -> None:
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    """A small text file, through the Hadoop FileSystem API."""
     jvm = spark.sparkContext._jvm
-    s = jvm.org.apache.hadoop.fs.Path(src)
-    fs = s.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    d = jvm.org.apache.hadoop.fs.Path(dst)
-    if fs.exists(d):
-        fs.delete(d, True)
-    fs.mkdirs(d.getParent())
-    if not fs.rename(s, d):
-        raise IOError(f"rename {src} -> {dst} failed")
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    stream = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(jpath)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
 
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file beside its place and rename it over what stands there, in one step
+    (as atomic as the file system's rename)."""
+    sc = spark.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    target, fresh = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}"))
+    fs = target.getFileSystem(conf)
+    out = fs.create(fresh, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    overwrite = sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf)
+    files.rename(fs.makeQualified(fresh), fs.makeQualified(target), overwrite)

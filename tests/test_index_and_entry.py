@@ -56,7 +56,7 @@ def test_index_without_its_tables_or_mark(spark, scratch):
     path = f"{scratch}/idx-{uuid.uuid4().hex[:6]}"
     docs = spark.createDataFrame([(1, "One sentence."), (2, "Another one.")], "doc_id long, text string")
     ensure_index(spark, docs, "t", cfg, path=path)
-    os.remove(f"{path}/docs/_SUCCESS")  # as a crashed build leaves it
+    os.remove(f"{path}/manifest.json")  # as a crashed build leaves it
     assert not committed(spark, path)
     changed = docs.union(spark.createDataFrame([(3, "A third.")], docs.schema))
     assert ensure_index(spark, changed, "t", cfg, path=path).nodes.count() == 3
