@@ -83,7 +83,7 @@ def main() -> None:
     timed("p1_answer", lambda: answer(q, idx, cfg).collect())
 
     def build_documents():
-        idx_holder["doc"] = ensure_index(spark, docs, f"bench-doc-{run}", cfg.replace(chunker="document"),
+        idx_holder["doc"] = ensure_index(spark, docs, f"bench-doc-{run}", cfg.but(chunking={"kind": "document"}),
                                          path=shared_path(spark, "quarry-bench", run, "document"))
 
     timed("doc_index_build", build_documents)

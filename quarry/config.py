@@ -6,6 +6,7 @@ import dataclasses
 import hashlib
 import json
 from dataclasses import dataclass
+from typing import Optional
 
 # ---------------------------------------------------------------------------
 # Fixed values. Spark, the pandas helpers and the DuckDB oracle all use these
@@ -31,60 +32,93 @@ DEFAULT_NUM_OUTPUT = 256
 
 
 @dataclass(frozen=True)
-class RagConfig:
-    """Plan flags. One frozen value picks the whole plan before it is built."""
-
-    # chunking (B5): "sentence_window", "token" (B3), "sentence_pack" (B4) or
-    # "document" (one node per document, for document-level evaluation)
-    chunker: str = "sentence_window"
-    window_size: int = 3
-    chunk_size: int = 512
-    chunk_overlap: int = 128
-    # retrieval
-    with_hybrid_search: bool = True
-    top_k: int = 5
-    sparse_top_k: int = 12
-    hybrid_alpha: float = 0.3
-    fusion_mode: str = "OR"
-    with_stemming: bool = False
-    # postprocessing
-    with_rerank: bool = True
-    top_k_rerank: int = 2
-    replace_key: str = "window"
-    repack_order: str = "forward"
-    # generation
-    response_mode: str = "simple_summarize"  # or tree_summarize, generation
-    context_window: int = DEFAULT_CONTEXT_WINDOW
-    num_output: int = DEFAULT_NUM_OUTPUT
-    tree_fan_in: int = 2
-    with_hyde: bool = False
-    # routing
-    route_threshold: float = 30.0
-    # index layout: partitions of the index tables by document hash; 0 = pick
-    # from the input size at first build (kept in the index's meta table)
-    index_partitions: int = 0
-    hash_dim: int = HASH_DIM
+class Chunking:
+    """How documents become nodes, and how far a sentence's window reaches."""
+
+    kind: str = "sentence_window"  # or "token" (B3), "sentence_pack" (B4), "document" (one node each)
+    window: int = 3
+    size: int = 512
+    overlap: int = 128
+
+    def __post_init__(self) -> None:
+        if self.kind not in ("sentence_window", "token", "sentence_pack", "document"):
+            raise ValueError(f"unknown chunker {self.kind!r}")
+        if not 0 <= self.overlap < self.size:
+            raise ValueError("need 0 <= overlap < size")
+
+
+@dataclass(frozen=True)
+class Layout:
+    """The index on disk: document partitions (0: from the input's size at the first build), dimensions
+    of the default embedder, stemmed terms."""
+
+    partitions: int = 0
+    dim: int = HASH_DIM
+    stemming: bool = False
+
+
+@dataclass(frozen=True)
+class Search:
+    """Hits of the dense list and of the keyword list (None: dense alone), their fusion; C4."""
+
+    dense: int = 5
+    keyword: Optional[int] = 12
+    keyword_weight: float = 0.3
+    fusion: str = "OR"
+    pseudo_documents: bool = False
+
+    def __post_init__(self) -> None:
+        if self.fusion not in ("AND", "OR"):
+            raise ValueError(f"fusion {self.fusion!r} is neither AND nor OR")
+
+
+@dataclass(frozen=True)
+class Context:
+    """What of the hits goes into a prompt. ``keep`` None: all hits, not reranked."""
+
+    keep: Optional[int] = 2
+    metadata: str = "window"
+    order: str = "forward"
+    limit: int = DEFAULT_CONTEXT_WINDOW
+    reserved: int = DEFAULT_NUM_OUTPUT
 
     def __post_init__(self) -> None:
-        if self.chunker not in ("sentence_window", "token", "sentence_pack", "document"):
-            raise ValueError(f"unknown chunker {self.chunker!r}")
-        if not 0 <= self.chunk_overlap < self.chunk_size:
-            raise ValueError("need 0 <= chunk_overlap < chunk_size")
-        if self.fusion_mode not in ("AND", "OR"):
-            raise ValueError(f"fusion_mode {self.fusion_mode!r} is neither AND nor OR")
-        if self.response_mode not in ("simple_summarize", "tree_summarize", "generation"):
-            raise ValueError(f"unknown response mode {self.response_mode!r}")
-        if self.repack_order not in ("forward", "reverse", "sides"):
-            raise ValueError(f"unknown repack order {self.repack_order!r}")
-        if self.context_window <= 0:
-            raise ValueError("context_window must be > 0")
-
-    def replace(self, **changes) -> "RagConfig":
-        return dataclasses.replace(self, **changes)
+        if self.order not in ("forward", "reverse", "sides"):
+            raise ValueError(f"unknown order {self.order!r}")
+        if self.limit <= 0:
+            raise ValueError("the context limit must be > 0")
+
+
+@dataclass(frozen=True)
+class Synthesis:
+    """How answers are made, and from which keyword score on a query is retrieved for."""
+
+    mode: str = "simple_summarize"  # or tree_summarize, generation
+    fan_in: int = 2
+    route_at: float = 30.0
+
+    def __post_init__(self) -> None:
+        if self.mode not in ("simple_summarize", "tree_summarize", "generation"):
+            raise ValueError(f"unknown response mode {self.mode!r}")
+
+
+@dataclass(frozen=True)
+class RagConfig:
+    """What a plan reads, by stage. One frozen value picks the whole plan before it is built; the index
+    depends on its first two parts alone."""
+
+    chunking: Chunking = Chunking()
+    layout: Layout = Layout()
+    search: Search = Search()
+    context: Context = Context()
+    synthesis: Synthesis = Synthesis()
+
+    def but(self, **parts: dict) -> "RagConfig":
+        """A copy with some fields of some parts changed: ``cfg.but(search={"keyword": None})``."""
+        return dataclasses.replace(self, **{name: dataclasses.replace(getattr(self, name), **fields)
+                                            for name, fields in parts.items()})
 
     def index_fingerprint(self) -> str:
         """Digest of everything that shapes the index tables (A6: stale-proof paths)."""
-        keys = ("chunker", "window_size", "chunk_size", "chunk_overlap", "hash_dim",
-                "with_stemming", "index_partitions")
-        blob = json.dumps({k: getattr(self, k) for k in keys}, sort_keys=True)
+        blob = json.dumps([dataclasses.asdict(self.chunking), dataclasses.asdict(self.layout)], sort_keys=True)
         return hashlib.md5(blob.encode()).hexdigest()[:12]

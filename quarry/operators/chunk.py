@@ -145,13 +145,13 @@ def document_nodes(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def chunk(docs: DataFrame, cfg: RagConfig) -> DataFrame:
     """The config picks the chunker before the plan is built; same schema out."""
-    if cfg.chunker == "document":
+    if cfg.chunking.kind == "document":
         return document_nodes(docs)
-    if cfg.chunker == "sentence_window":
-        return sentence_window_nodes(docs, cfg.window_size)
-    if cfg.chunker == "token":
-        return token_chunk_nodes(docs, cfg.chunk_size, cfg.chunk_overlap)
-    return sentence_pack_nodes(docs, cfg.chunk_size, cfg.chunk_overlap)
+    if cfg.chunking.kind == "sentence_window":
+        return sentence_window_nodes(docs, cfg.chunking.window)
+    if cfg.chunking.kind == "token":
+        return token_chunk_nodes(docs, cfg.chunking.size, cfg.chunking.overlap)
+    return sentence_pack_nodes(docs, cfg.chunking.size, cfg.chunking.overlap)
 
 
 def node_metadata(nodes: DataFrame) -> Column:

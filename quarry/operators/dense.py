@@ -1,4 +1,4 @@
-"""Dense top-k by cosine similarity for a batch of queries.
+"""Dense top-k by cosine similarity for a batch of queries.
 
 D1 (exact). No pairs are formed as rows and no query passes through the driver.
 Both sides are packed where they are: a row of ``PACK`` corpus vectors has a block
@@ -14,9 +14,7 @@ score = round(cosine, 6); order score desc, id asc. Null or zero vectors are
 skipped on both sides. ``exclude_self`` drops the pair (x, x) when queries
 and corpus share ids (embedding-to-embedding use).
 
-D1a (approximate, scale variant): random-projection LSH via
-``BucketedRandomProjectionLSH.approxSimilarityJoin`` on unit vectors, then an
-exact re-score of the candidate pairs with the D1 contract.
+D1a, the approximate variant, is in ``operators/approx.py``.
 """
 
 from __future__ import annotations
@@ -178,32 +176,3 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "query
     q = q.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = c.join(q, "_block").mapInPandas(_meet(k, key, id_col, exclude_self), schema)
     return top_k(found.withColumn("score", round_score("score")), [key], k, id_col=id_col)
-
-
-def approx_dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "query_id",
-                       id_col: str = "node_id", vector: str = "vector", min_cosine: float = -1.0,
-                       bucket_length: float = 0.5, num_tables: int = 8, seed: int = 7) -> DataFrame:
-    """LSH candidate pairs with cosine >= ``min_cosine`` (unit vectors:
-    distance = sqrt(2 - 2 cos)), exact re-score, k best per query."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df, c):
-        norm = F.sqrt(F.aggregate(F.transform(c, lambda x: x * x), F.lit(0.0), lambda a, b: a + b))
-        return df.withColumn("_u", F.when(norm > 0, F.transform(c, lambda x: x.cast("double") / norm)))
-
-    qa = unit(queries.select(key, F.col(vector).cast("array<double>").alias("_v")), "_v")
-    ca = unit(corpus.select(id_col, F.col(vector).cast("array<double>").alias("_v")), "_v")
-    qa = qa.filter(F.col("_u").isNotNull()).select(F.col(key).alias("_qk"), array_to_vector("_u").alias("features"),
-                                                   F.col("_u").alias("_qu"))
-    ca = ca.filter(F.col("_u").isNotNull()).select(F.col(id_col).alias("_cid"), array_to_vector("_u").alias("features"),
-                                                   F.col("_u").alias("_cu"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed)
-    model = lsh.fit(ca)
-    max_dist = math.sqrt(max(0.0, 2.0 - 2.0 * min_cosine))
-    pairs = model.approxSimilarityJoin(qa, ca, max_dist, distCol="_d")
-    dot = F.aggregate(F.zip_with("datasetA._qu", "datasetB._cu", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    scored = pairs.select(F.col("datasetA._qk").alias(key), F.col("datasetB._cid").alias(id_col),
-                          round_score(dot).alias("score"))
-    return top_k(scored, [key], k, id_col=id_col)

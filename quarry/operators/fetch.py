@@ -19,7 +19,7 @@ from quarry.session import settle
 
 def node_places(ids: DataFrame, index: TextIndex) -> DataFrame:
     """The rows with doc_id, pos and part, read off their node_id."""
-    if index.cfg.chunker == "document":
+    if index.cfg.chunking.kind == "document":
         doc, pos = F.col("node_id").try_cast("long"), F.lit(0)
     else:
         last = F.substring_index("node_id", "-", -1)
@@ -47,9 +47,9 @@ def around(places: DataFrame, reach: int, at: str = "at") -> DataFrame:
 def hit_nodes(hits: DataFrame, index: TextIndex) -> DataFrame:
     """(node_id, doc_id, pos, text, window) of the nodes in a hit list, each once, written: what
     reranks, replaces or cites them reads these rows and not the index."""
-    windowed = index.cfg.chunker == "sentence_window"
+    windowed = index.cfg.chunking.kind == "sentence_window"
     places = node_places(hits.select("node_id").distinct(), index)
-    spans = settle(around(places, index.cfg.window_size if windowed else 0), "spans")
+    spans = settle(around(places, index.cfg.chunking.window if windowed else 0), "spans")
     rows = fetch_places(spans, index).groupBy("node_id", "doc_id", "pos").agg(
         F.max(F.when(F.col("at") == F.col("pos"), F.col("at_text"))).alias("text"),
         F.sort_array(F.collect_list(F.struct("at", "at_text"))).alias("_w"))
@@ -59,7 +59,7 @@ def hit_nodes(hits: DataFrame, index: TextIndex) -> DataFrame:
 
 def with_windows(nodes: DataFrame, cfg: RagConfig) -> DataFrame:
     """A whole node table with its windows (for exports; plans fetch them for their hits)."""
-    if cfg.chunker != "sentence_window":
+    if cfg.chunking.kind != "sentence_window":
         return nodes.withColumn("window", F.lit(None).cast("string"))
-    near = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(-cfg.window_size, cfg.window_size)
+    near = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(-cfg.chunking.window, cfg.chunking.window)
     return nodes.withColumn("window", F.array_join(F.collect_list("text").over(near), " "))

@@ -3,8 +3,8 @@
 F8 runs a user-supplied completer over a table of prompts with
 ``mapInPandas``: the completer is made once per task and called once per prompt; a failing prompt yields ``response`` null, ``error``
 set and zero usage (never the previous call's result). Model calls are not
-idempotent, so persist the output (``persist_completions``) before a plan
-reuses it; otherwise a retried task or a re-evaluated plan calls again.
+idempotent: a retried task or a re-evaluated plan calls again, unless the calls
+go through a ledger (``operators/ledger.py``), as those of the plans do.
 
 Default completer (a lexical stand-in, not a language model): the sentence
 of the context with the greatest number of distinct query terms, first
@@ -43,6 +43,11 @@ QUESTION_TEMPLATE = (
     "[passage]\n{context_str}\n[end of passage]\n"
     "List {num_questions} question(s), each on a line of its own, whose answer stands in the passage.\n"
 )
+PSEUDO_DOCUMENT_TEMPLATE = (
+    "[question] {query_str}\n"
+    "Write a short passage, as a reference work would, that answers the question.\n"
+    "[passage] "
+)
 
 USAGE_FIELDS = [T.StructField("prompt_tokens", T.LongType()), T.StructField("completion_tokens", T.LongType()),
                 T.StructField("total_tokens", T.LongType())]
@@ -161,11 +166,6 @@ def complete(df: DataFrame, make_completer: Callable = make_extractive_completer
     return df.mapInPandas(run, schema)
 
 
-def persist_completions(df: DataFrame) -> DataFrame:
-    """Cut lineage after model calls (reliable checkpoint in the shared folder)."""
-    return df.checkpoint(eager=True)
-
-
 def usage_report(completions: DataFrame, run: Optional[str] = None) -> DataFrame:
     """usage sums per model (and run), with rollup totals."""
     df = completions.withColumn("run", F.lit(run) if run is not None else F.col("run")) \
@@ -181,20 +181,31 @@ def usage_report(completions: DataFrame, run: Optional[str] = None) -> DataFrame
 
 
 def simple_summarize(contexts: DataFrame, queries: DataFrame, make_completer: Callable = make_extractive_completer,
-                     template: str = QA_TEMPLATE, key: str = "query_id") -> DataFrame:
-    """all (budgeted) context in one prompt, one call per query."""
+                     template: str = QA_TEMPLATE, key: str = "query_id", call: Callable = complete) -> DataFrame:
+    """all (budgeted) context in one prompt, one call per query. ``call``: ``complete``, or
+    that of a ledger (``operators/ledger.py``)."""
     j = queries.select(key, F.col("text").alias("query_text")).join(contexts, key, "left")
     j = j.withColumn("context", F.coalesce("context", F.lit("")))
     j = j.withColumn("prompt", fill_template(template, F.col("context"), F.col("query_text")))
-    return complete(j, make_completer)
+    return call(j, make_completer)
 
 
 def generation_only(queries: DataFrame, make_completer: Callable = make_extractive_completer,
-                    template: str = QUERY_ONLY_TEMPLATE, key: str = "query_id") -> DataFrame:
+                    template: str = QUERY_ONLY_TEMPLATE, key: str = "query_id", call: Callable = complete) -> DataFrame:
     """no retrieval; the query-only template."""
     j = queries.select(key, F.col("text").alias("query_text")).withColumn("context", F.lit(None).cast("string"))
     j = j.withColumn("prompt", fill_template(template, None, F.col("query_text")))
-    return complete(j, make_completer)
+    return call(j, make_completer)
+
+
+def written_pseudo_documents(queries: DataFrame, make_writer: Callable, call: Callable = complete,
+                             text: str = "text") -> DataFrame:
+    """C4: the queries with ``pseudo_doc``, a hypothetical answer written by the completer (F8).
+    A query whose writer fails, or writes nothing, stands for its own document."""
+    asked = queries.withColumn("prompt", fill_template(PSEUDO_DOCUMENT_TEMPLATE, None, F.col(text)))
+    done = call(asked, make_writer, "prompt", text, text)
+    written = F.when(F.length(F.trim("response")) > 0, F.col("response"))
+    return done.withColumn("pseudo_doc", F.coalesce(written, F.col(text))).select(*queries.columns, "pseudo_doc")
 
 
 def tree_levels(k: int, fan_in: int) -> int:
@@ -210,14 +221,14 @@ def tree_levels(k: int, fan_in: int) -> int:
 def tree_summarize(packed: DataFrame, queries: DataFrame, k: int, fan_in: int = 2,
                    make_completer: Callable = make_extractive_completer, template: str = QA_TEMPLATE,
                    key: str = "query_id", ord_col: str = "ord", text: str = "text",
-                   persist: bool = False) -> DataFrame:
+                   call: Callable = complete) -> DataFrame:
     """pack ``fan_in`` texts per prompt, answer, repeat on the answers.
 
     The number of rounds is fixed from k and fan_in before the plan runs
     (no data-dependent loop). Every round is a groupBy on (query, group).
     A failed prompt makes the answers above it null, with the first error of
     the group; the usage of all prompts below an answer is added up.
-    ``persist`` writes each round's completions before the next one reads them.
+    With a ledger's ``call`` each round's completions are written before the next one reads them.
     """
     q = queries.select(key, F.col("text").alias("query_text"))
     usage = [f.name for f in USAGE_FIELDS]
@@ -231,9 +242,7 @@ def tree_summarize(packed: DataFrame, queries: DataFrame, k: int, fan_in: int =
             F.min_by("_e", F.when(F.col("_e").isNotNull(), F.col("_o"))).alias("_below"),
             *[F.sum(f"_{u}").alias(f"_{u}") for u in usage])
         g = g.join(q, key).withColumn("prompt", fill_template(template, F.col("context"), F.col("query_text")))
-        done = complete(g, make_completer)
-        if persist:
-            done = persist_completions(done)
+        done = call(g, make_completer)
         error = F.coalesce("_below", "error")
         level = done.select(key, (F.col("_g") + 1).cast("int").alias("_o"),
                             F.when(error.isNull(), F.col("response")).alias("_t"), error.alias("_e"),

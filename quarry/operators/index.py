@@ -51,7 +51,7 @@ class TextIndex:
 def build_forward(nodes: DataFrame, cfg: RagConfig) -> DataFrame:
     """Per-node sorted distinct terms with counts, and the length. The only place where
     node text is tokenised; postings, vectors, df and stats come from it."""
-    ts = with_terms(nodes.select("node_id", "doc_id", "pos", "text"), "text", cfg.with_stemming)
+    ts = with_terms(nodes.select("node_id", "doc_id", "pos", "text"), "text", cfg.layout.stemming)
     return ts.select("node_id", "doc_id", "pos", F.col("_ts.terms").alias("terms"),
                      F.col("_ts.tfs").cast("array<int>").alias("tfs"),
                      F.aggregate("_ts.tfs", F.lit(0), lambda a, b: a + b).cast("int").alias("dl"))
@@ -59,7 +59,7 @@ def build_forward(nodes: DataFrame, cfg: RagConfig) -> DataFrame:
 
 def build_vectors(nodes: DataFrame, forward: DataFrame, cfg: RagConfig, embedder: Embedder) -> DataFrame:
     """Nodes without tokens keep a null vector; D1 skips them."""
-    if embedder.make_fn is None and embedder.with_stemming == cfg.with_stemming:
+    if embedder.make_fn is None and embedder.with_stemming == cfg.layout.stemming:
         terms = forward.withColumn("_ts", F.struct("terms", "tfs"))
         return terms.select("node_id", "doc_id", hashed_vector(F.col("_ts"), embedder.dim).alias("vector"))
     return embedder.embed(nodes.select("node_id", "doc_id", "text"), "text").select("node_id", "doc_id", "vector")

@@ -81,7 +81,7 @@ def build_blocks(forward: DataFrame, buckets: int) -> DataFrame:
 
 def block_node_id(cfg: RagConfig, doc_id: Column, pos: Column) -> Column:
     """B6 of a posting: nodes of the document chunker have the document's id."""
-    return doc_id.cast("string") if cfg.chunker == "document" else node_id(doc_id, pos)
+    return doc_id.cast("string") if cfg.chunking.kind == "document" else node_id(doc_id, pos)
 
 
 def expand_blocks(blocks: DataFrame, cfg: RagConfig, live_posting: Callable[[Column, Column], Column]) -> DataFrame:

@@ -62,7 +62,7 @@ def idf_expr(df_col="df", n=None):
 
 def query_term_idf(queries: DataFrame, index: TextIndex, text: str = "text", key: str = "query_id") -> DataFrame:
     """(query_id, term, df, idf) for query terms that occur in the corpus, written once."""
-    qt = query_terms(queries, text, index.cfg.with_stemming, key)
+    qt = query_terms(queries, text, index.cfg.layout.stemming, key)
     qidf = qt.join(index.df, "term").select(key, "term", "df", idf_expr("df", index.n_nodes()).alias("idf"))
     return settle(qidf, "query-terms")
 

@@ -22,32 +22,37 @@ from quarry.operators.dense import dense_top_k
 from quarry.operators.embed import default_pseudo_document, hyde_vectors
 from quarry.operators.fetch import hit_nodes
 from quarry.operators.fuse import hybrid_top_k
-from quarry.operators.generate import (QA_TEMPLATE, generation_only, make_extractive_completer, simple_summarize,
-                                       tree_summarize)
+from quarry.operators.generate import (QA_TEMPLATE, complete, generation_only, make_extractive_completer,
+                                       simple_summarize, tree_summarize, written_pseudo_documents)
 from quarry.operators.index import TextIndex
+from quarry.operators.ledger import Ledger
 from quarry.operators.pack import budget_context, build_context, replace_with_metadata, repack, source_node
 from quarry.operators.rerank import rerank
-from quarry.operators.route import classify_by_keyword_score
+from quarry.operators.route import classify_by_keyword_score, classify_with_model
 from quarry.operators.sparse import keyword_top_k
 from quarry.session import settle
 
 
-def query_vectors(queries: DataFrame, index: TextIndex, cfg: RagConfig) -> DataFrame:
-    """C2 (and C4 when ``with_hyde``): query vectors with the index's embedder."""
-    if cfg.with_hyde:
-        q = queries.withColumn("pseudo_doc", default_pseudo_document("text"))
+def query_vectors(queries: DataFrame, index: TextIndex, cfg: RagConfig, make_writer: Optional[Callable] = None,
+                  call: Callable = complete) -> DataFrame:
+    """C2 (and C4, if the config asks for it): query vectors with the index's embedder. ``make_writer``: a
+    completer that writes the hypothetical documents (F8); the default is a lexical stand-in."""
+    if cfg.search.pseudo_documents:
+        q = queries.withColumn("pseudo_doc", default_pseudo_document("text")) if make_writer is None \
+            else written_pseudo_documents(queries, make_writer, call)
         return hyde_vectors(q, index.embedder, "pseudo_doc", "text", include_original=True)
     return index.embedder.embed(queries, "text")
 
 
-def retrieve(queries: DataFrame, index: TextIndex, cfg: RagConfig) -> DataFrame:
+def retrieve(queries: DataFrame, index: TextIndex, cfg: RagConfig, make_writer: Optional[Callable] = None,
+             call: Callable = complete) -> DataFrame:
     """D8 (hybrid) or D1 (dense): (query_id, node_id, score, rank), top_k per query."""
-    qv = query_vectors(queries, index, cfg)
-    dense = dense_top_k(qv, index.vectors, cfg.top_k)
-    if not cfg.with_hybrid_search:
+    qv = query_vectors(queries, index, cfg, make_writer, call)
+    dense = dense_top_k(qv, index.vectors, cfg.search.dense)
+    if cfg.search.keyword is None:
         return dense
-    sparse = keyword_top_k(queries, index, cfg.sparse_top_k)
-    return hybrid_top_k(dense, sparse, cfg.top_k, cfg.hybrid_alpha, cfg.fusion_mode) \
+    sparse = keyword_top_k(queries, index, cfg.search.keyword)
+    return hybrid_top_k(dense, sparse, cfg.search.dense, cfg.search.keyword_weight, cfg.search.fusion) \
         .select("query_id", "node_id", "score", "rank")
 
 
@@ -55,10 +60,10 @@ def postprocess(hits: DataFrame, queries: DataFrame, index: TextIndex, cfg: RagC
                 make_scorer: Optional[Callable] = None):
     """E3 order: rerank on the node's own text (the sentence), then swap in
     the window (E2). Returns (ranked ids, nodes with replaced text)."""
-    if cfg.with_rerank:
-        hits = rerank(hits, queries, index, cfg.top_k_rerank, make_scorer, nodes=nodes)
+    if cfg.context.keep is not None:
+        hits = rerank(hits, queries, index, cfg.context.keep, make_scorer, nodes=nodes)
     ranked = hits.select("query_id", "node_id", "rank")
-    replaced = replace_with_metadata(ranked, nodes, cfg.replace_key) \
+    replaced = replace_with_metadata(ranked, nodes, cfg.context.metadata) \
         .select("query_id", "node_id", "rank", "text")
     return ranked, replaced
 
@@ -66,45 +71,54 @@ def postprocess(hits: DataFrame, queries: DataFrame, index: TextIndex, cfg: RagC
 ANSWER_FIELDS = ("response", "error", "prompt_tokens", "completion_tokens", "total_tokens")
 
 
-def generated_answer(queries: DataFrame, make_completer: Callable = make_extractive_completer) -> DataFrame:
+def generated_answer(queries: DataFrame, make_completer: Callable = make_extractive_completer,
+                     call: Callable = complete) -> DataFrame:
     """F7 in the columns of ``answer``: the sources are null."""
     none = F.lit(None).cast("string")
-    return generation_only(queries, make_completer).select(
+    return generation_only(queries, make_completer, call=call).select(
         "query_id", *ANSWER_FIELDS, none.alias("source_node_id"), none.alias("window"), none.alias("sentence"))
 
 
 def answer(queries: DataFrame, index: TextIndex, cfg: RagConfig,
            make_completer: Callable = make_extractive_completer,
-           make_scorer: Optional[Callable] = None) -> DataFrame:
+           make_scorer: Optional[Callable] = None, make_writer: Optional[Callable] = None,
+           ledger: Optional[Ledger] = None) -> DataFrame:
     """P1-P4 (by config): query_id, response, source node_id, window, sentence,
     prompt_tokens, completion_tokens, total_tokens, error. With the response mode
-    "generation" nothing is retrieved and the source columns are null."""
-    if cfg.response_mode == "generation":
-        return generated_answer(queries, make_completer)
-    hits = settle(retrieve(queries, index, cfg), "hits")  # top_k rows per query
+    "generation" nothing is retrieved and the source columns are null. With a ledger
+    every model call is written before it is used, and none is made twice."""
+    call = ledger.complete if ledger is not None else complete
+    if cfg.synthesis.mode == "generation":
+        return generated_answer(queries, make_completer, call)
+    hits = settle(retrieve(queries, index, cfg, make_writer, call), "hits")  # top_k rows per query
     nodes = hit_nodes(hits, index)  # the one scan of the node table; used three times below
     ranked, nodes_out = postprocess(hits, queries, index, cfg, nodes, make_scorer)
-    packed = repack(nodes_out, cfg.repack_order)
-    packed = budget_context(packed, queries, cfg.context_window, cfg.num_output, QA_TEMPLATE)
+    packed = repack(nodes_out, cfg.context.order)
+    packed = budget_context(packed, queries, cfg.context.limit, cfg.context.reserved, QA_TEMPLATE)
     src = source_node(ranked, nodes)
-    if cfg.response_mode == "tree_summarize":
-        k = cfg.top_k_rerank if cfg.with_rerank else cfg.top_k
-        tree = tree_summarize(packed, queries, k, cfg.tree_fan_in, make_completer)
+    if cfg.synthesis.mode == "tree_summarize":
+        k = cfg.context.keep or cfg.search.dense
+        tree = tree_summarize(packed, queries, k, cfg.synthesis.fan_in, make_completer, call=call)
         out = queries.select("query_id").join(tree, "query_id", "left").select("query_id", *ANSWER_FIELDS)
     else:
-        done = simple_summarize(build_context(packed), queries, make_completer)
+        done = simple_summarize(build_context(packed), queries, make_completer, call=call)
         out = done.select("query_id", *ANSWER_FIELDS)
     return out.join(src.withColumnRenamed("node_id", "source_node_id"), "query_id", "left")
 
 
 def routed_answer(queries: DataFrame, index: TextIndex, cfg: RagConfig,
                   make_completer: Callable = make_extractive_completer,
-                  make_scorer: Optional[Callable] = None) -> DataFrame:
+                  make_scorer: Optional[Callable] = None, make_classifier: Optional[Callable] = None,
+                  make_writer: Optional[Callable] = None, ledger: Optional[Ledger] = None) -> DataFrame:
     """P5 = G1 + G2 + G3: each query runs exactly one branch; sources only on
-    the RAG route (ind = 0). Output adds ``route``."""
-    routes = classify_by_keyword_score(queries, index, cfg.route_threshold)
+    the RAG route (ind = 0). Output adds ``route``. G1 is the supplied classifier,
+    or else the BM25 threshold; it is asked once, before the branches part."""
+    routes = classify_by_keyword_score(queries, index, cfg.synthesis.route_at) if make_classifier is None \
+        else classify_with_model(queries, make_classifier)
+    routes = settle(routes.select("query_id", "route"), "routes")
     rag_q = queries.join(routes.filter(F.col("route") == 0).select("query_id"), "query_id", "left_semi")
     gen_q = queries.join(routes.filter(F.col("route") == 1).select("query_id"), "query_id", "left_semi")
-    rag = answer(rag_q, index, cfg, make_completer, make_scorer).withColumn("route", F.lit(0))
-    gen = generated_answer(gen_q, make_completer).withColumn("route", F.lit(1))
+    rag = answer(rag_q, index, cfg, make_completer, make_scorer, make_writer, ledger).withColumn("route", F.lit(0))
+    call = ledger.complete if ledger is not None else complete
+    gen = generated_answer(gen_q, make_completer, call).withColumn("route", F.lit(1))
     return rag.unionByName(gen)

@@ -11,6 +11,7 @@ from quarry.operators.fetch import hit_nodes
 from quarry.operators.fuse import hybrid_top_k
 from quarry.operators.generate import (QA_TEMPLATE, QUERY_ONLY_TEMPLATE, complete, fill_template, generation_only,
                                        make_extractive_completer, tree_summarize, usage_report)
+from quarry.operators.ledger import Ledger
 from quarry.operators.messages import message_records, running_text
 from quarry.operators.pack import (budget_context, build_context, compress_context, replace_with_metadata, repack,
                                    source_node, template_token_count)
@@ -125,7 +126,7 @@ def e6_source(spark, sf):
 # --- F: prompts and generation ----------------------------------------------
 def _budget_ctes(src: str, cfg: RagConfig, template: str = QA_TEMPLATE) -> str:
     """F4 + F3 over a packed CTE (query_id, node_id, ord, text)."""
-    fixed = cfg.context_window - cfg.num_output - template_token_count(template)
+    fixed = cfg.context.limit - cfg.context.reserved - template_token_count(template)
     return f"""
 bud AS (SELECT p.query_id, p.node_id, p.ord, p.text, {fixed} - {S.space_count('q.text')} AS budget,
                sum({S.space_count('p.text')}) OVER (PARTITION BY p.query_id ORDER BY p.ord
@@ -152,8 +153,8 @@ def _answer_sql(hits: str, cfg: RagConfig, base) -> str:
 def _answer_parts(hits: str, cfg: RagConfig, base):
     """P1-P4 SQL: (optional rerank) -> window -> budget -> context -> prompt -> stub -> sources."""
     ctes = list(base)
-    if cfg.with_rerank:
-        ctes.append(S.rerank_ctes(hits, cfg.top_k_rerank))
+    if cfg.context.keep is not None:
+        ctes.append(S.rerank_ctes(hits, cfg.context.keep))
         ranked = "rr"
     else:
         ranked = hits
@@ -173,14 +174,14 @@ FROM gen g LEFT JOIN src s USING (query_id)""")
 
 DENSE = [S.index_ctes(), Q, S.dense_ctes(5)]
 P1 = DEFAULT_CFG
-P2 = DEFAULT_CFG.replace(with_rerank=False)
-P3 = DEFAULT_CFG.replace(with_hybrid_search=False)
-P4 = DEFAULT_CFG.replace(with_hybrid_search=False, with_rerank=False)
+P2 = DEFAULT_CFG.but(context={"keep": None})
+P3 = DEFAULT_CFG.but(search={"keyword": None})
+P4 = DEFAULT_CFG.but(search={"keyword": None}, context={"keep": None})
 
 
 def _plan(cfg):
     def run(spark, sf):
-        return answer(benchmark_queries(spark, sf), corpus_index(spark, sf, DEFAULT_CFG), cfg)
+        return answer(benchmark_queries(spark, sf), corpus_index(spark, sf, DEFAULT_CFG), cfg, ledger=Ledger.shared(spark))
 
     return run
 
@@ -198,7 +199,7 @@ def _packed_spark(spark, sf):
     rr = rerank(hits, q, idx, 2).select("query_id", "node_id", "rank")
     packed = repack(_windows(rr, idx).select("query_id", "node_id", "rank", "text"),
                     "forward")
-    return idx, q, budget_context(packed, q, P1.context_window, P1.num_output, QA_TEMPLATE)
+    return idx, q, budget_context(packed, q, P1.context.limit, P1.context.reserved, QA_TEMPLATE)
 
 
 _F_BASE = RERANKED + [f"""packed AS (SELECT r.query_id, r.node_id, r.rank AS ord, coalesce(n."window", n.text) AS text
@@ -226,7 +227,7 @@ def f3_context(spark, sf):
     return build_context(packed)
 
 
-_F4_CFG = DEFAULT_CFG.replace(context_window=400, num_output=100)
+_F4_CFG = DEFAULT_CFG.but(context={"limit": 400, "reserved": 100})
 _F4_BASE = HYBRID + [f"""packed AS (SELECT h.query_id, h.node_id, h.rank AS ord, coalesce(n."window", n.text) AS text
                          FROM hy h JOIN nodes n USING (node_id))""", _budget_ctes("packed", _F4_CFG)]
 
@@ -236,7 +237,7 @@ def f4_budget(spark, sf):
     idx, q, hits = _hybrid(spark, sf)
     packed = repack(_windows(hits.select("query_id", "node_id", "rank"), idx)
                     .select("query_id", "node_id", "rank", "text"), "forward")
-    kept = budget_context(packed, q, _F4_CFG.context_window, _F4_CFG.num_output, QA_TEMPLATE)
+    kept = budget_context(packed, q, _F4_CFG.context.limit, _F4_CFG.context.reserved, QA_TEMPLATE)
     return kept.select("query_id", "node_id", "ord", "text")
 
 
@@ -274,7 +275,7 @@ FROM benchmark"""
 @register("p_generation", _GENERATED)
 def p_generation(spark, sf):
     """Response mode "generation": the plan of P1-P4 without retrieval."""
-    return answer(benchmark_queries(spark, sf), corpus_index(spark, sf), P1.replace(response_mode="generation"))
+    return answer(benchmark_queries(spark, sf), corpus_index(spark, sf), P1.but(synthesis={"mode": "generation"}))
 
 
 @register("f7_generation", f"""
@@ -350,7 +351,7 @@ def f11_usage(spark, sf):
 
 
 # --- G: routing ---------------------------------------------------------------
-ROUTE_T = DEFAULT_CFG.route_threshold
+ROUTE_T = DEFAULT_CFG.synthesis.route_at
 _G1 = [S.index_ctes(), Q, S.bm25_ctes(1, name="top1"),
        f"""routes AS (SELECT q.query_id, t.score AS top_score,
                         CAST(CASE WHEN t.score IS NOT NULL AND t.score >= {S.d(ROUTE_T)} THEN 0 ELSE 1 END AS INTEGER) AS route
@@ -368,11 +369,11 @@ def g2_route_counts(spark, sf):
     return route_counts(r)
 
 
-def _p5_sql() -> str:
+def _p5_sql(*routes: str) -> str:
     # RAG branch = P1 restricted to the queries routed to 0 (each query's answer
     # depends only on the corpus, not on the other queries); direct branch = F7
     ctes, select = _answer_parts("hy", P1, HYBRID)
-    ctes = ctes + _G1[2:] + [f"rag AS ({select})"]
+    ctes = ctes + list(routes or _G1[2:]) + [f"rag AS ({select})"]
     prompt = S.fill_sql(QUERY_ONLY_TEMPLATE, None, 'q.text')
     return with_sql(*ctes, select=f"""
 SELECT rag.*, 0 AS route FROM rag JOIN routes r USING (query_id) WHERE r.route = 0
@@ -387,4 +388,17 @@ FROM q JOIN routes r USING (query_id) WHERE r.route = 1""")
 
 @register("p5_routed", _p5_sql())
 def p5_routed(spark, sf):
-    return routed_answer(benchmark_queries(spark, sf), corpus_index(spark, sf), DEFAULT_CFG)
+    return routed_answer(benchmark_queries(spark, sf), corpus_index(spark, sf), DEFAULT_CFG, ledger=Ledger.shared(spark))
+
+
+def make_length_classifier():
+    """Stub of a supplied classifier: queries of fewer than 25 whitespace tokens are answered directly."""
+    return lambda texts: [int(len(t.split()) < 25) for t in texts]
+
+
+@register("p5_routed_supplied", _p5_sql("routes AS (SELECT query_id, CAST(CASE WHEN "
+                                        f"{S.space_count('text')} < 25 THEN 1 ELSE 0 END AS INTEGER) AS route FROM q)"))
+def p5_routed_supplied(spark, sf):
+    """P5 with a supplied classifier in place of the BM25 threshold."""
+    return routed_answer(benchmark_queries(spark, sf), corpus_index(spark, sf), DEFAULT_CFG,
+                         make_classifier=make_length_classifier, ledger=Ledger.shared(spark))

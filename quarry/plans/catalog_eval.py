@@ -15,7 +15,7 @@ from quarry.operators.sparse import keyword_top_k
 from quarry.plans.registry import DEFAULT_CFG, corpus_index, register, with_sql
 from quarry.sources.tables import benchmark_queries, documents, read_table
 
-DOC_CFG = DEFAULT_CFG.replace(chunker="document")
+DOC_CFG = DEFAULT_CFG.but(chunking={"kind": "document"})
 Q = S.query_ctes()
 
 B3_NODES = """

@@ -16,15 +16,17 @@ from quarry.operators.embed import Embedder
 from quarry.operators.evaluate import hit_rate, hit_rows
 from quarry.operators.fetch import with_windows
 from quarry.operators.sparse import keyword_top_k
+from quarry.operators.ledger import Ledger
 from quarry.plans import catalog_eval as EV
+from quarry.plans import finetune as P6
 from quarry.plans.registry import DEFAULT_CFG, corpus_index, register, with_sql
 from quarry.session import shared_path
-from quarry.sources.index_store import load_index, upsert_index
+from quarry.sources.index_store import indexed_documents, load_index, upsert_index
 from quarry.sources.qa_json import read_qa_dataset, write_qa_dataset, write_report
 from quarry.sources.tables import benchmark_queries, documents
 from quarry.streaming.ingest import DOC_SCHEMA, stream_index, stream_nodes
 
-STEM_CFG = DEFAULT_CFG.replace(with_stemming=True)
+STEM_CFG = DEFAULT_CFG.but(layout={"stemming": True})
 
 
 def _stemmed(sql: str) -> str:
@@ -147,7 +149,7 @@ def a7_stream_index(spark, sf):
     stream is stopped in between. The index is that of the last version of every document."""
     run = _run_dir(spark, "stream-index")
     docs = documents(spark, sf)
-    cfg = DEFAULT_CFG.replace(index_partitions=4)
+    cfg = DEFAULT_CFG.but(layout={"partitions": 4})
     columns = [f.name for f in DOC_SCHEMA]
     again = docs.filter("doc_id % 7 = 1 OR doc_id % 5 = 2").withColumn(
         "text", F.when(F.col("doc_id") % 7 == 1, F.concat("text", F.lit(" One more sentence."))).otherwise(F.col("text")))
@@ -206,3 +208,94 @@ def p6_finetune_eval(spark, sf):
                                                                           "hit_rate")
         out = r if out is None else out.unionByName(r)
     return out
+
+
+# --- P6 over datasets on disk -----------------------------------------------------
+_B4 = f"""
+b4 AS ({S.sentence_pack_sql(512, 128)}),
+b4g AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) - 1 AS g FROM b4),
+b4s AS (SELECT *, CASE WHEN g < floor(2 * (SELECT count(*) FROM b4) / 3) THEN 'train' ELSE 'val' END AS split
+        FROM b4g WHERE g <> floor(2 * (SELECT count(*) FROM b4) / 3)),
+b4q AS (SELECT node_id || '-q0' AS query_id, node_id, split, array_to_string(regexp_extract_all(text, '\\S+')[1:8], ' ') AS text
+        FROM b4s WHERE len(regexp_extract_all(text, '\\S+')) > 0)"""
+
+
+def _searched(split: str) -> list[str]:
+    nodes = f"""nodes AS (SELECT node_id, doc_id, pos, text, CAST(NULL AS VARCHAR) AS "window" FROM b4s WHERE split = '{split}')"""
+    return [_B4, S.index_ctes(nodes_sql=nodes), S.query_ctes(f"(SELECT query_id, text FROM b4q WHERE split = '{split}')"),
+            S.dense_ctes(5)]
+
+
+def _p6_datasets(spark, sf):
+    nodes, _ = P6.load_corpus(documents(spark, sf), DEFAULT_CFG)
+    return P6.prepare(nodes, _run_dir(spark, "p6"), call=Ledger.shared(spark, "questions").complete)
+
+
+@register("p6_corpus_counts", with_sql(_B4, select="""
+SELECT (SELECT count(*) FROM documents) AS n_docs, count(*) AS n_nodes, count(DISTINCT doc_id) AS n_docs_with_nodes FROM b4"""))
+def p6_corpus_counts(spark, sf):
+    return P6.load_corpus(documents(spark, sf), DEFAULT_CFG)[1]
+
+
+@register("p6_triples", with_sql(*_searched("train"), """
+neg AS (SELECT d.query_id, d.node_id, CAST(row_number() OVER (PARTITION BY d.query_id ORDER BY d.rank, d.node_id) AS INTEGER) AS neg_rank
+        FROM dn d JOIN b4q r USING (query_id) WHERE d.node_id <> r.node_id)""", select="""
+SELECT n.query_id, r.node_id AS positive, n.node_id AS negative, n.neg_rank FROM neg n JOIN b4q r USING (query_id)
+WHERE n.neg_rank <= 3"""))
+def p6_triples(spark, sf):
+    """B4, H1, H2, H3, A3, A2, D1, H4 on the training split."""
+    return P6.triples(spark, _p6_datasets(spark, sf)["train"], Embedder())
+
+
+@register("v1_dataset_hits", with_sql(*_searched("val"), select="""
+SELECT x.query_id, coalesce(list_contains(r.ids, x.node_id), false) AS is_hit, coalesce(r.retrieved, '') AS retrieved,
+       x.node_id AS expected
+FROM b4q x LEFT JOIN (SELECT query_id, list(node_id ORDER BY rank) AS ids, string_agg(node_id, ',' ORDER BY rank) AS retrieved
+                      FROM dn GROUP BY query_id) r USING (query_id)
+WHERE x.split = 'val'"""))
+def v1_dataset_hits(spark, sf):
+    """evaluate(dataset, embedder, k) of the validation dataset, read from disk: its rows."""
+    return P6.evaluate(spark, _p6_datasets(spark, sf)["val"], Embedder(), 5)[0]
+
+
+@register("p6_report")
+def p6_report(spark, sf):
+    return P6.report(spark, documents(spark, sf), _run_dir(spark, "p6"), DEFAULT_CFG, call=Ledger.shared(spark, "questions").complete)
+
+
+# --- A4, A5, C5: an index written, then loaded ----------------------------------------
+@register("a4_a5_persisted", with_sql(S.index_ctes(), """
+terms AS (SELECT node_id, string_agg(term || ':' || CAST(tf AS VARCHAR), ' ' ORDER BY term) AS v FROM postings GROUP BY node_id)""",
+                                      select="""
+SELECT 'node' AS kind, node_id AS id, text AS value FROM nodes
+UNION ALL SELECT 'forward', node_id, coalesce(v, '') || '|' || CAST(dl AS VARCHAR) FROM node_dl LEFT JOIN terms USING (node_id)
+UNION ALL SELECT 'vector', node_id, CAST(count(*) AS VARCHAR) FROM node_bk GROUP BY node_id
+UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR), md5(text) FROM documents"""))
+def a4_a5_persisted(spark, sf):
+    """The tables of an index as a later reader finds them."""
+    path = shared_path(spark, "quarry-runs", "a4", uuid.uuid4().hex[:10])
+    upsert_index(spark, documents(spark, sf), path, DEFAULT_CFG)
+    idx = load_index(spark, path, DEFAULT_CFG)
+
+    def rows(df, kind, key, value):
+        return df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), value.alias("value"))
+
+    pairs = F.transform(F.arrays_zip("terms", "tfs"), lambda p: F.concat(p["terms"], F.lit(":"), p["tfs"].cast("string")))
+    out = rows(idx.nodes, "node", "node_id", F.col("text"))
+    out = out.unionByName(rows(idx.forward, "forward", "node_id",
+                               F.concat(F.array_join(pairs, " "), F.lit("|"), F.col("dl").cast("string"))))
+    nonzero = F.size(F.filter("vector", lambda x: x > 0)).cast("string")
+    out = out.unionByName(rows(idx.vectors.filter("vector IS NOT NULL"), "vector", "node_id", nonzero))
+    return out.unionByName(rows(indexed_documents(spark, path), "document", "doc_id", F.col("fingerprint")))
+
+
+@register("c5_both_halves", with_sql(S.index_ctes(), select="""
+SELECT l.node_id, CAST(l.dl AS INTEGER) AS dl, CAST(p.n AS INTEGER) AS n_terms, CAST(b.n AS INTEGER) AS n_buckets
+FROM node_dl l JOIN (SELECT node_id, count(*) AS n FROM postings GROUP BY node_id) p USING (node_id)
+JOIN (SELECT node_id, count(*) AS n FROM node_bk GROUP BY node_id) b USING (node_id)"""))
+def c5_both_halves(spark, sf):
+    """For each node with tokens: what the keyword half and the dense half hold of it."""
+    idx = corpus_index(spark, sf)
+    keyword = idx.postings.groupBy("node_id").agg(F.max("dl").alias("dl"), F.count("*").cast("int").alias("n_terms"))
+    dense = idx.vectors.select("node_id", F.size(F.filter("vector", lambda x: x > 0)).alias("n_buckets"))
+    return keyword.join(dense, "node_id").select("node_id", "dl", "n_terms", "n_buckets")

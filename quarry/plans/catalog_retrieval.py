@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.checks import duckdb_sql as S
 from quarry.operators import chunk as C
-from quarry.operators.dense import approx_dense_top_k, dense_top_k
+from quarry.operators.approx import BUCKET, LEAST_BITS, MOST_BITS, TABLES, approx_dense_top_k
+from quarry.operators.dense import dense_top_k
 from quarry.operators.embed import Embedder, default_pseudo_document, hyde_vectors
 from quarry.operators.fuse import fuse, hybrid_top_k, min_max
-from quarry.operators.sparse import keyword_top_k
+from quarry.operators.generate import make_first_tokens_questioner, written_pseudo_documents
+from quarry.operators.ledger import Ledger
+from quarry.operators.sparse import keyword_top_k, query_term_idf, selective_bm25_top_k
 from quarry.plans.registry import DEFAULT_CFG, corpus_index, register, with_sql
 from quarry.sources.tables import benchmark_queries, documents, read_table
 
@@ -64,7 +68,7 @@ st AS (SELECT doc_id, unnest(generate_series(0, greatest(len(toks) - 32 - 1, 0),
        FROM t WHERE len(toks) > 0)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_nodes FROM st GROUP BY doc_id""")
 def b5_chunker_choice(spark, sf):
-    cfg = DEFAULT_CFG.replace(chunker="token", chunk_size=128, chunk_overlap=32)
+    cfg = DEFAULT_CFG.but(chunking={"kind": "token", "size": 128, "overlap": 32})
     return C.chunk(documents(spark, sf), cfg).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
@@ -133,6 +137,19 @@ def c4_hyde_dense(spark, sf):
     return dense_top_k(qv, idx.vectors, 5)
 
 
+_WRITTEN = _HYDE.replace("FROM q_terms GROUP BY", f"""FROM (SELECT query_id, unnest({S.words_sql("array_to_string(regexp_extract_all(text, '\\S+')[1:5], ' ')")})
+               AS term FROM q) GROUP BY""")
+
+
+@register("c4_hyde_written", with_sql(S.index_ctes(), Q, _WRITTEN, S.dense_ctes(5, prefix="mx"), select="SELECT * FROM dn"))
+def c4_hyde_written(spark, sf):
+    """HyDE with a writer called through F8 (the stub writes the query's first five tokens)."""
+    idx = corpus_index(spark, sf)
+    q = written_pseudo_documents(benchmark_queries(spark, sf), lambda: make_first_tokens_questioner(5),
+                                 Ledger.shared(spark, "hyde").complete)
+    return dense_top_k(hyde_vectors(q, idx.embedder, "pseudo_doc", "text", include_original=True), idx.vectors, 5)
+
+
 # --- D: retrieval -----------------------------------------------------------
 @register("d1_dense_embeddings", """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -154,12 +171,28 @@ def d1_dense_text(spark, sf):
     return dense_top_k(idx.embedder.embed(benchmark_queries(spark, sf), "text"), idx.vectors, 5)
 
 
-@register("d1a_dense_lsh")
+@register("d1a_dense_lsh", f"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+nb AS (SELECT least({MOST_BITS}, greatest({LEAST_BITS}, ceil(log2(count(*) / {BUCKET}::DOUBLE))))::INT AS bits,
+              max(len(v))::INT AS dim FROM e),
+cell AS (SELECT t, b, d, ('0x' || substr(md5(t || '-' || b || '-' || d), 1, 8))::BIGINT / 4294967296::DOUBLE - 0.5::DOUBLE AS x
+         FROM range({TABLES}) r(t), range({MOST_BITS}) s(b), range((SELECT dim FROM nb)) u(d) WHERE b < (SELECT bits FROM nb)),
+wall AS (SELECT t, b, list(x ORDER BY d) AS w FROM cell GROUP BY t, b),
+sig AS (SELECT vec_id, t, sum(CASE WHEN list_dot_product(v, w) >= 0 THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS s
+        FROM e, wall GROUP BY vec_id, t),
+flip AS (SELECT 0::BIGINT AS f UNION ALL SELECT 1::BIGINT << b FROM range({MOST_BITS}) s(b) WHERE b < (SELECT bits FROM nb)),
+pair AS (SELECT DISTINCT a.vec_id AS q, c.vec_id AS c
+         FROM (SELECT vec_id, t, xor(s, f) AS s FROM sig, flip) a JOIN sig c ON a.t = c.t AND a.s = c.s AND a.vec_id <> c.vec_id),
+sc AS (SELECT q AS query_id, c AS vec_id, round(list_cosine_similarity(x.v, y.v), 6) AS score
+       FROM pair JOIN e x ON x.vec_id = q JOIN e y ON y.vec_id = c)
+SELECT * FROM (SELECT query_id, vec_id, score,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id ASC) AS INTEGER) AS rank FROM sc)
+WHERE rank <= 5""")
 def d1a_dense_lsh(spark, sf):
     e = read_table(spark, sf, "embeddings")
     q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     c = e.select("vec_id", F.col("embedding").alias("vector"))
-    return approx_dense_top_k(q, c, 5, key="query_id", id_col="vec_id")
+    return approx_dense_top_k(q, c, 5, key="query_id", id_col="vec_id", exclude_self=True)
 
 
 @register("d2_bm25", with_sql(S.index_ctes(), Q, S.bm25_ctes(12), select="SELECT * FROM bm"))
@@ -167,6 +200,22 @@ def d2_bm25(spark, sf):
     return keyword_top_k(benchmark_queries(spark, sf), corpus_index(spark, sf), 12)
 
 
+_RARE = """(SELECT query_id, string_agg(term, ' ' ORDER BY term) AS text
+    FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY df, term) AS r
+          FROM (SELECT DISTINCT item_id AS query_id, unnest({words}) AS term FROM benchmark) JOIN dfreq USING (term))
+    WHERE r <= 2 GROUP BY query_id)""".format(words=S.words_sql("text"))
+
+
+@register("d2_bm25_selective", with_sql(S.index_ctes(), S.query_ctes(_RARE), S.bm25_ctes(12), select="SELECT * FROM bm"))
+def d2_bm25_selective(spark, sf):
+    """Keyword queries (the two rarest terms of each item) by the postings alone."""
+    idx = corpus_index(spark, sf)
+    place = Window.partitionBy("query_id").orderBy("df", "term")
+    rare = query_term_idf(benchmark_queries(spark, sf), idx).withColumn("r", F.row_number().over(place)).filter("r <= 2")
+    q = rare.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list("term")), " ").alias("text"))
+    return selective_bm25_top_k(q, idx, 12)
+
+
 @register("d4_minmax", with_sql(S.index_ctes(), Q, S.bm25_ctes(12), S.minmax_cte("bm", "mm"),
                                 select="SELECT query_id, node_id, round(norm, 6) AS norm FROM mm"))
 def d4_minmax(spark, sf):

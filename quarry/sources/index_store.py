@@ -204,7 +204,12 @@ def load_index(spark: SparkSession, path: str, cfg: RagConfig, embedder: Embedde
         postings=expand_blocks(blocks, cfg, live_posting).drop("v"), blocks=blocks, live_posting=live_posting,
         df=_read(spark, path, "df", DF_SCHEMA, [manifest.version]),
         stats=_read(spark, path, "stats", STATS_SCHEMA, [manifest.version]),
-        cfg=cfg, embedder=embedder or Embedder(dim=cfg.hash_dim), parts=manifest.parts, buckets=manifest.buckets)
+        cfg=cfg, embedder=embedder or Embedder(dim=cfg.layout.dim), parts=manifest.parts, buckets=manifest.buckets)
+
+
+def indexed_documents(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, fingerprint of the documents that the index holds."""
+    return _live(spark, path, "docs", read_manifest(spark, path)).select("doc_id", "fingerprint")
 
 
 WRITE_SALT = 64
@@ -270,7 +275,7 @@ def _write_aggregates(spark: SparkSession, path: str, v: int, forward: DataFrame
 
 
 def _parts_wanted(docs: DataFrame, cfg: RagConfig) -> int:
-    return cfg.index_partitions if cfg.index_partitions > 0 else choose_parts(docs)
+    return cfg.layout.partitions if cfg.layout.partitions > 0 else choose_parts(docs)
 
 
 def _same(*columns: str) -> Column:
@@ -294,14 +299,14 @@ def upsert_index(spark: SparkSession, docs: DataFrame, path: str, cfg: RagConfig
     to note in the manifest. Returns counts: {"changed": documents (re)indexed, "removed":
     documents dropped, "touched_parts": partitions written}.
     """
-    embedder = embedder or Embedder(dim=cfg.hash_dim)
+    embedder = embedder or Embedder(dim=cfg.layout.dim)
     have = read_manifest(spark, path) if committed(spark, path) else None
-    want = cfg.index_partitions if cfg.index_partitions > 0 else choose_parts(docs)
-    if have is None or (whole and cfg.index_partitions <= 0 and want >= REGROW * have.parts):
+    want = cfg.layout.partitions if cfg.layout.partitions > 0 else choose_parts(docs)
+    if have is None or (whole and cfg.layout.partitions <= 0 and want >= REGROW * have.parts):
         return _build(spark, docs, path, cfg, embedder, want, have, batch)
     p, v = have.parts, have.version + 1
     current = docs.select("doc_id", "text").withColumn("fingerprint", fingerprint("text"))
-    known = _live(spark, path, "docs", have).select("doc_id", "fingerprint")
+    known = indexed_documents(spark, path)
     differ = _without(current, known, "doc_id", "fingerprint").select("doc_id")
     if whole:
         differ = differ.unionByName(_without(known, current, "doc_id", "fingerprint").select("doc_id"))

@@ -74,4 +74,4 @@ def test_chunker_choice_rejects_bad_overlap():
     from quarry.config import RagConfig
 
     with pytest.raises(ValueError):
-        RagConfig(chunk_size=10, chunk_overlap=10)
+        RagConfig().but(chunking={"size": 10, "overlap": 10})

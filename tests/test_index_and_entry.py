@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 def test_incremental_index_second_run_adds_nothing(spark, scratch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     path = f"{scratch}/idx-{uuid.uuid4().hex[:6]}"
-    cfg = RagConfig(index_partitions=4)
+    cfg = RagConfig().but(layout={"partitions": 4})
     first = upsert_index(spark, docs, path, cfg)
     before = load_index(spark, path, cfg).postings.count()
     again = upsert_index(spark, docs, path, cfg)
@@ -28,7 +28,7 @@ def test_incremental_index_second_run_adds_nothing(spark, scratch):
 
 
 def test_removed_and_emptied_documents_leave_the_index(spark, scratch):
-    cfg = RagConfig(index_partitions=16)
+    cfg = RagConfig().but(layout={"partitions": 16})
     path = f"{scratch}/idx-{uuid.uuid4().hex[:6]}"
     rows = [(i, f"First of {i}. Second of {i}.") for i in range(5)]
     make = lambda r: spark.createDataFrame(r, "doc_id long, text string")
@@ -52,7 +52,7 @@ def test_index_without_its_tables_or_mark(spark, scratch):
     from quarry.session import delete_path
     from quarry.sources.index_store import committed, ensure_index
 
-    cfg = RagConfig(index_partitions=2)
+    cfg = RagConfig().but(layout={"partitions": 2})
     path = f"{scratch}/idx-{uuid.uuid4().hex[:6]}"
     docs = spark.createDataFrame([(1, "One sentence."), (2, "Another one.")], "doc_id long, text string")
     ensure_index(spark, docs, "t", cfg, path=path)
@@ -83,7 +83,7 @@ def test_routed_answer_each_query_once(spark):
 
     idx = corpus_index(spark, SF)
     q = benchmark_queries(spark, SF)
-    routes = {r.query_id: r.route for r in classify_by_keyword_score(q, idx, DEFAULT_CFG.route_threshold).collect()}
+    routes = {r.query_id: r.route for r in classify_by_keyword_score(q, idx, DEFAULT_CFG.synthesis.route_at).collect()}
     out = routed_answer(q, idx, DEFAULT_CFG).collect()
     assert sorted(r.query_id for r in out) == sorted(routes)  # every query exactly once
     for r in out:

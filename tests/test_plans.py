@@ -25,7 +25,7 @@ def test_b2_has_no_exchange(spark):
 
 def test_bm25_scores_nodes_in_place(spark, scratch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    idx = ensure_index(spark, docs, "p", RagConfig(index_partitions=2), path=f"{scratch}/{uuid.uuid4().hex[:6]}")
+    idx = ensure_index(spark, docs, "p", RagConfig().but(layout={"partitions": 2}), path=f"{scratch}/{uuid.uuid4().hex[:6]}")
     q = spark.read.parquet(f"{SF}/benchmark.parquet").withColumnRenamed("item_id", "query_id")
     p = plan(bm25_top_k(q, idx, 12))
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p

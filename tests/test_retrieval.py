@@ -118,7 +118,7 @@ def test_bm25_in_place_equals_grouped_postings(spark, scratch, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     q = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
     q = q.union(spark.createDataFrame([(900, "the of and to"), (901, "nosuchword"), (902, "")], q.schema))
-    idx = ensure_index(spark, docs, "t", RagConfig(index_partitions=2), path=f"{scratch}/bm")
+    idx = ensure_index(spark, docs, "t", RagConfig().but(layout={"partitions": 2}), path=f"{scratch}/bm")
     qidf = sparse.query_term_idf(q, idx)
     s = idx.stats.first()
     weight = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / s.avgdl))
@@ -126,7 +126,7 @@ def test_bm25_in_place_equals_grouped_postings(spark, scratch, monkeypatch):
         round_score(F.sum(F.col("idf") * weight)).alias("score"))
     want = sorted(map(tuple, top_k(pairs, ["query_id"], 7).collect()))
     assert sorted(map(tuple, sparse.bm25_top_k(q, idx, 7).collect())) == want
-    monkeypatch.setattr(sparse, "PACK", 100)
+    monkeypatch.setattr(sparse, "PACK_TERMS", 700)
     monkeypatch.setattr(sparse, "QUERY_PACK", 9)
     monkeypatch.setattr(dense, "HELD", 2)
     assert sorted(map(tuple, sparse.bm25_top_k(q, idx, 7).collect())) == want
@@ -134,7 +134,7 @@ def test_bm25_in_place_equals_grouped_postings(spark, scratch, monkeypatch):
 
 
 def test_lsh_scores_exact_and_recall(spark):
-    from quarry.operators.dense import approx_dense_top_k
+    from quarry.operators.approx import approx_dense_top_k
 
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -150,3 +150,48 @@ def test_lsh_scores_exact_and_recall(spark):
         assert abs(full[(r.query_id, r.vec_id)] - r.score) < 1e-6
     recall = len({(r.query_id, r.vec_id) for r in ap} & set(ex)) / len(ex)
     assert recall >= 0.3
+
+
+def clustered(n_clusters, size, dim=32, seed=4):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n_clusters, dim))
+    points = np.repeat(centres, size, axis=0) + 0.25 * rng.standard_normal((n_clusters * size, dim))
+    return [(i, [float(x) for x in v]) for i, v in enumerate(points)]
+
+
+def test_signatures_find_clustered_neighbours(spark, monkeypatch):
+    from quarry.operators import approx
+
+    rows = clustered(60, 20)
+    rows += [(5000 + i, rows[3][1]) for i in range(400)] + [(9000, None), (9001, [0.0] * 32)]  # a hot vector
+    c = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(5)
+    q = c.withColumnRenamed("vec_id", "query_id")
+    exact = {(r.query_id, r.vec_id): r.score for r in dense_top_k(q, c, 8, id_col="vec_id", exclude_self=True).collect()}
+    found = {}
+    for hot in (4096, 6):  # signatures in one piece, and cut into many
+        monkeypatch.setattr(approx, "HOT", hot)
+        found[hot] = {tuple(r) for r in approx.approx_dense_top_k(q, c, 8, id_col="vec_id", exclude_self=True).collect()}
+    assert found[4096] == found[6]
+    got = {(r[0], r[1]): r[2] for r in found[6]}
+    assert all(a != b for a, b in got) and all(abs(exact.get(p, s) - s) < 1e-6 for p, s in got.items())
+    recall = len(got.keys() & exact.keys()) / len(exact)
+    signed = approx._signed(c, "vec_id", "vector", 11, 32)
+    classes = approx._classes(signed)
+    share = approx.candidates(classes, classes, 11).count() / classes.count() ** 2
+    assert recall >= 0.95 and share <= 0.1, (recall, share)
+    copies = [r for r in found[6] if r[0] == 5007]  # ties go to the smaller ids, the own one left out
+    assert [r[1] for r in sorted(copies, key=lambda r: r[3])] == [3, 5000, 5001, 5002, 5003, 5004, 5005, 5006]
+
+
+def test_signatures_of_small_inputs(spark):
+    from quarry.operators.approx import approx_dense_top_k
+
+    schema = "vec_id long, vector array<double>"
+    none = spark.createDataFrame([], schema)
+    one = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 4.0])], schema)
+    ask = lambda df: df.withColumnRenamed("vec_id", "query_id")
+    assert approx_dense_top_k(ask(none), none, 3, id_col="vec_id").count() == 0
+    got = approx_dense_top_k(ask(one), one, 3, id_col="vec_id", exclude_self=True).collect()
+    assert sorted((r.query_id, r.vec_id, r.score, r["rank"]) for r in got) == [(1, 2, 1.0, 1), (2, 1, 1.0, 1)]
