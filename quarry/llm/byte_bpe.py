@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding with the ranks of a public tokenizer.
 
 Texts are split by the tokenizer's pattern and dictionary-encoded in blocks of about
-``BLOCK`` bytes: a block's row holds its documents' lengths, the distinct words of the block
-once, and a small code for each occurrence. Only the blocks' distinct words are shuffled.
-Each distinct word of the whole table is then encoded once, by Spark's higher-order
-functions: its bytes are an array of one-byte tokens, and a fold merges, step by step, the
-leftmost adjacent pair of the lowest rank; the ranks are a literal map. The ids go back to
-the blocks that hold the word, where they are put in the places of the codes. Decoding maps
-ids to their binary pieces and concatenates them.
+``BLOCK`` bytes: a block's row holds its documents' lengths, a code for each occurrence, and
+its distinct words once, packed by hash bucket. Only these packs are shuffled. A bucket brings
+the blocks' words together and each distinct word of the table is encoded once, by Spark's
+higher-order functions: its bytes are an array of one-byte tokens, and a fold merges, step by
+step, the leftmost adjacent pair of the lowest rank; the ranks are a literal map. The ids go
+back to the blocks that hold the word, where they are put in the places of the codes. Decoding
+maps ids to their binary pieces and concatenates them. The number of buckets follows the
+table's size; a common word is one entry of each block, however often it occurs.
 
 The literal map is keyed by pairs of tokens: every cut of a token into two tokens, so that a
 pair is found exactly if its bytes are a token. It is an array of short lists, chosen by the
@@ -28,6 +29,8 @@ import base64
 import functools
 import heapq
 import json
+import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +38,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import partitions, prepare, write_table
+from quarry.llm.common import partitions, prepare
+from quarry.session import shared_path
 
-#: Bytes of text in a block, bytes of a word that the fold takes, lists that the rank map is cut into (a prime).
-BLOCK, LONGEST_FOLD, SHARDS = 16 << 20, 1024, 16381
+#: Bytes of text in a block, bytes of input for each bucket, words put together at a time, bytes of a word that the fold
+#: takes, lists that the rank map is cut into (a prime).
+BLOCK, BUCKET, PIECE, LONGEST_FOLD, SHARDS = 16 << 20, 4 << 20, 1 << 19, 1024, 65521
 
-_BLOCKS = "block long, ids array<long>, lengths array<int>, wide boolean, codes binary, words array<string>"
+_BLOCKS = ("block long, ids array<long>, lengths array<int>, codes binary, homes binary, "
+           "packs array<struct<bucket:int,words:binary>>")
+_BUCKETS = "words array<string>, uses array<struct<block:long,bucket:int,ids:binary>>"
+_TOKENS = "home long, bucket int, counts binary, flat binary"
 _DONE = "doc_id long, n_tokens long, ids array<int>, packed binary"
 
 
@@ -90,8 +98,8 @@ def _class(chars: set[str]) -> str:
     return "".join(out)
 
 
-def _pack(pattern: str):
-    """Blocks of dictionary-encoded words."""
+def _pack(pattern: str, buckets: int):
+    """Blocks of dictionary-encoded words, the words packed by bucket."""
     usual, differing, exact = splitter(pattern)
 
     def run(batches):
@@ -102,12 +110,21 @@ def _pack(pattern: str):
         ids, codes, lengths, known, size = [], [], [], {}, 0
 
         def block():
-            flat, wide = np.concatenate(codes), len(known) > 65536
+            flat = np.concatenate(codes)
+            often = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")  # small codes for common words
+            code = np.empty(len(known), np.uint32)
+            code[often] = np.arange(len(known))
+            words = np.array([*known, None], dtype=object)[often]
+            homes = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.uint32, len(known))
+            order = np.argsort(homes, kind="stable")
+            used, starts = np.unique(homes[order], return_index=True)
+            packs = [{"bucket": int(b), "words": _crush(json.dumps(w.tolist()))}
+                     for b, w in zip(used, np.split(words[order], starts[1:]))]
             return pa.RecordBatch.from_arrays(
                 [pa.array([(part << 32) + seq]), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())),
-                 pa.array([wide]), pa.array([flat.astype(np.uint32 if wide else np.uint16).tobytes()], pa.binary()),
-                 pa.array([list(known)], pa.list_(pa.string()))],
-                names=["block", "ids", "lengths", "wide", "codes", "words"])
+                 pa.array([_squeeze(code[flat])], pa.binary()), pa.array([_squeeze(homes)], pa.binary()),
+                 pa.array([packs], pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())])))],
+                names=["block", "ids", "lengths", "codes", "homes", "packs"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -126,6 +143,72 @@ def _pack(pattern: str):
     return run
 
 
+def _crush(text: str) -> bytes:
+    data = text.encode()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+
+
+def _uncrush(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    return pa.Codec("zstd", 3).compress(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+
+
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, compressed, as they are written and shuffled: a byte for each (255: 255
+    or more), then the byte planes of what is left of the large ones."""
+    first = np.minimum(numbers, 255).astype(np.uint8)
+    large = numbers[first == 255].astype(np.uint32) - np.uint32(255)
+    head = pa.Codec("zstd", 3).compress(first.tobytes(), asbytes=True)
+    return b"".join([*(x.to_bytes(8, "little") for x in (len(first), len(head), len(large))), head, _planes(large)])
+
+
+def _spread(data: bytes) -> np.ndarray:
+    n, size, m = (int.from_bytes(data[i:i + 8], "little") for i in (0, 8, 16))
+    codec = pa.Codec("zstd")
+    first = np.frombuffer(codec.decompress(data[24:24 + size], n, asbytes=True), np.uint8)
+    planes = np.frombuffer(codec.decompress(data[24 + size:], 4 * m, asbytes=True), np.uint8)
+    numbers = first.astype(np.uint32)
+    numbers[first == 255] += np.ascontiguousarray(planes.reshape(4, m).T).view(np.uint32).ravel()
+    return numbers
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """A bucket's distinct words, and for each block's pack the places of its words among them."""
+    known: dict[str, int] = {}
+    uses = []
+    for row in table.to_pylist():
+        words = json.loads(_uncrush(row["words"]))
+        places = np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words))
+        uses.append({"block": row["block"], "bucket": row["bucket"], "ids": _squeeze(places)})
+    use = pa.struct([("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary())])
+    return pa.table([pa.array([list(known)], pa.list_(pa.string())), pa.array([uses], pa.list_(use))], names=["words", "uses"])
+
+
+def _return(ranks: dict[bytes, int]):
+    """Each pack's tokens, for its block: how many for each word, and the ids one after the other."""
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                lists = batch.column("tokens")[row].values
+                long_words = batch.column("long_words")[row].as_py()
+                if long_words:  # in the places that the fold left out
+                    ids = lists.to_pylist()
+                    for place, word in zip(np.flatnonzero(lists.is_null()), long_words):
+                        ids[place] = merge_by_heap(word.encode(), ranks)
+                    lists = pa.array(ids, pa.list_(pa.int32()))
+                for use in batch.column("uses")[row].as_py():
+                    mine = lists.take(pa.array(_spread(use["ids"])))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([use["block"]]), pa.array([use["bucket"]], pa.int32()),
+                         pa.array([_squeeze(mine.value_lengths().to_numpy())], pa.binary()),
+                         pa.array([_squeeze(mine.flatten().to_numpy())], pa.binary())], names=["home", "bucket", "counts", "flat"])
+
+    return run
+
+
 def _let(value: Column, body) -> Column:
     """body(value), the value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -138,57 +221,53 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal: ranks of pairs, sharded by the pair's key, and the ids of the 256 bytes."""
-    shards = [{"pairs": [], "ranks": []} for _ in range(SHARDS)]
+    """The literal: pairs and their ranks, sharded by the pair's key; the ids of the 256 bytes and the ranks of
+    two bytes (at 256 * first + second)."""
+    shards: list[tuple[list, list]] = [([], []) for _ in range(SHARDS)]
     for (left, right), rank in pair_ranks(ranks).items():
         key = (left << 32) + right
-        shards[key % SHARDS]["pairs"].append(key)
-        shards[key % SHARDS]["ranks"].append(rank)
-    literal = {"shards": shards, "bytes": [ranks[bytes([b])] for b in range(256)]}
+        shards[key % SHARDS][0].append(key)
+        shards[key % SHARDS][1].append(rank)
+    literal = {"pairs": [s[0] for s in shards], "ranks": [s[1] for s in shards], "bytes": [ranks[bytes([b])] for b in range(256)],
+               "two": [ranks.get(bytes([a, b])) for a in range(256) for b in range(256)]}
     return F.from_json(F.lit(json.dumps(literal, separators=(",", ":"))),
-                       "shards array<struct<pairs:array<bigint>,ranks:array<int>>>, bytes array<int>")
+                       "pairs array<array<bigint>>, ranks array<array<int>>, bytes array<int>, two array<int>")
 
 
 def pair_rank(table: Column, left: Column, right: Column) -> Column:
     """Null where the pair's bytes are no token, or one of the two is null."""
-    def found(key: Column) -> Column:
-        return _let(F.get(table["shards"], F.pmod(key, F.lit(SHARDS)).cast("int")),
-                    lambda s: F.get(s["ranks"], (F.array_position(s["pairs"], key) - 1).cast("int")))
-
-    return _let(F.shiftleft(left.cast("long"), 32) + right, found)
+    key = F.shiftleft(left.cast("long"), 32) + right
+    shard = F.pmod(key, F.lit(SHARDS)).cast("int")
+    return F.get(F.get(table["ranks"], shard), (F.array_position(F.get(table["pairs"], shard), key) - 1).cast("int"))
 
 
-def encode_words(word_bytes: Column, table: Column) -> Column:
+def encode_word(word: Column, table: Column) -> Column:
     """array<int>: the fold of ranked merges over the word's bytes.
 
     The state holds the tokens and, for each, the rank of the pair it starts; both begin with
     a place that pairs with nothing, so that every merge has a neighbour to its left."""
     none, rest = F.lit(-1), F.lit(2 ** 30)
 
-    def fold(table: Column) -> Column:
-        def merged(state: Column, at: Column, rank: Column) -> Column:
-            tokens, ranks = state["tokens"], state["ranks"]
-            return F.struct(
-                F.concat(F.slice(tokens, 1, at - 1), F.array(rank), F.slice(tokens, at + 2, rest)).alias("tokens"),
-                F.concat(F.slice(ranks, 1, at - 2), F.array(pair_rank(table, F.get(tokens, at - 2), rank),
-                                                            pair_rank(table, rank, F.get(tokens, at + 1))),
-                         F.slice(ranks, at + 2, rest)).alias("ranks"))
+    def step(state: Column, _turn: Column) -> Column:
+        tokens, ranks = state["tokens"], state["ranks"]
+        least = F.array_min(ranks)
 
-        def step(state: Column, _turn: Column) -> Column:
-            least = F.array_min(state["ranks"])
-            return F.when(least.isNull(), state).otherwise(
-                _let(F.array_position(state["ranks"], least).cast("int"), lambda at: merged(state, at, least)))
+        def merged(at: Column) -> Column:
+            beside = F.array(pair_rank(table, F.get(tokens, at - 2), least), pair_rank(table, least, F.get(tokens, at + 1)))
+            return F.struct(F.concat(F.slice(tokens, 1, at - 1), F.array(least), F.slice(tokens, at + 2, rest)).alias("tokens"),
+                            F.concat(F.slice(ranks, 1, at - 2), beside, F.slice(ranks, at + 2, rest)).alias("ranks"))
 
-        def run(tokens: Column) -> Column:
-            ranks = F.transform(F.sequence(F.lit(0), F.size(tokens) - 1),
-                                lambda i: pair_rank(table, F.get(tokens, i), F.get(tokens, i + 1)))
-            turns = F.slice(tokens, 3, rest)  # as many merges as there can be
-            return F.aggregate(turns, F.struct(tokens.alias("tokens"), ranks.alias("ranks")), step,
-                               lambda s: F.slice(s["tokens"], 2, rest))
+        return F.when(least.isNull(), state).otherwise(_let(F.array_position(ranks, least).cast("int"), merged))
 
-        return _let(F.concat(F.array(none), F.transform(bytes_of(word_bytes), lambda b: F.get(table["bytes"], b))), run)
+    def fold(data: Column) -> Column:
+        tokens = F.concat(F.array(none), F.transform(data, lambda b: F.get(table["bytes"], b)))
+        ranks = F.concat(F.array(F.lit(None).cast("int")),
+                         F.transform(data, lambda b, i: F.get(table["two"], b * 256 + F.get(data, i + 1))))
+        turns = F.slice(data, 2, rest)  # as many merges as there can be
+        return F.aggregate(turns, F.struct(tokens.alias("tokens"), ranks.alias("ranks")), step,
+                           lambda s: F.slice(s["tokens"], 2, rest))
 
-    return _let(table, fold)
+    return _let(bytes_of(F.encode(word, "UTF-8")), fold)
 
 
 def bytes_of(data: Column) -> Column:
@@ -221,33 +300,35 @@ def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i:end[i]]] for i in range(n) if live[i]]
 
 
-def _long_words(ranks: dict[bytes, int]):
-    def run(batches):
-        for batch in batches:
-            words = batch.column("word")
-            done = [merge_by_heap(w.encode(), ranks) for w in words.to_pylist()]
-            yield pa.RecordBatch.from_arrays([words, pa.array(done, pa.list_(pa.int32()))], names=["word", "tokens"])
-
-    return run
-
-
-def _assemble(block: pa.Table, words: pa.Table) -> pa.Table:
+def _assemble(block: pa.Table, packs: pa.Table) -> pa.Table:
     """Ids of a block's documents, from its codes and the ids of its words."""
-    lists = words["tokens"].combine_chunks().take(pa.array(np.argsort(words["place"].to_numpy())))  # by code
-    starts = lists.offsets.to_numpy().astype(np.int64)
-    tokens, counts = lists.values.to_numpy(), np.diff(starts)
-    codes = np.frombuffer(block["codes"][0].as_buffer(), np.uint32 if block["wide"][0].as_py() else np.uint16)
-    each = counts[codes]
-    ends = np.cumsum(each)
-    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - (ends - each), each)
-    flat = tokens[at].astype("<i4")
+    homes = _spread(block["homes"][0].as_py())
+    packs = packs.sort_by("bucket")
+    none = np.empty(0, np.uint32)
+    counts_by_bucket = np.concatenate([none, *map(_spread, packs["counts"].to_pylist())]).astype(np.int64)
+    tokens = np.concatenate([none, *map(_spread, packs["flat"].to_pylist())])
+    order = np.argsort(homes, kind="stable")  # a bucket's words stand in the order of their codes
+    counts, starts = np.empty(len(homes), np.int64), np.empty(len(homes), np.int64)
+    counts[order] = counts_by_bucket
+    starts[order] = np.cumsum(counts_by_bucket) - counts_by_bucket
+    codes = _spread(block["codes"][0].as_py())
     lengths = block["lengths"][0].values.to_numpy()
-    offsets = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))]
-    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths),
-                                           [None, pa.py_buffer(offsets * 4), pa.py_buffer(flat)])
-    return pa.table([block["ids"][0].values, pa.array(np.diff(offsets)),
-                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)), raw.cast(pa.binary())],
-                    schema=_DONE_SCHEMA)
+    words = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))  # before each document
+    ids, done, i = block["ids"][0].values, [], 0
+    while i < len(lengths):  # some documents at a time, a longer one alone
+        j = max(i + 1, int(np.searchsorted(words, words[i] + PIECE, side="right")) - 1)
+        part = codes[words[i]:words[j]]
+        each = counts[part]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        at = np.arange(ends[-1]) + np.repeat(starts[part] - ends[:-1], each)
+        flat = tokens[at].astype("<i4")
+        offsets = ends[words[i:j + 1] - words[i]]
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(offsets * 4), pa.py_buffer(flat)])
+        done.append(pa.RecordBatch.from_arrays(
+            [ids[i:j], pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)),
+             raw.cast(pa.binary())], schema=_DONE_SCHEMA))
+        i = j
+    return pa.Table.from_batches(done, schema=_DONE_SCHEMA)
 
 
 _DONE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())),
@@ -261,16 +342,22 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     ranks = read_ranks(rank_file)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    blocks = write_table(rows.mapInArrow(_pack(pattern), _BLOCKS), "bpe-blocks")
-    uses = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    words = write_table(uses.select("word").distinct(), "bpe-words")
-    short = F.octet_length("word") <= LONGEST_FOLD
-    tokens = encode_words(F.encode("word", "UTF-8"), rank_map(ranks))
-    # folding costs far more than reading: as many tasks as the cluster shuffles with, whatever the bytes
-    folded = words.filter(short).repartition(partitions(spark)).select("word", tokens.alias("tokens"))
-    heaped = words.filter(~short).mapInArrow(_long_words(ranks), "word string, tokens array<int>")
-    known = uses.join(folded.unionByName(heaped), "word").select(F.col("block").alias("home"), "place", "tokens")
-    return blocks.drop("words").groupBy("block").cogroup(known.groupBy("home")).applyInArrow(_assemble, _DONE)
+    tasks, size = partitions(spark), int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # the planner's estimate, which for rows that come from no file is no number of bytes
+    buckets = max(4 * tasks, size // BUCKET if known else 0)
+    # written in buckets of the block number by the tasks that made them: the blocks are not moved again
+    name = f"llm_bpe_{uuid.uuid4().hex}"
+    rows.mapInArrow(_pack(pattern, buckets), _BLOCKS).write.format("parquet").option("path", shared_path(spark, "llm", name)) \
+        .bucketBy(max(tasks, size // BLOCK if known else 0), "block").saveAsTable(name)
+    blocks = spark.table(name)
+    packs = blocks.select("block", F.explode("packs").alias("p")).select("block", "p.bucket", "p.words")
+    # folding costs far more than its bytes: a number of tasks that is not made smaller for them
+    gathered = packs.repartition(max(tasks, buckets // 4), "bucket").groupBy("bucket").applyInArrow(_gather, _BUCKETS)
+    short = lambda w: F.octet_length(w) <= LONGEST_FOLD
+    tokens = _let(rank_map(ranks), lambda table: F.transform("words", lambda w: F.when(short(w), encode_word(w, table))))
+    folded = gathered.select("uses", tokens.alias("tokens"), F.filter("words", lambda w: ~short(w)).alias("long_words"))
+    back = folded.mapInArrow(_return(ranks), _TOKENS)
+    return blocks.drop("packs").groupBy("block").cogroup(back.groupBy("home")).applyInArrow(_assemble, _DONE)
 
 
 def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
