@@ -42,7 +42,7 @@ _INDEX_CACHE: dict = {}
 
 def corpus_index(spark: SparkSession, sf_dir: str, cfg: RagConfig = DEFAULT_CFG) -> TextIndex:
     """The persisted sentence-window index of ``documents`` (built once, A6)."""
-    key = (id(spark), sf_dir, cfg)
+    key = (spark.sparkContext.applicationId, sf_dir, cfg)
     if key not in _INDEX_CACHE:
         tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
         _INDEX_CACHE[key] = ensure_index(spark, documents(spark, sf_dir), f"documents-{tag}", cfg)

@@ -215,7 +215,11 @@ def indexed_documents(spark: SparkSession, path: str) -> DataFrame:
 WRITE_SALT = 64
 
 
-def _write_parts(df: DataFrame, full: str) -> None:
+def _write_parts(df: DataFrame, full: str, spread: bool) -> None:
+    # what is derived from a table that lies by part already is written where it is read
+    if not spread:
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(full)
+        return
     # REBALANCE on (part, salt): AQE merges small shuffle partitions and splits
     # big ones, so files stay task-sized at any scale. The salt (a hash of the
     # node, else the document) spreads one partition value -- or one huge
@@ -224,7 +228,7 @@ def _write_parts(df: DataFrame, full: str) -> None:
     key = "node_id" if "node_id" in df.columns else "doc_id"
     df.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(WRITE_SALT))) \
         .hint("rebalance", "part", "_salt").drop("_salt") \
-        .write.mode("overwrite").partitionBy("part").parquet(full)
+        .write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(full)
 
 
 def _write_layer(spark: SparkSession, path: str, v: int, docs: DataFrame, kept: dict[str, DataFrame], cfg: RagConfig,
@@ -236,7 +240,7 @@ def _write_layer(spark: SparkSession, path: str, v: int, docs: DataFrame, kept:
         rows = df.withColumn("part", part_of("doc_id", parts)).select(*columns, "part")
         if name in kept:
             rows = rows.unionByName(kept[name].select(*columns, "part"))
-        _write_parts(rows, f"{path}/{name}/v={v}")
+        _write_parts(rows, f"{path}/{name}/v={v}", spread=bool(kept) or name in ("nodes", "docs"))
         return _read(spark, path, name, TABLES[name], [v])
 
     # new nodes and their terms are written once; the layer's tables, kept rows included, follow from them
@@ -250,7 +254,7 @@ def _write_layer(spark: SparkSession, path: str, v: int, docs: DataFrame, kept:
         fresh = settle(build_forward(nodes, cfg), "new-forward")
         forward = write("forward", fresh)
     write("vectors", build_vectors(nodes, fresh, cfg, embedder))
-    build_blocks(forward, buckets).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/v={v}")
+    build_blocks(forward, buckets).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings/v={v}")
     write("docs", docs)
     return forward
 
