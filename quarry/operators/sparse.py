@@ -42,6 +42,8 @@ from quarry.operators.postings import bucket_of, expand_blocks, share
 from quarry.session import settle
 
 PACK_TERMS, QUERY_PACK = 65536, 128
+#: Terms of the forward table that are scanned at the price of one posting that is joined, shuffled and scored.
+PAIR_COST = 16
 #: First blocks of a term whose nodes are tried, nodes of them (times k) that are scored whole, what
 #: rounding may hide, and terms that are pushed down to the scan by name.
 SEED_BLOCKS, TRIED, SLACK, PUSHED = 4, 4, 2 * 10.0 ** -SCORE_DECIMALS, 1000
@@ -261,8 +263,8 @@ def keyword_top_k(queries: DataFrame, index: TextIndex, k: int, text: str = "tex
     them, or every term of the corpus once."""
     found = query_term_idf(queries, index, text, key)
     total = index.stats.first()["total"] or 0
-    if expected_pairs(found, k, key) <= total:
+    if PAIR_COST * expected_pairs(found, k, key) <= total:
         chosen = Selection(found, index, k, key, k1, b)
-        if chosen.pairs <= total:
+        if PAIR_COST * chosen.pairs <= total:
             return chosen.search()
     return _scan_top_k(found, queries.schema[key].dataType, index, k, key, k1, b)
