@@ -48,3 +48,38 @@ def test_stream_nodes_reads_a_folder(spark, scratch):
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
     none = stream_nodes(spark, f"{scratch}/in", f"{scratch}/out2", f"{scratch}/ck2", RagConfig(), glob="absent*.parquet")
     assert none.count() == 0
+
+
+def test_postings_are_gathered_before_the_shuffle(spark, monkeypatch):
+    """Blocks hold every posting once with right bounds, whatever the batches; the shuffle has no row per posting."""
+    from quarry.operators import postings as P
+
+    rows = [(d, p, 1 + (d * 7 + p) % 9, [f"t{j}" for j in range((d + p) % 5)] + ["é"], [1 + (d + j) % 3 for j in range((d + p) % 5)] + [d + 1])
+            for d in range(40) for p in range(8)] + [(99, 0, 0, [], [])]
+    forward = spark.createDataFrame(rows, "doc_id long, pos int, dl int, terms array<string>, tfs array<int>").repartition(3)
+    blocks = P.build_blocks(forward, 4)
+    assert "data" in blocks._jdf.queryExecution().executedPlan().toString()
+    got = []
+    for b in blocks.collect():
+        assert b.n == len(b.doc_ids) <= P.BLOCK and b.max_tf == max(b.tfs) and b.min_dl == min(b.dls)
+        got += [(b.term, *x) for x in zip(b.doc_ids, b.poss, b.tfs, b.dls)]
+    assert sorted(got) == sorted((t, d, p, f, dl) for d, p, dl, terms, tfs in rows for t, f in zip(terms, tfs))
+
+
+def test_term_counts_and_vectors_by_batch(spark):
+    """Terms by bytes with counts, and the unit vector of their buckets; texts without words and nulls."""
+    import hashlib
+    from collections import Counter
+
+    from quarry.operators.embed import Embedder, with_terms
+
+    texts = ["b a B ä z Z", "", None, "... !", "x", "\U0001d41a ﬁ b é a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    for r in Embedder(dim=16).embed(with_terms(df)).collect():
+        words = Counter(w for w in (r.text or "").lower().split() if w.isalnum())
+        terms = sorted(words, key=lambda w: w.encode())
+        assert r._ts.terms == terms and r._ts.tfs == [words[t] for t in terms]
+        v = np.zeros(16)
+        for t in terms:
+            v[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 16] += words[t]
+        assert r.vector is None if not terms else r.vector == list(v / np.sqrt((v * v).sum()))
