@@ -3,14 +3,16 @@
 Each of ``TABLES`` tables has as many random planes as the corpus needs (``signature_bits``); the
 sides on which a vector lies are its signature in that table. A corpus vector stands under
 its signature, a query looks under its own and under every signature that differs in one
-bit, and the two meet in an equi-join on (table, signature). Two vectors at a small angle
+bit, and the two meet in a cogroup of (table, first bits of the signature): probes that differ in
+the ``LOW`` last bits stay within it. A group scores the pairs that met in matrix products and gives,
+for each query, those down to its k-th best; no other pair leaves the task. Two vectors at a small angle
 agree on most planes, so close pairs meet in some table; of unrelated pairs few do. Pairs
 that met are scored exactly, by the contract of D1.
 
 Skew: equal vectors are one row until the end (of each group of copies only the k + 1
-smallest ids can be asked for), on the query side too; a signature that more than ``HOT``
-different vectors share is cut into pieces of about that many, and its probes go to every
-piece, so that no task holds a whole cluster. Planes come from a hash of their numbers, so
+smallest ids can be asked for), on the query side too; a group that more than ``HOT`` different
+vectors share is cut into pieces of about that many, which its queries, cut as often, meet
+pairwise, so that no task holds a whole cluster. Planes come from a hash of their numbers, so
 that reruns, and other engines, have the same ones.
 
 Recall is that of the angle: with eleven bits and eight tables a pair at cosine 0.9 is found
@@ -29,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.config import SCORE_DECIMALS
 from quarry.functions.rank import round_score, top_k
 from quarry.session import settle
 
-TABLES, LEAST_BITS, MOST_BITS, BUCKET, HOT = 8, 11, 24, 64, 4096
+TABLES, LEAST_BITS, MOST_BITS, BUCKET, HOT = 8, 11, 24, 64, 32768
+#: Last bits of a signature whose probes stay in one group; queries scored at once; what rounding may hide.
+LOW, TILE, SLACK = 7, 1024, 2 * 10.0 ** -SCORE_DECIMALS
 
 
 def signature_bits(n: int) -> int:
@@ -81,21 +86,59 @@ def _classes(signed: DataFrame) -> DataFrame:
     return signed.groupBy("cls").agg(F.first("unit").alias("unit"), F.first("sigs").alias("sigs"))
 
 
-def candidates(queries: DataFrame, corpus: DataFrame, bits: int) -> DataFrame:
-    """(q, c, score): the pairs of classes that met in some table, once each, scored exactly."""
-    placed = corpus.select(F.col("cls").alias("c"), F.col("unit").alias("c_unit"), F.posexplode("sigs").alias("table", "sig"))
-    hot = settle(placed.groupBy("table", "sig").count().filter(F.col("count") > HOT)
-                 .select("table", "sig", F.ceil(F.col("count") / HOT).cast("int").alias("pieces")), "hot-signatures")
-    placed = placed.join(hot, ["table", "sig"], "left") \
-        .withColumn("piece", F.pmod(F.xxhash64("c"), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
-    flips = F.array(F.lit(0), *(F.lit(1 << b) for b in range(bits)))
+def _near(k: int, least: float):
+    """Cogroup of a group of signatures: asking vectors (q, q_unit, sig, own) and standing ones (c, c_unit, sig)
+    -> of each q the pairs of its probes down to the k-th best score, ties included."""
+    def matrix(table: pa.Table, unit: str) -> np.ndarray:
+        return table.column(unit).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+    def run(asked: pa.Table, placed: pa.Table) -> pa.Table:
+        found = []
+        if asked.num_rows and placed.num_rows:
+            placed, asked = placed.sort_by("sig"), asked.sort_by([("sig", "ascending"), ("own", "ascending")])
+            corpus, queries = matrix(placed, "c_unit"), matrix(asked, "q_unit")
+            begin = np.searchsorted(placed.column("sig").to_numpy(), np.arange((1 << LOW) + 1))
+            look = asked.column("sig").to_numpy() * 2 + asked.column("own").to_numpy().astype(np.int64)
+            edges = np.flatnonzero(np.append(True, look[1:] != look[:-1])).tolist() + [len(look)]
+            for a, b in zip(edges, edges[1:]):
+                sig, own = divmod(int(look[a]), 2)
+                cells = [sig, *(sig ^ (1 << x) for x in range(LOW))] if own else [sig]
+                at = np.concatenate([np.arange(begin[s], begin[s + 1]) for s in cells])
+                if not len(at):
+                    continue
+                some = corpus[at]
+                for i in range(a, b, TILE):
+                    score = queries[i:min(i + TILE, b)] @ some.T
+                    kth = -np.partition(-score, min(k, len(at)) - 1, axis=1)[:, min(k, len(at)) - 1]
+                    q, c = np.nonzero((score >= kth[:, None] - SLACK) & (score >= least - SLACK))
+                    found.append((i + q, at[c], score[q, c]))
+        q, c, score = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"q": asked.column("q").take(pa.array(q)), "c": placed.column("c").take(pa.array(c)), "score": pa.array(score)})
+
+    return run
+
+
+def candidates(queries: DataFrame, corpus: DataFrame, bits: int, k: int = 1 << 30, min_cosine: float = -1.0) -> DataFrame:
+    """(q, c, score): pairs of classes that met in some table, once each, scored exactly: of each query
+    all down to the k-th best, ties included, and some below."""
+    mask = F.lit((1 << LOW) - 1)
+    placed = corpus.select(F.col("cls").alias("c"), F.col("unit").alias("c_unit"), F.posexplode("sigs").alias("table", "_s")) \
+        .select("c", "c_unit", "table", F.expr(f"_s >> {LOW}").alias("group"), F.col("_s").bitwiseAND(mask).alias("sig"))
+    hot = settle(placed.groupBy("table", "group").count().filter(F.col("count") > HOT)
+                 .select("table", "group", F.ceil(F.col("count") / HOT).cast("int").alias("pieces")), "hot-signatures")
+    flips = F.array(F.lit(0), *(F.lit(1 << b) for b in range(bits - LOW)))
     asked = queries.select(F.col("cls").alias("q"), F.col("unit").alias("q_unit"), F.posexplode("sigs").alias("table", "_s")) \
-        .withColumn("sig", F.explode(F.transform(flips, lambda f: F.col("_s").bitwiseXOR(f)))).drop("_s")
-    asked = asked.join(hot, ["table", "sig"], "left") \
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
-    met = asked.join(placed, ["table", "sig", "piece"])
-    cosine = F.aggregate(F.zip_with("q_unit", "c_unit", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return met.select("q", "c", round_score(cosine).alias("score")).groupBy("q", "c").agg(F.max("score").alias("score"))
+        .select("q", "q_unit", "table", F.expr(f"_s >> {LOW}").alias("_g"), F.col("_s").bitwiseAND(mask).alias("sig"), F.explode(flips).alias("_f"))
+    asked = asked.select("q", "q_unit", "table", F.col("_g").bitwiseXOR(F.col("_f")).alias("group"), "sig", (F.col("_f") == 0).alias("own"))
+
+    def dealt(rows, key, mine, other):
+        pieces = F.coalesce("pieces", F.lit(1))
+        rows = rows.join(hot, ["table", "group"], "left").withColumn(mine, F.pmod(F.xxhash64(key), pieces).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces").groupBy("table", "group", "_i", "_j")
+
+    met = dealt(asked, "q", "_i", "_j").cogroup(dealt(placed, "c", "_j", "_i")) \
+        .applyInArrow(_near(k, min_cosine), "q binary, c binary, score double")
+    return met.select("q", "c", round_score("score").alias("score")).groupBy("q", "c").agg(F.max("score").alias("score"))
 
 
 def approx_dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "query_id", id_col: str = "node_id",
@@ -109,7 +152,7 @@ def approx_dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str =
             [], T.StructType([T.StructField(n, t) for n, t in zip((key, id_col, "score", "rank"), types)]))
     c = settle(_signed(corpus, id_col, vector, bits, dim), "signed-corpus")
     q = settle(_signed(queries, key, vector, bits, dim), "signed-queries")
-    pairs = candidates(_classes(q), _classes(c), bits).filter(F.col("score") >= min_cosine)
+    pairs = candidates(_classes(q), _classes(c), bits, k + 1, min_cosine).filter(F.col("score") >= min_cosine)
     # of each group of copies the k + 1 smallest ids; one of them may be the query's own
     first = top_k(c.select("cls", "id", F.lit(0).alias("score")), ["cls"], k + 1, id_col="id").select(F.col("cls").alias("c"), "id")
     found = top_k(_with_ties(settle(pairs, "candidates"), k + 1).join(first, "c"), ["q"], k + 1, id_col="id").drop("rank", "c")

@@ -83,3 +83,21 @@ def test_term_counts_and_vectors_by_batch(spark):
         for t in terms:
             v[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 16] += words[t]
         assert r.vector is None if not terms else r.vector == list(v / np.sqrt((v * v).sum()))
+
+
+def test_approximate_search_gives_each_query_few_pairs(spark, monkeypatch):
+    """A group gives the pairs down to the k-th best alone; the best of all pairs that met are among them."""
+    from quarry.functions.rank import top_k
+    from quarry.operators import approx
+
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 6)))]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(3)
+    classes = approx._classes(approx._signed(df, "vec_id", "vector", 11, 6)).localCheckpoint()
+    whole = approx.candidates(classes, classes, 11)
+    for hot in (32768, 100):
+        monkeypatch.setattr(approx, "HOT", hot)
+        few = approx.candidates(classes, classes, 11, 4).localCheckpoint()
+        assert few.count() < whole.count() / 2
+        best = [{(bytes(r.q), r["rank"], r.score) for r in top_k(x, ["q"], 4, id_col="c").collect()} for x in (few, whole)]
+        assert best[0] == best[1]
