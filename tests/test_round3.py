@@ -101,3 +101,23 @@ def test_approximate_search_gives_each_query_few_pairs(spark, monkeypatch):
         assert few.count() < whole.count() / 2
         best = [{(bytes(r.q), r["rank"], r.score) for r in top_k(x, ["q"], 4, id_col="c").collect()} for x in (few, whole)]
         assert best[0] == best[1]
+
+
+def test_few_keyword_queries_are_not_repeated(spark, scratch):
+    """The query packs of a small batch are broadcast once, not for each shuffle partition."""
+    from quarry.config import RagConfig
+    from quarry.operators.sparse import bm25_top_k
+    from quarry.sources.index_store import ensure_index
+
+    docs = spark.createDataFrame([(i, f"Word{i % 3} here. And word{i} there.") for i in range(30)], "doc_id long, text string")
+    idx = ensure_index(spark, docs, "p", RagConfig().but(layout={"partitions": 1}), path=f"{scratch}/idx")
+    q = spark.createDataFrame([(1, "word1 there"), (2, "word2 here")], "query_id long, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = bm25_top_k(q, idx, 3)
+        p = hits._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in p and "Generate" not in p and "NestedLoop" not in p
+        assert {r.node_id for r in hits.filter("query_id = 1 AND rank = 1").collect()} == {"1-1"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
