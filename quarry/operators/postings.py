@@ -30,6 +30,8 @@ from quarry.operators.chunk import node_id
 
 BLOCK, BUCKETS, USUAL_LENGTH = 128, 64, 20.0
 _LISTS = (("doc_ids", T.LongType()), ("poss", T.IntegerType()), ("tfs", T.IntegerType()), ("dls", T.IntegerType()))
+#: Postings that a map task puts together by term at a time.
+GATHERED = 1 << 20
 #: A posting between the map tasks and the tasks that cut blocks.
 POSTING = np.dtype([("doc_ids", "<i8"), ("poss", "<i4"), ("tfs", "<i4"), ("dls", "<i4")])
 BLOCK_FIELDS = [("term", T.StringType()), ("block", T.LongType()), ("n", T.IntegerType()), ("max_tf", T.IntegerType()),
@@ -59,13 +61,35 @@ def _lists(starts: np.ndarray, rows: np.ndarray) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(rows[name]))) for name, _ in _LISTS]
 
 
-def _gather(batches):
-    """Rows of the forward table -> for each term of a batch rows of at most BLOCK postings."""
+def _turned(starts: np.ndarray, n: int) -> np.ndarray:
+    """Where each byte of n postings stands if a row (from each start to the next) holds first the first
+    bytes of all its postings, then the second ones: alike bytes side by side, which shuffle compression needs."""
+    sizes = np.diff(np.append(starts, n))
+    row_start, row_size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
+    first = row_start * POSTING.itemsize + np.arange(n) - row_start
+    return first[:, None] + row_size[:, None] * np.arange(POSTING.itemsize)
+
+
+def _gathered(batches):
+    """The batches, put together up to GATHERED postings, so that a term has few rows and full ones."""
+    held, n = [], 0
     for batch in batches:
+        size = len(batch.column("terms").flatten())
+        if held and n + size > GATHERED:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+        if size:
+            held.append(batch)
+            n += size
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _gather(batches):
+    """Rows of the forward table -> for each term, rows of at most BLOCK postings."""
+    for batch in _gathered(batches):
         sizes = batch.column("terms").value_lengths().to_numpy(zero_copy_only=False)
         coded = batch.column("terms").flatten().dictionary_encode()
-        if not len(coded):
-            continue
         order = np.argsort(coded.indices.to_numpy(), kind="stable")
         code, node = coded.indices.to_numpy()[order], np.repeat(np.arange(batch.num_rows), sizes)[order]
         starts = _runs(code)
@@ -73,8 +97,10 @@ def _gather(batches):
         rows["tfs"] = batch.column("tfs").flatten().to_numpy()[order]
         for name, column in (("doc_ids", "doc_id"), ("poss", "pos"), ("dls", "dl")):
             rows[name] = batch.column(column).to_numpy(zero_copy_only=False)[node]
+        turned = np.empty(rows.nbytes, np.uint8)
+        turned[_turned(starts, len(rows))] = rows.view(np.uint8).reshape(len(rows), -1)
         ends = pa.array((np.append(starts, len(rows)) * POSTING.itemsize).astype(np.int32))
-        data = pa.Array.from_buffers(pa.binary(), len(starts), [None, ends.buffers()[1], pa.py_buffer(rows.tobytes())])
+        data = pa.Array.from_buffers(pa.binary(), len(starts), [None, ends.buffers()[1], pa.py_buffer(turned)])
         yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[starts])), data], names=["term", "data"])
 
 
@@ -85,8 +111,10 @@ def _cut(batches):
         if not batch.num_rows:
             continue
         data = batch.column("data")
-        rows = np.frombuffer(b"".join(data.to_pylist()), POSTING)
-        row = np.repeat(np.arange(batch.num_rows), pc.binary_length(data).to_numpy() // POSTING.itemsize)
+        turned = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
+        sizes = pc.binary_length(data).to_numpy() // POSTING.itemsize
+        rows = turned[_turned(np.cumsum(sizes) - sizes, sizes.sum())].view(POSTING).ravel()
+        row = np.repeat(np.arange(batch.num_rows), sizes)
         code = batch.column("term").dictionary_encode().indices.to_numpy()[row]  # rising, as the terms do
         tf, dl = rows["tfs"], rows["dls"]
         usual = tf * (BM25_K1 + 1.0) / (tf + BM25_K1 * (1.0 - BM25_B + BM25_B * dl / USUAL_LENGTH))
@@ -105,12 +133,12 @@ def _cut(batches):
 
 def build_blocks(forward: DataFrame, buckets: int) -> DataFrame:
     """The block rows, with ``bucket``, of a forward table. A map task puts the postings of a term
-    together first, so that neither the shuffle nor the sort handles single postings."""
+    together first, so that neither the shuffle nor the sort handles single postings. Blocks leave a
+    task in the order of bucket, term and block: its rows are sorted once, before they are cut."""
     rows = forward.select("doc_id", "pos", "dl", "terms", "tfs").mapInArrow(_gather, "term string, data binary")
     rows = rows.withColumn("bucket", bucket_of("term", buckets)).hint("rebalance", "bucket")
     schema = T.StructType([T.StructField(n, t) for n, t in (*BLOCK_FIELDS, ("bucket", T.IntegerType()))])
-    blocks = rows.sortWithinPartitions("term", "data").mapInArrow(_cut, schema)
-    return blocks.sortWithinPartitions("bucket", "term", "block")
+    return rows.sortWithinPartitions("bucket", "term", "data").mapInArrow(_cut, schema)
 
 
 def block_node_id(cfg: RagConfig, doc_id: Column, pos: Column) -> Column:

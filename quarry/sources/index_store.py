@@ -47,7 +47,7 @@ from quarry.operators.chunk import chunk, fingerprint
 from quarry.operators.embed import Embedder
 from quarry.operators.index import TextIndex, build_forward, build_vectors, corpus_stats, doc_freq
 from quarry.operators.postings import BLOCK_FIELDS, BUCKETS, build_blocks, expand_blocks
-from quarry.session import delete_path, list_path, path_exists, read_file, replace_file, settle, shared_path
+from quarry.session import delete_path, list_path, open_files, path_exists, read_file, replace_file, settle, shared_path
 
 
 def _schema(*fields) -> T.StructType:
@@ -216,9 +216,11 @@ WRITE_SALT = 64
 
 
 def _write_parts(df: DataFrame, full: str, spread: bool) -> None:
-    # what is derived from a table that lies by part already is written where it is read
+    # what is derived from a table that lies by part already is written where it is read, unsorted:
+    # a sort by part would hold, and spill, a task's vectors
     if not spread:
-        df.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(full)
+        with open_files(df.sparkSession):
+            df.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(full)
         return
     # REBALANCE on (part, salt): AQE merges small shuffle partitions and splits
     # big ones, so files stay task-sized at any scale. The salt (a hash of the
@@ -254,7 +256,8 @@ def _write_layer(spark: SparkSession, path: str, v: int, docs: DataFrame, kept:
         fresh = settle(build_forward(nodes, cfg), "new-forward")
         forward = write("forward", fresh)
     write("vectors", build_vectors(nodes, fresh, cfg, embedder))
-    build_blocks(forward, buckets).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings/v={v}")
+    with open_files(spark):  # a task's blocks come bucket by bucket
+        build_blocks(forward, buckets).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings/v={v}")
     write("docs", docs)
     return forward
 
