@@ -155,3 +155,46 @@ def test_leaks_awkward(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 4
     assert D.leaks(frames.empty(spark), bench).count() == 0
     assert D.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_unions_and_sums_by_brute_force():
+    rng = np.random.default_rng(3)
+    feature = rng.integers(0, D.FEATURES, 3000).astype(np.uint16)
+    start = rng.integers(0, 2900, 400)
+    end = start + rng.integers(1, 101, 400)
+    got = D.Unions(feature).of(start, end)
+    assert all((g == np.bitwise_or.reduce(D._BITS[feature[a:b]], axis=0)).all() for g, a, b in zip(got, start, end))
+    table, first = rng.standard_normal((D.FEATURES, D.RANK)).astype(np.float32), np.arange(0, 3000, 37)
+    assert np.array_equal(D._sums(table, feature, first), np.add.reduceat(table[feature], first, axis=0))
+    sums = D._running_sums(table, feature, np.empty((3001, D.RANK), np.float32))
+    assert not sums[0].any() and np.array_equal(sums[1:], np.cumsum(table[feature], axis=0))
+
+
+def test_frequencies_count_a_passage_once():
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i % 7}" for i in range(90)), "", "w1 W1 w1", " \n", "w1 w2"]
+    batch = next(D._frequencies([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    df = np.frombuffer(batch.column("data")[0].as_py(), dtype=np.float32)
+    assert batch.column("weight")[0].as_py() == 5  # three passages, and one each
+    one = lambda w: int(D.word_features(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0])
+    assert [df[one(b"w%d" % i)] for i in range(4)] == [3, 5, 4, 3]
+
+
+def test_common_words_make_no_candidates():
+    """Of the windows of words that an item shares in part, few come to the checks; one that holds it does."""
+    rng = np.random.default_rng(4)
+    word = lambda i: "v" + "".join(chr(97 + int(i) // 26 ** k % 26) for k in range(3))
+    item = " ".join(word(i) for i in rng.permutation(300)[:53])
+    text = " ".join(word(i) for i in rng.integers(0, 300, 20_000))
+    latent = np.abs(rng.standard_normal((D.FEATURES, D.RANK))).astype(np.float32)  # everything is alike
+    items = D.Items([(1, item)], latent)
+
+    def found(text):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        feature, words, _, _ = D.word_features(buf, np.array([0, len(buf)]))
+        return items.candidates(feature, words)
+
+    windows = 20_000 // (D.width_of(53) // D.STEPS)
+    assert len(found(text)) <= 0.01 * windows
+    assert found(f"{text} {item} {text}")
