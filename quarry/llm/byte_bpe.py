@@ -29,8 +29,10 @@ import base64
 import functools
 import heapq
 import json
+import re
 import uuid
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,7 @@ from quarry.session import shared_path
 
 #: Bytes of text in a block, bytes of input for each bucket, words put together at a time, bytes of a word that the fold
 #: takes, lists that the rank map is cut into (a prime).
-BLOCK, BUCKET, PIECE, LONGEST_FOLD, SHARDS = 16 << 20, 4 << 20, 1 << 19, 1024, 65521
+BLOCK, BUCKET, PIECE, LONGEST_FOLD, SHARDS = 16 << 20, 4 << 20, 1 << 19, 1024, 16381
 
 _BLOCKS = ("block long, ids array<long>, lengths array<int>, codes binary, homes binary, "
            "packs array<struct<bucket:int,words:binary>>")
@@ -87,6 +89,17 @@ def splitter(pattern: str):
     return pattern, differing, f"(?V1){exact}"
 
 
+def ascii_splitter(pattern: str) -> re.Pattern | None:
+    """The pattern for texts of ASCII characters alone, where the classes are plain lists, for the standard
+    library's matcher, which is faster; None if the pattern has anything else that the two may read apart."""
+    if not set(re.findall(r"\\[pP]\{\w+\}|\\.|\(\?.|&&|\|\||--|~~|\[\[|[+*?}]\+|\[:", pattern)) <= {r"\p{L}", r"\p{N}", r"\s", r"\S", "(?!"}:
+        return None
+    inside = lambda s: s.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
+    written = re.sub(r"\[[^\]]*\]", lambda m: inside(m[0]), pattern)
+    written = re.sub(r"\\p\{[LN]\}", lambda m: f"[{inside(m[0])}]", written)
+    return re.compile(written, re.ASCII)
+
+
 def _class(chars: set[str]) -> str:
     points, out, i = sorted(map(ord, chars)), [], 0
     while i < len(points):
@@ -101,13 +114,16 @@ def _class(chars: set[str]) -> str:
 def _pack(pattern: str, buckets: int):
     """Blocks of dictionary-encoded words, the words packed by bucket."""
     usual, differing, exact = splitter(pattern)
+    plain = ascii_splitter(pattern)
 
     def run(batches):
         import regex
 
         fast, slow = regex.compile(usual).findall, regex.compile(exact).findall
+        ascii_only = plain.findall if plain else fast
         part, seq = TaskContext.get().partitionId(), 0
-        ids, codes, lengths, known, size = [], [], [], {}, 0
+        ids, codes, lengths, size, known = [], [], [], 0, defaultdict()
+        known.default_factory = known.__len__  # a new word's code is the number of those before
 
         def block():
             flat = np.concatenate(codes)
@@ -115,7 +131,7 @@ def _pack(pattern: str, buckets: int):
             code = np.empty(len(known), np.uint32)
             code[often] = np.arange(len(known))
             words = np.array([*known, None], dtype=object)[often]
-            homes = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.uint32, len(known))
+            homes = np.fromiter(map(zlib.crc32, map(str.encode, words)), np.uint32, len(known)) % np.uint32(buckets)
             order = np.argsort(homes, kind="stable")
             used, starts = np.unique(homes[order], return_index=True)
             packs = [{"bucket": int(b), "words": _crush(json.dumps(w.tolist()))}
@@ -130,15 +146,16 @@ def _pack(pattern: str, buckets: int):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 if size and size + len(text) > BLOCK:
                     yield block()
-                    ids, codes, lengths, known, size, seq = [], [], [], {}, 0, seq + 1
-                words = fast(text) if text.isascii() or differing.isdisjoint(text) else slow(text)
-                code = known.setdefault
-                codes.append(np.fromiter((code(w, len(known)) for w in words), np.uint32, len(words)))
+                    ids, codes, lengths, size, seq = [], [], [], 0, seq + 1
+                    known.clear()
+                words = ascii_only(text) if text.isascii() else fast(text) if differing.isdisjoint(text) else slow(text)
+                codes.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
                 ids.append(doc_id)
                 lengths.append(len(words))
                 size += len(text) + 1
         if ids:
             yield block()
+        known.default_factory = None  # which refers to the dictionary itself
 
     return run
 
@@ -177,13 +194,15 @@ def _spread(data: bytes) -> np.ndarray:
 
 def _gather(table: pa.Table) -> pa.Table:
     """A bucket's distinct words, and for each block's pack the places of its words among them."""
-    known: dict[str, int] = {}
+    known = defaultdict()
+    known.default_factory = known.__len__
     uses = []
     for row in table.to_pylist():
         words = json.loads(_uncrush(row["words"]))
-        places = np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words))
+        places = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
         uses.append({"block": row["block"], "bucket": row["bucket"], "ids": _squeeze(places)})
     use = pa.struct([("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary())])
+    known.default_factory = None  # which refers to the dictionary itself
     return pa.table([pa.array([list(known)], pa.list_(pa.string())), pa.array([uses], pa.list_(use))], names=["words", "uses"])
 
 
@@ -366,7 +385,7 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     ranks = read_ranks(rank_file)
     pieces = {rank: piece for piece, rank in ranks.items()}
     listed = json.dumps([base64.b64encode(pieces.get(i, b"")).decode() for i in range(max(pieces) + 1)])
-    table = F.from_json(F.lit(listed), "array<binary>")
     # strings are bytes to array_join; nothing reads them as characters
-    joined = _let(table, lambda t: F.array_join(F.transform("ids", lambda i: t[i].cast("string")), ""))
+    table = F.from_json(F.lit(listed), "array<binary>").cast("array<string>")
+    joined = _let(table, lambda t: F.array_join(F.transform("ids", lambda i: t[i]), ""))
     return encoded.withColumn("decoded", joined.cast("binary"))

@@ -51,3 +51,15 @@ def test_heap_takes_the_same_merges():
         for letters in ("ab", "aeinorst", "abcdefghijklmnopqrstuvwxyz", "éàü"):
             word = "".join(rng.choice(letters) for _ in range(n))
             assert bpe.merge_by_heap(word.encode(), ranks) == encoding.encode_ordinary(word)
+
+
+def test_ascii_texts_are_split_alike():
+    import regex
+
+    every = [chr(i) for i in range(128)]
+    texts = [a + b for a in every for b in every]
+    texts += ["".join(random.Random(i).choice("aZ09 _'sdt\n\t.-\x1c\x1f") for _ in range(300)) for i in range(300)]
+    usual, plain = regex.compile(public.PATTERN), bpe.ascii_splitter(public.PATTERN)
+    assert plain and all(plain.findall(t) == usual.findall(t) for t in [*texts, "".join(every), "".join(texts)])
+    for other in (r"(?i:'s)|\p{L}+", r"\p{Lu}+", r"\w+", r"[^\r\n]+", r"\p{L}++", r"[\p{L}--[a]]"):
+        assert bpe.ascii_splitter(other) is None
