@@ -3,11 +3,11 @@
 D1 (exact). No pairs are formed as rows and no more than ``FEW`` queries pass through the
 driver. Two plans give the same rows.
 
-Few queries: both sides are packed where they are (``PACK`` corpus vectors, ``QUERY_PACK``
-queries), the query packs are broadcast and the corpus stays where it is. A task multiplies
-one pack pair at a time (a tile of at most PACK x QUERY_PACK scores) and keeps a running
-top-k for each query pack, so it ships k rows per query, not k per batch; a final
-``row_number() <= k`` (partial + final WindowGroupLimit) merges the tasks.
+Few queries: their vectors are broadcast once, and the corpus stays where it is and passes
+through Python once. A task multiplies a tile at a time (at most ``PACK`` corpus vectors and
+``QUERY_PACK`` queries), takes from it the scores that reach the k-th best so far, and so ships
+k rows per query, not k per batch; a final ``row_number() <= k`` (partial + final
+WindowGroupLimit) merges the tasks.
 
 Many queries: corpus and queries are dealt by their ids into groups of about ``GROUP``, and
 every pair of groups is a cell of a grid, a cogroup of its own. A row goes to as many cells as
@@ -24,6 +24,8 @@ D1a, the approximate variant, is in ``operators/approx.py``.
 
 from __future__ import annotations
 
+from typing import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from quarry.config import SCORE_DECIMALS
 from quarry.functions.rank import round_score, top_k
@@ -46,13 +49,22 @@ def _matrix(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
     """ids and unit vectors of the rows (id, v) whose vector is not zero."""
     lists, ids = table.column("v").combine_chunks(), table.column("id").combine_chunks()
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return _not_zero(ids, lengths, lambda: lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+
+
+def _units(ids: pa.Array, vectors: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The same of vectors that are arrays, one a row."""
+    return _not_zero(ids, np.fromiter(map(len, vectors), np.int64, len(vectors)), lambda: np.concatenate(vectors).astype(np.float64))
+
+
+def _not_zero(ids: pa.Array, lengths: np.ndarray, entries: Callable[[], np.ndarray]) -> tuple[pa.Array, np.ndarray]:
     filled = lengths > 0
     if not filled.any():
         return ids.slice(0, 0), np.zeros((0, 0))
     dim = lengths[filled][0]
     if (lengths[filled] != dim).any():
         raise ValueError(f"vector dimension {lengths[filled][lengths[filled] != dim][0]} != {dim}")
-    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = entries().reshape(-1, dim)
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
     keep = norm > 0
     return ids.filter(pa.array(filled)).filter(pa.array(keep)), x[keep] / norm[keep, None]
@@ -88,28 +100,6 @@ def _block_top_k(scores: np.ndarray, ids: np.ndarray, k: int):
     return r[sel], c[sel]
 
 
-def _pack(df: DataFrame, id_col: str, vector: str, size: int, names: tuple[str, str]) -> DataFrame:
-    """Rows of up to ``size`` unit vectors, packed within their partition: ids, matrix
-    (bytes), their number and one key for all."""
-    ids, matrix = names
-    schema = T.StructType([T.StructField(ids, T.ArrayType(df.schema[id_col].dataType)),
-                           T.StructField(matrix, T.BinaryType()), T.StructField("_n", T.IntegerType())])
-
-    def run(batches):
-        for batch in batches:
-            kept, rows = _matrix(pa.Table.from_batches([batch]))
-            for i in range(0, len(kept), size):
-                part, held = rows[i:i + size], kept.slice(i, size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held),
-                     pa.array([part.tobytes()], pa.binary()), pa.array([len(part)], pa.int32())], names=[ids, matrix, "_n"])
-
-    out = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL") \
-        .mapInArrow(run, schema)
-    # an expression, not a literal: the packs meet in a hash join
-    return out.withColumn("_block", F.pmod(F.xxhash64(ids), F.lit(1))).withColumnRenamed("_n", f"{ids}_n")
-
-
 def _merge(rows: list[tuple], k: int) -> tuple:
     """The k best (query, id, score) of each query, as three arrays."""
     query = np.concatenate([r[0] for r in rows])
@@ -155,25 +145,70 @@ class Running:
             yield self._give(pack)
 
 
-def _meet(k: int, key: str, id_col: str, exclude_self: bool):
+def _ranked(ids: pa.Array) -> np.ndarray:
+    """The place of each id among the distinct ones, ascending, nulls first."""
+    return pc.rank(ids, tiebreaker="dense", null_placement="at_start").to_numpy().astype(np.int64)
+
+
+class Best:
+    """The k best rows of each of ``n`` queries among the tiles that a task has met."""
+
+    def __init__(self, k: int, n: int):
+        self.k, self.n = k, n
+        self.query, self.ids, self.score = np.zeros(0, np.int64), None, np.zeros(0)
+        self.beat = np.full(n, -np.inf)
+
+    def add(self, ids: pa.Array, score: np.ndarray) -> None:
+        """Scores of a tile (rows: ids, columns: queries), not rounded; -inf is no row."""
+        if self.ids is None:
+            self.ids, score = ids.slice(0, 0), np.round(score, SCORE_DECIMALS)
+            r, c = _block_top_k(score, _ranked(ids), self.k)
+            some = score[r, c]
+        else:  # what rounds to the k-th best or more; equal ones count by their ids
+            r, c = np.nonzero(score > self.beat - 0.6 * 10.0 ** -SCORE_DECIMALS)
+            some = np.round(score[r, c], SCORE_DECIMALS)
+            fit = np.isfinite(some) & (some >= self.beat[c])
+            r, c, some = r[fit], c[fit], some[fit]
+        if not len(r):
+            return
+        rows, at = np.unique(r, return_inverse=True)
+        known = pa.concat_arrays([self.ids, ids.take(pa.array(rows))])
+        rank = _ranked(known)
+        query, place = np.append(self.query, c), np.append(np.arange(len(self.ids)), len(self.ids) + at)
+        score = np.append(self.score, some)
+        order = np.lexsort((rank[place], -score, query))
+        query = query[order]
+        starts = np.searchsorted(query, query)
+        order = order[np.arange(len(query)) - starts < self.k]
+        self.query = query[np.arange(len(query)) - starts < self.k]
+        self.ids, self.score = known.take(pa.array(place[order])), score[order]
+        self.beat = _kth((self.query, None, self.score), self.k, self.n)
+
+
+def _scan(asked, k: int, key: str, id_col: str, id_type: pa.DataType, exclude_self: bool):
+    """The k best rows of a task for each query; ``asked``: the queries' ids and unit vectors, broadcast."""
     def run(batches):
-        running = Running(k, key, id_col)
+        q_ids, queries = asked.value
+        packs = [(q_ids.slice(a, QUERY_PACK), queries[a:a + QUERY_PACK].T) for a in range(0, len(q_ids), QUERY_PACK)]
+        best = [Best(k, len(mine)) for mine, _ in packs]
         for pdf in batches:
-            for c_ids, c_raw, c_n, q_ids, q_raw, q_n in zip(*(pdf[x] for x in (
-                    "_c", "_cm", "_c_n", "_q", "_qm", "_q_n"))):
-                corpus = np.frombuffer(c_raw).reshape(c_n, -1)
-                queries = np.frombuffer(q_raw).reshape(q_n, -1)
-                if corpus.shape[1] != queries.shape[1]:
-                    raise ValueError(f"vector dimension {corpus.shape[1]} != query dimension {queries.shape[1]}")
-                score = np.round(corpus @ queries.T, SCORE_DECIMALS)
-                if exclude_self:
-                    place = {x: i for i, x in enumerate(c_ids)}
-                    for j, x in enumerate(q_ids):
-                        if x in place:
-                            score[place[x], j] = -np.inf
-                # by ids: packs of copies have equal matrices
-                yield from running.add(tuple(q_ids), q_ids, np.asarray(list(c_ids)), score)
-        yield from running.rest()
+            if not len(pdf) or not packs:
+                continue
+            ids, corpus = _units(pa.array(pdf["id"], from_pandas=True).cast(id_type), pdf["v"].to_numpy())
+            if len(ids) and corpus.shape[1] != queries.shape[1]:
+                raise ValueError(f"vector dimension {corpus.shape[1]} != query dimension {queries.shape[1]}")
+            for at in range(0, len(ids), PACK):
+                some, rows = ids.slice(at, PACK), corpus[at:at + PACK]
+                for (mine, vectors), found in zip(packs, best):
+                    score = rows @ vectors
+                    if exclude_self:
+                        own = _own_places(mine, some)
+                        score[own[own >= 0], np.flatnonzero(own >= 0)] = -np.inf
+                    found.add(some, score)
+        for (mine, _), found in zip(packs, best):
+            if found.ids is not None and len(found.ids):
+                yield pd.DataFrame({key: mine.take(pa.array(found.query)).to_pandas(), id_col: found.ids.to_pandas(),
+                                    "score": found.score})
 
     return run
 
@@ -240,15 +275,16 @@ def _grid(n_queries: int, n_corpus: int, cores: int) -> tuple[int, int]:
     return a, b
 
 
+def _filled(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+
+
 def _grid_top_k(queries: DataFrame, corpus: DataFrame, n_queries: int, k: int, key: str, id_col: str, vector: str,
                 exclude_self: bool, schema: T.StructType) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     a, b = _grid(n_queries, corpus.select(id_col).count(), corpus.sparkSession.sparkContext.defaultParallelism)
 
     def dealt(df, name, mine, other, groups, others):
-        rows = df.select(F.col(name).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
-        rows = rows.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")) \
+        rows = _filled(df, name, vector).withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")) \
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
         return rows.repartition(a * b, "_i", "_j").groupBy("_i", "_j")
 
@@ -266,7 +302,8 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "query
     if n_queries > FEW:
         found = _grid_top_k(queries, corpus, n_queries, k, key, id_col, vector, exclude_self, schema)
     else:
-        c = _pack(corpus, id_col, vector, PACK, ("_c", "_cm"))
-        q = _pack(queries, key, vector, QUERY_PACK, ("_q", "_qm"))
-        found = c.join(F.broadcast(q), "_block").mapInPandas(_meet(k, key, id_col, exclude_self), schema)
+        asked, rows = _filled(queries, key, vector), _filled(corpus, id_col, vector)
+        few = corpus.sparkSession.sparkContext.broadcast(_matrix(asked.toArrow()))  # FEW vectors at most
+        id_type = to_arrow_type(corpus.schema[id_col].dataType)
+        found = rows.mapInPandas(_scan(few, k, key, id_col, id_type, exclude_self), schema)
     return top_k(found.withColumn("score", round_score("score")), [key], k, id_col=id_col)
