@@ -1,6 +1,7 @@
 import re
 
-from quarry.llm.mixing import mix, schedule
+from quarry.llm.common import write_table
+from quarry.llm.mixing import _placed, _plan, _rows, mix, queue, schedule
 
 from . import frames
 
@@ -49,3 +50,23 @@ def test_targets_and_words_by_brute_force(spark):
 
 def test_empty(spark):
     assert schedule(frames.empty(spark)).count() == 0 and mix(frames.empty(spark)).count() == 0
+
+
+def test_the_schedule_is_the_queue_cut_at_the_budget(spark):
+    docs = frames.awkward(spark).unionByName(frames.awkward(spark))
+    rows = write_table(_rows(docs, "mix-1", "text", "source", ("doc_id",)), "test-rows")
+    goals, plan = _plan(rows, (5, 2, 1), 1.0, 3)
+    served = queue(_placed(rows, plan), goals).collect()
+    assert max(r.total for r in served) == sum(int(r.target) for r in goals.collect()) == sum(r.words for r in served)
+    served.sort(key=lambda r: r.total)
+    assert [r.virtual_finish for r in served] == sorted(r.virtual_finish for r in served)
+    running = 0
+    for r in served:
+        running += r.words
+        assert r.total == running and r.words > 0 and r.virtual_finish <= 1
+    of = {}
+    for r in served:
+        of[r.source, r.before] = of.get((r.source, r.before), 0) + r.words
+    want = [(r.source, r.before, r.size, of.get((r.source, r.before), 0) if r.size else 0) for r in schedule(docs).collect()]
+    frames.same([(r.source, r.before, r.size, r.taken) for r in schedule(docs).collect()], want)
+    assert sum(x[3] for x in want) == running
