@@ -68,3 +68,36 @@ def test_embedding_does_not_count_terms_first(spark):
         assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
         want = with_terms(df, "text", stemming).withColumn("v", hashed_vector(F.col("_ts"), 16))
         assert {r.id: r.vector for r in got.collect()} == {r.id: r.v for r in want.collect()}
+
+
+def test_a_slice_of_the_ledger_reads_its_own_prompts(spark, scratch, monkeypatch):
+    from quarry.operators import ledger as L
+
+    read, complete = [], L.complete
+    monkeypatch.setattr(L, "complete", lambda df, *a: read.append(df) or complete(df, *a))
+    df = spark.createDataFrame([(i, f"prompt {i % 60}") for i in range(90)], "id long, prompt string")
+    out = L.Ledger(f"{scratch}/ledger", slice=15).complete(df, context=None, query=None)
+    assert out.count() == 90 and out.filter("response IS NULL OR error IS NOT NULL").count() == 0
+    assert len(read) == 4 and sum(d.count() for d in read) == 60
+    for d in read:
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(_slice" in plan
+
+
+@pytest.mark.parametrize("k", [1, 7])
+def test_close_scores_in_single_precision(spark, monkeypatch, k):
+    """Neighbours that differ less than single precision can tell: the k best by the scores of double precision."""
+    from quarry.operators import dense as D
+
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=(4, 8))
+    v = centre[np.arange(900) % 4] + rng.normal(size=(900, 8)) * rng.choice([1e-7, 1e-4, 1e-3], size=(900, 1))
+    monkeypatch.setattr(D, "FEW", 10)
+    monkeypatch.setattr(D, "FIRST", 16)
+    monkeypatch.setattr(D, "GROUP", 400)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, vector array<double>")
+    rows = D.dense_top_k(df.filter("vec_id < 60").withColumnRenamed("vec_id", "query_id"), df, k, id_col="vec_id", exclude_self=True).collect()
+    unit = v / np.sqrt((v * v).sum(axis=1))[:, None]
+    score = np.round(unit[:60] @ unit.T, 6)
+    want = {(q, i, n + 1) for q in range(60) for n, i in enumerate([i for i in np.lexsort((np.arange(900), -score[q])) if i != q][:k])}
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in rows} == want
