@@ -101,3 +101,32 @@ def test_close_scores_in_single_precision(spark, monkeypatch, k):
     score = np.round(unit[:60] @ unit.T, 6)
     want = {(q, i, n + 1) for q in range(60) for n, i in enumerate([i for i in np.lexsort((np.arange(900), -score[q])) if i != q][:k])}
     assert {(r.query_id, r.vec_id, r["rank"]) for r in rows} == want
+
+
+def test_chunks_are_cut_before_they_become_rows(spark):
+    """A chunk's row does not carry its whole document, and the index's nodes get no windows."""
+    from quarry.operators import chunk as C
+
+    docs = spark.createDataFrame([(1, "One two. Three four five! Six"), (2, ""), (3, None)], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for df in (C.token_chunk_nodes(docs, 3, 1), C.sentence_pack_nodes(docs, 3, 1)):
+        assert "posexplode(transform(" in plan(df)
+    assert [(r.node_id, r.text) for r in C.token_chunk_nodes(docs, 3, 1).orderBy("pos").collect()] == \
+        [("1-0", "One two. Three"), ("1-1", "Three four five!"), ("1-2", "five! Six")]
+    bare = C.chunk(docs, RagConfig(), windows=False)
+    assert "slice(" not in plan(bare) and "slice(" in plan(C.chunk(docs, RagConfig()))
+    full = C.chunk(docs, RagConfig()).drop("window").collect()
+    assert sorted(bare.drop("window").collect()) == sorted(full) and bare.columns == C.NODE_COLUMNS
+
+
+def test_the_adapters_chunks_are_made_once(spark, monkeypatch):
+    from quarry.plans import catalog_eval, catalog_more
+
+    made, settled = [], []
+    chunks, settle = catalog_eval._b3, catalog_more.settle
+    monkeypatch.setattr(catalog_eval, "_b3", lambda *a: made.append(1) or chunks(*a))
+    monkeypatch.setattr(catalog_more, "settle", lambda df, tag: settled.append(tag) or settle(df, tag))
+    split, _, qv, nv = catalog_more._p6_parts(spark, "/root/testdata/sf0.001")
+    assert made == [1] and settled == ["chunks", "split"]
+    for df in (split, qv, nv):
+        assert "documents.parquet" not in df._jdf.queryExecution().executedPlan().toString()
