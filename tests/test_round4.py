@@ -130,3 +130,26 @@ def test_the_adapters_chunks_are_made_once(spark, monkeypatch):
     assert made == [1] and settled == ["chunks", "split"]
     for df in (split, qv, nv):
         assert "documents.parquet" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_signatures_meet_by_halves(spark):
+    """A vector goes to two groups of a table, as it came; the pairs are those whose signatures differ in one bit at most."""
+    from quarry.operators import approx
+
+    rng = np.random.default_rng(2)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(400, 5)).astype(np.float32))]
+    rows += [(1000, [0.0] * 5), (1001, None), (1002, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<float>").repartition(3)
+    signed = approx._signed(df, "vec_id", "vector", 11, 5)
+    assert signed.schema["vec"].dataType.elementType.typeName() == "float"
+    classes = approx._classes(signed).localCheckpoint()
+    vecs = {bytes(r.cls): (np.array(r.vec, float), r.sigs) for r in classes.collect()}
+    assert len(vecs) == 400
+    unit = lambda v: v / np.sqrt((v * v).sum())
+    want = {(a, b): round(float(unit(x) @ unit(y)), 6) for a, (x, s) in vecs.items() for b, (y, t) in vecs.items()
+            if any((i ^ j).bit_count() <= 1 for i, j in zip(s, t))}
+    found = approx.candidates(classes, classes, 11)
+    got = {(bytes(r.q), bytes(r.c)): r.score for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(want[p] - s) < 2e-6 for p, s in got.items())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(array(struct(half") + plan.count("Generate explode(array(named_struct(half") == 2
